@@ -1,0 +1 @@
+"""Structured Streaming extensions (the batch engine needs none of them)."""
