@@ -9,16 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module that has its ``query(spark, sf_dir)`` and, where SQL can express it, ``ORACLE_SQL``.
 MODULES = {
-    "op1_ngram_jaccard_join": "ngram_join",
-    "op2_chat_format": "chat_format",
-    "op3_license_scan": "license_scan",
     "op4_packing": "packing",
-    "op5_decontamination": "decontamination",
-    "op6_html_extraction": "html_extraction",
-    "op7_url_filter": "url_filter",
-    "op8_media_sniffing": "media_sniffing",
-    "op9_pii_disclosure": "pii_disclosure",
-    "op10_quality_classifier": "quality_classifier",
 }
 
 
