@@ -128,12 +128,8 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     entities = contexts.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = contexts.where("term is not null").select("entity", "term", "doc_id", "h").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     pairs = cut_lineage(pairs.where(F.col("n_et") >= SUPPORT))
-    wanted = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0)))).alias("term"))
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        counts = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
     known = pairs.join(counts, "term").join(entities, "entity")
     gained = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     held = F.log2(F.lit(float(total)) / F.col("n_e"))
