@@ -153,8 +153,11 @@ def pack_documents(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed; each piece's ids as their CRC."""
+    return packing_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' packed pieces, with their ids' CRC."""
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
