@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.session import cut_lineage
 
+#: Edge tables of at most so many rows are solved by one task.
+SMALL = 10_000
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], ["node", "component"])
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node of an undirected edge table; a component is named by its least node.
 
-    Alternates neighbourhood minima with pointer jumping, so that chains of length n
+    Nodes are whole numbers. Alternates neighbourhood minima with pointer jumping, so that chains of length n
     take about log n rounds. Each round is two joins and partial aggregates, with the
     lineage cut in the shared checkpoint folder. Nulls and self loops give no link; a
     node that only has a self loop is its own component. An empty table gives no rows.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    pairs = cut_lineage(edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null"))
+    if pairs.limit(SMALL + 1).count() <= SMALL:
+        return pairs.coalesce(1).mapInArrow(_roots, "node long, component long")
     both = cut_lineage(pairs.union(pairs.select("b", "a")).distinct())
     labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "node"))
     for _ in range(max_rounds):

@@ -1,11 +1,15 @@
-"""The query catalogue of the geospatial operators."""
+"""The query catalogue of the geospatial operators, and the same queries as DuckDB SQL."""
 
 from __future__ import annotations
 
+from hexloom.plans import places
+
+_PARTS = (places,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
