@@ -41,6 +41,8 @@ FREQUENT, NEAR = 32, 4
 TOP, LOCAL_TOP, LOCAL_LEAST = 1 << 16, 4096, 4
 SALT_ROWS = 2048
 BLOCK = 256
+#: Share of all shingles of a pair that are common prefix shingles, from which a link is likely.
+LIKELY = 0.08
 TABLE_BITS = 23
 _COUNT_AT = 1 << 22
 
@@ -115,9 +117,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
 class Order:
     """The frequent shingles in order of their number, and the salted names of their lists."""
 
-    def __init__(self, tokens: list[int], counts: list[int]):
-        found = np.array(tokens, np.int64).view(np.uint64)
-        number = np.array(counts, np.int64)
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        found, number = np.ascontiguousarray(tokens).view(np.uint64), counts
         by_token = np.argsort(found)
         self.tokens, self.counts = found[by_token], number[by_token]
         salts = np.maximum(1, self.counts // SALT_ROWS)
@@ -259,9 +260,9 @@ def _bit_table(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of ``doc_id``, of fixed size."""
     spots = ids.select(F.explode(F.array(*_positions(F.col("doc_id")))).alias("at"))
     words = spots.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) as int)))").alias("bits"))
+    found = words.toPandas()
     table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    for row in words.toLocalIterator():
-        table[row.word] = row.bits
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return table
 
 
@@ -369,20 +370,27 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 # ---------------------------------------------------------------- frequent shingles, in full
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of different labels within each list part; parts are (shingle, i, j) with i <= j, and pairs between i and j."""
+def _cross_pairs(batches: Iterator[pa.RecordBatch], late: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes of different labels within each list part; parts are (shingle, i, j) with i <= j, and pairs between i and j.
+
+    A pair that shares a rare prefix shingle has been judged before. Both prefixes hold
+    all rare shingles of their sets, so that any other pair shares frequent ones only:
+    the sets without their rare shingles must be large enough to link.
+    """
     held: list[list] = []
     key = None
 
     def pairs() -> Iterator[pa.RecordBatch]:
         cls, label, place, hot, part = (np.array(c) for c in zip(*held, strict=True))
-        i, j = key[1], key[2]
+        i, j, n = key[1], key[2], place >> 31
+        rare = n + (-NUMERATOR * n) // DENOMINATOR + 1 - hot
+        frequent = n - np.maximum(rare - late, 0)
         for x in np.flatnonzero(part == i):
             other = (label != label[x]) & (part == j)
             if i == j:
                 other[: x + 1] = False
-            na, nb = place[x] >> 31, place >> 31
-            other &= (np.minimum(na, nb) * DENOMINATOR >= np.maximum(na, nb) * NUMERATOR) & (cls != cls[x])
+            other &= (np.minimum(n[x], n) * DENOMINATOR >= np.maximum(n[x], n) * NUMERATOR) & (cls != cls[x])
+            other &= np.minimum(frequent[x], frequent) >= least_overlap(n[x], n)
             y = np.flatnonzero(other)
             if len(y):
                 swap = cls[y] < cls[x]
@@ -401,7 +409,7 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs()
 
 
-def _frequent_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def _frequent_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, late: int) -> DataFrame:
     """Class pairs (a, b, score) of different labels that share enough frequent shingles to link, from the whole lists."""
     rows = lists.join(members, "grp").join(labels, "cls", "left").select("token", "cls", F.coalesce("label", "cls").alias("label"), "place", "hot")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("token", "rows")
@@ -409,7 +417,7 @@ def _frequent_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame) ->
     dealt = rows.join(mixed, "token").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     spread = spread.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "label", "place", "hot", "part")
-    found = spread.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross_pairs, "a long, b long, pa long, pb long, hot long")
+    found = spread.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(partial(_cross_pairs, late=late), "a long, b long, pa long, pb long, hot long")
     return _linkable(_summed(found.select("a", "b", "pa", "pb", F.lit(0).alias("ha"), F.lit(0).alias("hb")), ["a", "b"]), F.lit(0))
 
 
@@ -434,21 +442,21 @@ def _linkable(summed: DataFrame, unseen: Column) -> DataFrame:
 def _merge(docs: DataFrame, pairs: DataFrame, labels: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """Labels (cls, label) joined by the links among ``pairs`` (a, b, score) across them.
 
-    Each round compares, for any two labels, the likeliest pairs that are left, four
-    times as many as the round before; pairs within a label need no comparison.
+    The first round compares the likeliest pair of any two labels, the second some
+    more, and the last all pairs that are still between different labels.
     """
-    pairs = cut_lineage(pairs)
-    most = 1
-    while True:
+    for most in (1, 16, None):
         of = lambda side: labels.select(F.col("cls").alias(side), F.col("label").alias(f"l{side}"))
         known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "score", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
         apart = cut_lineage(known.where("la != lb"))
         if not apart.limit(1).count():
             return labels
-        best = apart.groupBy(F.least("la", "lb"), F.greatest("la", "lb"), F.pmod(F.xxhash64("a", "b"), F.lit(most))).agg(F.max(F.struct("score", "a", "b", "la", "lb")).alias("best"))
-        tried = cut_lineage(best.select("best.*"))
+        tried = apart
+        if most:
+            best = apart.groupBy(F.least("la", "lb"), F.greatest("la", "lb"), F.pmod(F.xxhash64("a", "b"), F.lit(most))).agg(F.max(F.struct("score", "a", "b", "la", "lb")).alias("best"))
+            tried = cut_lineage(best.select("best.*"))
         wanted = tried.select(F.col("a").alias("cls")).union(tried.select("b")).distinct().join(classes, "cls")
-        sets = cut_lineage(_class_sets(docs, wanted, size))
+        sets = _class_sets(docs, wanted, size)
         both = tried.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb")).cast("long")
         links = both.where(shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.size("sa") + F.size("sb"))).select("la", "lb")
@@ -456,7 +464,7 @@ def _merge(docs: DataFrame, pairs: DataFrame, labels: DataFrame, classes: DataFr
         old = labels.union(tried.select("a", "la")).union(tried.select("b", "lb")).distinct()
         labels = cut_lineage(old.join(merged, F.col("label") == F.col("node"), "left").select("cls", F.coalesce("component", "label").alias("label")))
         pairs = apart.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "score")
-        most *= 4
+    return labels
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -478,8 +486,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     signed = cut_lineage(read.mapInArrow(partial(_signatures, size=words), "kind byte, a long, n long, cls long, check long, text_key long"))
     signatures = signed.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "cls", "text_key")
     classes = cut_lineage(signatures.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))).where("rep is not null")
-    often = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(TOP).collect()
-    order = spark.sparkContext.broadcast(Order([r.a for r in often], [r.n for r in often]))
+    often = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(TOP).toPandas()
+    order = spark.sparkContext.broadcast(Order(often["a"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
 
     postings = docs.where("doc_id is not null").select("text").mapInArrow(partial(_prefixes, size=words, order=order), "token long, grp long, place long, hot int")
     sorted_lists = postings.repartition("token").sortWithinPartitions("token", "grp")
@@ -490,16 +498,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     late = lists.where("late = 1").groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     edges = cut_lineage(_linkable(found.where("kind = 0"), F.least("ha", "hb") + late))
 
-    # blocks: the classes of groups that may link, by candidate component
-    groups = connected_components(edges, "a", "b").withColumnsRenamed({"node": "grp", "component": "component"})
-    shared = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").join(groups, "grp", "left_anti").select("grp", F.col("grp").alias("component"))
-    active = cut_lineage(groups.select("grp", "component").union(shared).join(members, "grp"))
-    sizes = active.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("subs"))
-    placed = cut_lineage(active.join(sizes, "component").select("component", F.pmod(F.xxhash64("grp"), F.col("subs")).alias("sub"), "grp", "cls", "subs").join(classes, "cls"))
+    # blocks: the classes of groups that may link, by candidate component; a large one by its likely links, and those by a hash
+    loose = connected_components(edges, "a", "b").withColumnRenamed("node", "grp")
+    alone = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").join(loose, "grp", "left_anti").select("grp", F.col("grp").alias("component"))
+    active = cut_lineage(loose.select("grp", "component").union(alone).join(members, "grp"))
+    tight = connected_components(edges.where(F.col("score") >= LIKELY), "a", "b").select(F.col("node").alias("grp"), F.col("component").alias("tight"))
+    large = active.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("component", F.lit(True).alias("large"))
+    split = active.join(large, "component", "left").join(tight, "grp", "left")
+    split = cut_lineage(split.select("grp", "cls", F.when(F.col("large"), F.coalesce("tight", "grp")).otherwise(F.col("component")).alias("component")))
+    sizes = split.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("subs"))
+    placed = cut_lineage(split.join(sizes, "component").select("component", F.pmod(F.xxhash64("grp"), F.col("subs")).alias("sub"), "grp", "cls").join(classes, "cls"))
     sets = _class_sets(docs, placed, words).select("component", "sub", F.lit(0).alias("kind"), F.col("grp").alias("a"), F.col("cls").alias("b"), F.lit(0.0).alias("score"), "shingles")
     of = placed.select("grp", "component", "sub").distinct()
-    homes = edges.join(of.withColumnRenamed("grp", "a"), "a").join(of.select(F.col("grp").alias("b"), F.col("sub").alias("sub_b")), "b")
-    local = homes.where("sub = sub_b").select("component", "sub", F.lit(1).alias("kind"), "a", "b", "score", F.lit(None).cast("array<bigint>").alias("shingles"))
+    homes = edges.join(of.withColumnRenamed("grp", "a"), "a").join(of.select(F.col("grp").alias("b"), F.col("component").alias("home_b"), F.col("sub").alias("sub_b")), "b")
+    homes = cut_lineage(homes.withColumn("same", (F.col("component") == F.col("home_b")) & (F.col("sub") == F.col("sub_b"))))
+    local = homes.where("same").select("component", "sub", F.lit(1).alias("kind"), "a", "b", "score", F.lit(None).cast("array<bigint>").alias("shingles"))
     rows = sets.union(local).repartition("component", "sub").sortWithinPartitions("component", "sub", "kind", F.desc("score"), "a", "b")
     labels = cut_lineage(rows.mapInArrow(_compare_blocks, "cls long, label long"))
 
@@ -507,10 +520,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     marked = members.join(labels, "cls").select("grp", "cls", "label")
     sides = lambda side: marked.select(F.col("grp").alias(side), F.col("cls").alias(f"c{side}"), F.col("label").alias(f"l{side}"))
     some = lambda side: marked.select(F.col("grp").alias(side), F.col("label").alias(f"l{side}")).distinct()
-    open_pairs = homes.where("sub != sub_b").select("a", "b", "score").join(some("a"), "a").join(some("b"), "b").where("la != lb").select("a", "b", "la", "lb", "score")
+    open_pairs = homes.where("not same").select("a", "b", "score").join(some("a"), "a").join(some("b"), "b").where("la != lb").select("a", "b", "la", "lb", "score")
     across = open_pairs.join(sides("a"), ["a", "la"]).join(sides("b"), ["b", "lb"]).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "score")
     labels = _merge(docs, across.distinct(), labels, classes, words)
-    labels = _merge(docs, _frequent_pairs(lists.select("token", "grp", "place", "hot"), members, labels), labels, classes, words)
+    labels = _merge(docs, _frequent_pairs(lists.select("token", "grp", "place", "hot"), members, labels, late), labels, classes, words)
 
     named = labels.join(classes, "cls")
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
