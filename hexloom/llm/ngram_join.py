@@ -260,9 +260,9 @@ def _bit_table(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of ``doc_id``, of fixed size."""
     spots = ids.select(F.explode(F.array(*_positions(F.col("doc_id")))).alias("at"))
     words = spots.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) as int)))").alias("bits"))
-    found = words.toPandas()
     table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    for word, bits in words.collect():
+        table[word] = bits
     return table
 
 
@@ -442,10 +442,10 @@ def _linkable(summed: DataFrame, unseen: Column) -> DataFrame:
 def _merge(docs: DataFrame, pairs: DataFrame, labels: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """Labels (cls, label) joined by the links among ``pairs`` (a, b, score) across them.
 
-    The first round compares the likeliest pair of any two labels, the second some
-    more, and the last all pairs that are still between different labels.
+    The first round compares the likeliest pair of any two labels, the second all
+    pairs that are still between different ones.
     """
-    for most in (1, 16, None):
+    for most in (1, None):
         of = lambda side: labels.select(F.col("cls").alias(side), F.col("label").alias(f"l{side}"))
         known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "score", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
         apart = cut_lineage(known.where("la != lb"))
@@ -486,8 +486,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     signed = cut_lineage(read.mapInArrow(partial(_signatures, size=words), "kind byte, a long, n long, cls long, check long, text_key long"))
     signatures = signed.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "cls", "text_key")
     classes = cut_lineage(signatures.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))).where("rep is not null")
-    often = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(TOP).toPandas()
-    order = spark.sparkContext.broadcast(Order(often["a"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+    often = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(TOP).collect()
+    order = spark.sparkContext.broadcast(Order(np.array([r.a for r in often], np.int64), np.array([r.n for r in often], np.int64)))
 
     postings = docs.where("doc_id is not null").select("text").mapInArrow(partial(_prefixes, size=words, order=order), "token long, grp long, place long, hot int")
     sorted_lists = postings.repartition("token").sortWithinPartitions("token", "grp")
