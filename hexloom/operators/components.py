@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hexloom.session import cut_lineage
 
 #: Edge tables of at most so many rows are solved by one task.
-SMALL = 10_000
+SMALL = 200_000
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hexloom.plans import places
+from hexloom.plans import places, terrain
 
-_PARTS = (places,)
+_PARTS = (places, terrain)
 
 
 def queries() -> dict:

@@ -88,7 +88,7 @@ SQL = {
     row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as seq from lineitem)
   join orders on o_orderkey = reach)""",
     "geo_segment": """geo_segment as (select * from (select reach, seq, x as ax, y as ay,
-  lead(x) over (partition by reach order by seq) as bx, lead(y) over (partition by reach order by seq) as by, discharge from geo_vertex) where bx is not null)""",
+  lead(x) over (partition by reach order by seq) as bx, lead(y) over (partition by reach order by seq) as "by", discharge from geo_vertex) where bx is not null)""",
     "geo_field": """geo_field as (select (event_id % 40)::int as ix, (event_id // 40)::int as iy, (value * 10)::float as elevation,
   (case when value > 40 then 80 else [10, 20, 30, 40, 50, 60, 70, 90, 95, 100][event_id % 10 + 1] end)::int as cover from events)""",
     "geo_window": """geo_window as (select *, w + 0.04::double as e, s + 0.04::double as n from (select vec_id as window_no, (vec_id % 25)::int as i, ((vec_id // 25) % 20)::int as j,

@@ -59,7 +59,7 @@ def test_running_sums(spark):
     assert all(r.s == [sum(r.v[:i]) for i in range(len(r.v))] for r in rows)
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
+@pytest.mark.parametrize("small", [200_000, 0])
 def test_components(spark, monkeypatch, small):
     monkeypatch.setattr("hexloom.operators.components.SMALL", small)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3), (200, 200)]
