@@ -195,7 +195,7 @@ def page(article, extra=""):
 
 def test_html(spark):
     rows = [
-        (1, "http://a.example/x/1", page("<article><h1>A &amp; B</h1><p><b>one<br><p>two \n three</article>")),
+        (1, "http://a.example/y/1", page("<article><h1>A &amp; B</h1><p><b>one<br><p>two \n three</article>")),
         (2, "http://a.example/x/2", page("<div>Site line</div><div>Own text</div>")),
         (3, "http://a.example/x/3", page("<div>Site line</div><div>Other text</div>", '<div class="ad">buy</div>')),
         (4, None, None), (5, "http://b.example/", ""), (5, "http://b.example/", ""),
