@@ -245,8 +245,8 @@ def _may_link(c: Column, na: Column, nb: Column, ia: Column, ib: Column, unseen:
     """Whether c shared prefix shingles, the last at places ia and ib, and ``unseen`` more leave room for a link."""
     rest = lambda n: F.ceil(n * NUMERATOR / DENOMINATOR).cast("long") - 1  # noqa: E731  what stands behind the prefix
     need = F.ceil((na + nb) * NUMERATOR / (NUMERATOR + DENOMINATOR)).cast("long")
-    # shingles outside one of the prefixes, and those behind the last shared one
-    return (c + unseen + F.greatest(rest(na), rest(nb)) >= need) & (c + F.least(na - ia - 1, nb - ib - 1) >= need)
+    # shingles outside one of the prefixes, and those behind the last shared one; unseen ones can stand before it, where there are places
+    return (c + unseen + F.greatest(rest(na), rest(nb)) >= need) & (F.least(c + unseen, ia + 1, ib + 1) + F.least(na - ia - 1, nb - ib - 1) >= need)
 
 
 # ---------------------------------------------------------------- sets of the classes that take part
@@ -373,9 +373,12 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _cross_pairs(batches: Iterator[pa.RecordBatch], late: int) -> Iterator[pa.RecordBatch]:
     """Pairs of classes of different labels within each list part; parts are (shingle, i, j) with i <= j, and pairs between i and j.
 
-    A pair that shares a rare prefix shingle has been judged before. Both prefixes hold
-    all rare shingles of their sets, so that any other pair shares frequent ones only:
-    the sets without their rare shingles must be large enough to link.
+    A pair that shares a rare prefix shingle is among the edges, which are judged with
+    all their frequent shingles as unseen. Where both prefixes reach their frequent
+    shingles they hold all rare ones of their sets, so that any other pair shares
+    frequent ones only: the sets without their rare shingles must be large enough to
+    link. A prefix without counted frequent shingles can leave rare ones out; its pairs
+    are all kept.
     """
     held: list[list] = []
     key = None
@@ -390,7 +393,7 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], late: int) -> Iterator[pa.Re
             if i == j:
                 other[: x + 1] = False
             other &= (np.minimum(n[x], n) * DENOMINATOR >= np.maximum(n[x], n) * NUMERATOR) & (cls != cls[x])
-            other &= np.minimum(frequent[x], frequent) >= least_overlap(n[x], n)
+            other &= (np.minimum(frequent[x], frequent) >= least_overlap(n[x], n)) | (hot[x] == 0) | (hot == 0)
             y = np.flatnonzero(other)
             if len(y):
                 swap = cls[y] < cls[x]

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,17 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, frequent, block):
     assert found == brute_components(texts)
 
 
+def test_pairs_of_rare_and_frequent_shingles_stay(spark):
+    # two sets of 101 share 3 rare and 85 frequent shingles, 88 of the 87 needed; 7 of those in the prefixes were seen, the last at its end
+    pairs = spark.createDataFrame([(1, 2, 7, 25, 25, 101, 101, 10), (3, 4, 7, 25, 25, 101, 101, 4)], "a long, b long, c long, ia long, ib long, na long, nb long, unseen long")
+    assert [r.a for r in ngram_join._linkable(pairs, F.col("unseen")).collect()] == [1]
+    # the 4 late shingles of 80 and 100 are all that their prefixes share, as the larger one's is full of rare ones that stand before
+    rows = [(9, 0, 0, 1, 1, 80 << 31, 0, 0), (9, 0, 0, 2, 2, 100 << 31 | 22, 0, 0), (9, 0, 0, 3, 3, 300 << 31, 0, 0)]
+    names = ["token", "i", "j", "cls", "label", "place", "hot", "part"]
+    found = [b.to_pylist() for b in ngram_join._cross_pairs(iter([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])]), 4)]
+    assert [(r["a"], r["b"]) for part in found for r in part] == [(1, 2)]
+
+
 def test_one_of_each_keeps_the_least(spark):
     texts = near_texts()
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(docs_of(spark, texts)).collect())
