@@ -157,20 +157,20 @@ def passages(texts: list[str], index: Index) -> list[list[tuple[int, int, int, i
     edits = np.array([budget(x) for x in lengths])
     wide = np.maximum(2 * edits, 1)[item]  # a band covers 2e diagonals and each diagonal lies in two bands
     needed = np.maximum(lengths - Q + 1 - Q * edits, 1)[item]
+    document = np.searchsorted(begins, where, "right") - 1  # a band counts one document's hits only
     for shift in (0, 1):
         band = (diagonal + shift * (wide // 2)) // wide
-        order = np.lexsort((where, band, item))
-        i, b, d, w, least = item[order], band[order], diagonal[order], where[order], needed[order]
-        first = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (b[1:] != b[:-1]))))
+        order = np.lexsort((band, document, item))
+        i, b, d, n, least = item[order], band[order], diagonal[order], document[order], needed[order]
+        first = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (n[1:] != n[:-1]) | (b[1:] != b[:-1]))))
         sizes = np.diff(np.concatenate((first, [len(i)])))
         for k in first[sizes >= least[first]]:
             size = sizes[np.searchsorted(first, k)]
-            _verify(out, normals, begins, index, int(i[k]), int(d[k : k + size].min()), int(d[k : k + size].max()), int(w[k]), int(edits[i[k]]))
+            _verify(out, normals, begins, index, int(i[k]), int(d[k : k + size].min()), int(d[k : k + size].max()), int(n[k]), int(edits[i[k]]))
     return [sorted(set(found)) for found in out]
 
 
-def _verify(out: list, normals: list, begins: np.ndarray, index: Index, item: int, low: int, high: int, hit: int, edits: int) -> None:
-    n = int(np.searchsorted(begins, hit, "right")) - 1
+def _verify(out: list, normals: list, begins: np.ndarray, index: Index, item: int, low: int, high: int, n: int, edits: int) -> None:
     text, places = normals[n]
     pattern = index.texts[item]
     start = max(0, low - edits - int(begins[n]))

@@ -198,6 +198,14 @@ def test_passages_are_found(spark):
     assert decontamination.benchmark_passages(docs_of(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_passages_at_the_edge_of_documents_are_found():
+    item = " ".join(words(80, 9))
+    index = decontamination.Index.of([(1, item)])
+    for k in range(0, 400, 3):  # the document before ends with the passage's first characters
+        got = decontamination.passages(["x" * k + item[:20], item + " after"], index)
+        assert [len(found) for found in got] == [0, 1] and got[1][0][1:] == (0, len(item), 0)
+
+
 # ------------------------------------------------------------------ 6
 
 
