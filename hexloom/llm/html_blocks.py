@@ -26,6 +26,8 @@ _WORDS = frozenset(
     "disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related search share sharing "
     "sidebar sidebars skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Inside an article, elements that such a class, id or role drops; others are its text, whatever their anchors are called.
+_CONTAINERS = frozenset("aside details div fieldset figure footer form header hgroup iframe ol section span table ul".split())
 #: A start tag that ends an open element of these names.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -42,11 +44,12 @@ class Block:
 def _is_aside(name: str, attributes: str, in_main: bool) -> bool:
     if name in _ASIDE or (name == "header" and not in_main):
         return True
-    if name in ("html", "body", "article", "main") or "=" not in attributes:
+    if name in ("html", "body", "article", "main") or "=" not in attributes or (in_main and name not in _CONTAINERS):
         return False
+    parts = r"\s+" if in_main else r"[\s_-]+"
     for found in _ATTRIBUTE.finditer(attributes):
         value = next(v for v in found.groups() if v is not None)
-        if not _WORDS.isdisjoint(re.split(r"[\s_-]+", value.lower())):
+        if not _WORDS.isdisjoint(re.split(parts, value.lower())):
             return True
     return False
 

@@ -243,6 +243,13 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in html_blocks.blocks("<p title='x>y'>t</p>&lt;z&am")] == ["t", "<z&am"]
 
 
+def test_articles_keep_what_only_sounds_like_a_menu():
+    kept = '<div class="entry-header"><h1>A</h1></div><h2 id="related-work">B</h2><section id="search-results-explained">C</section><p class="notice-of-meeting">D</p><p class="notice">E</p>'
+    dropped = '<div class="share">x</div><div class="box related">x</div><aside>x</aside><nav>x</nav>'
+    assert [b.text for b in html_blocks.blocks(f"<article>{kept}{dropped}</article>") if b.place == html_blocks.MAIN] == list("ABCDE")
+    assert all(b.place == html_blocks.DROPPED for b in html_blocks.blocks('<div class="page-header">x</div><p class="cookie-notice">x</p>'))
+
+
 # ------------------------------------------------------------------ 7
 
 
