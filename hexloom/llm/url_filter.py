@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from functools import partial
+from itertools import islice, product
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from hexloom.session import cut_lineage
 
 #: (host, path, verdict): the rules of the query.
 RULES = [
@@ -22,10 +24,8 @@ RULES = [
 ]
 #: Share of the labelled URLs that a token combination must have, and of its URLs that must have the verdict.
 SUPPORT, CONFIDENCE = 0.002, 0.8
-#: Tokens of a URL that are mined: all its host's, and as many of its path's and query's.
-PATH_TOKENS = 6
-#: Most association rules that are kept (by confidence, then support), which bounds what is broadcast.
-MAX_RULES = 5000
+#: Association rules that go to a task at once; more of them are matched in blocks of this size.
+BLOCK_RULES = 20_000
 DEFAULT = "allow"
 _SAYS = "verdict="
 
@@ -55,31 +55,64 @@ def tokens(url: Column) -> Column:
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     pieces = F.transform(labels, lambda x: F.concat(F.lit("host="), x))
     words = F.flatten(F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), lambda x: F.transform(F.split(x, "-"), lambda w: F.concat(F.lit("word="), w))))
-    steps = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, PATH_TOKENS)
+    steps = F.filter(F.split(path, "/"), lambda x: x != "")
     shaped = F.transform(steps, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit("="), F.regexp_replace(x, "[0-9]+", "0")))
-    asked = F.transform(F.slice(F.regexp_extract_all(url, F.lit("[?&]([^=&#]+)"), F.lit(1)), 1, PATH_TOKENS), lambda x: F.concat(F.lit("query="), x))
+    asked = F.transform(F.regexp_extract_all(url, F.lit("[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("query="), x))
     scheme = F.array(F.concat(F.lit("scheme="), F.lower(F.regexp_extract(url, "^([A-Za-z]+)://", 1))))
     return F.array_distinct(F.concat(scheme, pieces, words, shaped, asked))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, max_rules: int = MAX_RULES) -> DataFrame:
+def _twins(baskets: DataFrame, support: float) -> dict[str, str]:
+    """Of the tokens that meet the support, each one's representative: the least that stands in exactly the same baskets."""
+    rows = baskets.count()
+    marked = baskets.select(F.explode("items").alias("token"), *[F.pmod(F.xxhash64(F.lit(s), "items"), F.lit(1 << 31)).alias(f"h{s}") for s in (1, 2)])
+    covers = marked.groupBy("token").agg(F.count("*").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where((F.col("n") >= support * rows) & ~F.startswith("token", F.lit(_SAYS)))
+    first: dict[tuple, str] = {}
+    return {r.token: first.setdefault((r.n, r.h1, r.h2), r.token) for r in covers.orderBy("token").toLocalIterator()}
+
+
+def _represented(batches: Iterator[pa.RecordBatch], twins: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Baskets of representatives and verdicts."""
+    for batch in batches:
+        items = [sorted({t if t.startswith(_SAYS) else twins[t] for t in found if t in twins or t.startswith(_SAYS)}) for found in batch.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], ["items"])
+
+
+def _spelt_out(batches: Iterator[pa.RecordBatch], twins: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Each rule once for every choice of tokens that its representatives stand for."""
+    groups = defaultdict(list)
+    for token, first in twins.items():
+        groups[first].append(token)
+    for batch in batches:
+        for row in batch.to_pylist():
+            choices = product(*(groups[t] for t in row["antecedent"]))
+            while part := list(islice(choices, 4096)):
+                yield pa.RecordBatch.from_pylist([{**row, "antecedent": list(c)} for c in part], batch.schema)
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Association rules (antecedent, verdict, confidence, share) from ``labelled`` (url, verdict).
 
     FP-growth mines frequent sets of tokens with the verdict among them. A rule needs
     the support and confidence, and more confidence than every rule of the same verdict
-    that needs only a part of its tokens. There are at most ``max_rules``. Without
-    labelled URLs there are no rules.
+    that needs only a part of its tokens; all such rules are kept. Tokens that stand in
+    the same URLs are mined as one and spelt out in the rules that are left: rules with
+    two of them would be redundant, and long paths would have sets beyond number.
+    Without labelled URLs there are no rules.
     """
     spark = labelled.sparkSession
     baskets = labelled.where("url is not null and verdict is not null").select(F.array_append(tokens(F.col("url")), F.concat(F.lit(_SAYS), "verdict")).alias("items"))
     empty = "antecedent array<string>, verdict string, confidence double, share double"
     if not baskets.limit(1).count():
         return spark.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, predictionCol="unused").fit(baskets)
+    baskets = cut_lineage(baskets)
+    twins = _twins(baskets, support)
+    mined = baskets.mapInArrow(partial(_represented, twins=twins), "items array<string>")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, predictionCol="unused").fit(mined)
     found = model.associationRules.where(F.startswith(F.element_at("consequent", 1), F.lit(_SAYS)))
     rules = found.select("antecedent", F.substring(F.element_at("consequent", 1), F.lit(len(_SAYS) + 1), F.lit(99)).alias("verdict"), "confidence", F.col("support").alias("share"))
-    rules = rules.where(~F.exists("antecedent", lambda t: F.startswith(t, F.lit(_SAYS)))).orderBy(F.desc("confidence"), F.desc("share"), F.size("antecedent"), F.array_sort("antecedent")).limit(max_rules)
-    return pruned(rules)
+    rules = rules.where(~F.exists("antecedent", lambda t: F.startswith(t, F.lit(_SAYS))))
+    return pruned(cut_lineage(rules)).select("antecedent", "verdict", "confidence", "share").mapInArrow(partial(_spelt_out, twins=twins), empty)
 
 
 def pruned(rules: DataFrame) -> DataFrame:
@@ -97,33 +130,39 @@ def pruned(rules: DataFrame) -> DataFrame:
     return rules.join(useless, ["key", "verdict"], "left_anti").drop("key")
 
 
-def _matched(batches: Iterator[pa.RecordBatch], rules: list[tuple[list[str], str]], schema: list[str]) -> Iterator[pa.RecordBatch]:
-    often = Counter(t for items, _ in rules for t in items)
+def _matched(batches: Iterator[pa.RecordBatch], rules) -> Iterator[pa.RecordBatch]:
+    """Batches, the last column of which is the verdict, with it filled in where it is null and a rule fits."""
+    often = Counter(t for items, _ in rules.value for t in items)
     index = defaultdict(list)
-    for rank, (items, verdict) in enumerate(rules):
+    for rank, (items, verdict) in enumerate(rules.value):
         index[min(items, key=lambda t: (often[t], t))].append((rank, frozenset(items), verdict))
     for batch in batches:
         out = []
-        for found in batch.column("tokens__").to_pylist():
+        for found, before in zip(batch.column("tokens__").to_pylist(), batch.columns[-1].to_pylist(), strict=True):
+            if before is not None:
+                out.append(before)
+                continue
             has = frozenset(found or ())
             fits = [(rank, verdict) for t in has for rank, items, verdict in index.get(t, ()) if items <= has]
             out.append(min(fits)[1] if fits else None)
-        columns = [batch.column(c) for c in schema[:-1]]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string())], schema)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], batch.schema.names)
 
 
 def match(urls: DataFrame, rules: DataFrame, url: str = "url", into: str = "mined") -> DataFrame:
     """``urls`` with the verdict of the best association rule that fits each, or null; nothing is shuffled.
 
-    The rules (at most ``MAX_RULES``) go to every task as an inverted index: each is
-    filed under that of its tokens which fewest rules have, and a URL looks up its own
-    tokens. Of the rules whose tokens the URL has all, the most confident holds, then
-    the most frequent, then block. Null URLs fit no rule.
+    The rules go to every task as an inverted index: each is filed under that of its
+    tokens which fewest rules have, and a URL looks up its own tokens. Of the rules
+    whose tokens the URL has all, the most confident holds, then the most frequent, then
+    block. More than ``BLOCK_RULES`` rules go in blocks, the best first, and a later
+    block judges only what the earlier ones left. Null URLs fit no rule.
     """
-    ranked = rules.orderBy(F.desc("confidence"), F.desc("share"), F.desc("verdict"), F.array_sort("antecedent")).limit(MAX_RULES).collect()
-    schema = T.StructType([*urls.drop(into).schema.fields, T.StructField(into, T.StringType())])
-    task = partial(_matched, rules=[(r.antecedent, r.verdict) for r in ranked], schema=schema.names)
-    return urls.drop(into).withColumn("tokens__", tokens(F.coalesce(F.col(url), F.lit("")))).mapInArrow(task, schema)
+    ranked = cut_lineage(rules.orderBy(F.desc("confidence"), F.desc("share"), F.desc("verdict"), F.array_sort("antecedent"))).toLocalIterator()
+    urls = urls.drop(into)
+    out = urls.withColumn("tokens__", tokens(F.coalesce(F.col(url), F.lit("")))).withColumn(into, F.lit(None).cast("string"))
+    while block := [(r.antecedent, r.verdict) for r in islice(ranked, BLOCK_RULES)]:
+        out = out.mapInArrow(partial(_matched, rules=urls.sparkSession.sparkContext.broadcast(block)), out.schema)
+    return out.select(*[F.col(f"`{c}`") for c in urls.columns], into)
 
 
 def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:

@@ -265,6 +265,20 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_rules_are_all_mined_and_matched(spark, monkeypatch):
+    long = "/".join(f"s{i}" for i in range(30))  # would have 2**30 token sets if its parts were mined one by one
+    rows = [(f"http://h{k % 9}.net/{long}/end?{'&'.join(f'q{i}=1' for i in range(8))}", "block") for k in range(90)]
+    rows += [(f"http://g{k}.net/shop/x{k}", "allow" if k % 10 else "block") for k in range(100)]
+    mined = url_filter.mine(spark.createDataFrame(rows, "url string, verdict string")).collect()
+    found = {(tuple(sorted(r.antecedent)), r.verdict): round(r.confidence, 3) for r in mined}
+    assert found[("path0=shop",), "allow"] == 0.9 and found[("path29=s0",), "block"] == found[("query=q7",), "block"] == found[("path30=end",), "block"] == 1
+    monkeypatch.setattr(url_filter, "BLOCK_RULES", 3)
+    rules = spark.createDataFrame([([f"path0={chr(97 + k)}"], "block" if k % 2 else "allow", 1 - k / 100, 0.1) for k in range(10)], "antecedent array<string>, verdict string, confidence double, share double")
+    urls = spark.createDataFrame([(f"http://a.b/{chr(97 + k)}",) for k in range(11)], "url string")
+    got = [r.mined for r in url_filter.match(urls.coalesce(1), rules).collect()]
+    assert got == [*["allow", "block"] * 5, None]
+
+
 # ------------------------------------------------------------------ 8
 
 
