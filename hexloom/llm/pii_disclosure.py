@@ -1,13 +1,14 @@
 """Information-theoretic sanitisation: personal data, and the terms around it that reveal it.
 
 Base matches (e-mail, IP, card, phone) are the protected entities. Corpus counts say
-how much of an entity's information a term beside it gives away:
+how much of an entity's information a term in its documents gives away:
 
     disclosure(t; e) = PMI(t; e) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e))
 
 It is 1 when the term occurs in documents of the entity only. Terms from ``REMOVE``
-on are removed, those from ``GENERALISE`` on are generalised; both need to stand
-beside the entity in ``SUPPORT`` documents, as one document says nothing about a term.
+on are removed, those from ``GENERALISE`` on are generalised; both need to stand with
+the entity in ``SUPPORT`` documents, anywhere in their texts, as one document says
+nothing about a term. All their places in the entity's documents are hidden.
 All of it is DataFrame operations.
 """
 
@@ -20,12 +21,11 @@ from hexloom.functions.arrays import let, running_sums
 from hexloom.session import cut_lineage
 
 REMOVE, GENERALISE, SUPPORT = 0.95, 0.7, 3
-#: Code points on either side of an entity that are looked at, and words taken from them.
-REACH, WORDS = 80, 5
 #: Most rows of a term table that are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 KINDS = ["email", "ip", "card", "phone"]
-_TERM = r"\p{L}{4,}"
+# Words; of those of up to three letters the capitalised ones and those of scripts without case, so that short names count and particles do not.
+_TERM = r"(?<!\p{L})(?:\p{L}{4,}|\p{Lu}\p{L}{1,2}|\p{Lo}{1,3})(?!\p{L})"
 _LOCAL = "[A-Za-z0-9._%+-]"
 # As the contract's patterns, with possessive repeats (nothing that follows could use what they hold) so
 # that long runs need no stack, and e-mail names tried from the start of a run or the end of the last match only.
@@ -97,68 +97,81 @@ def with_matches(docs: DataFrame) -> DataFrame:
     return docs.withColumn("matches__", F.when(F.rlike(text, F.lit("[0-9@]")), F.concat(*each)).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")))
 
 
-def _beside(text: Column, start: Column, end: Column) -> Column:
-    """The terms next to a span: array of (start, end, value)."""
-
-    def moved(found: Column, by: Column) -> Column:
-        return F.transform(found, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), F.lower(m["value"]).alias("value")))
-
-    begin = F.greatest(start - REACH, F.lit(0))
-    left = F.filter(located(F.substring(text, begin + 1, start - begin), _TERM), lambda m: (begin == 0) | (m["start"] > 0))
-    right = F.filter(located(F.substring(text, end + 1, F.lit(REACH)), _TERM), lambda m: (m["end"] < REACH) | (end + m["end"] >= F.length(text)))
-    nearest = let(left, lambda x: F.slice(x, F.greatest(F.size(x) - WORDS + 1, F.lit(1)), F.lit(WORDS)))
-    return F.concat(moved(nearest, begin), moved(F.slice(right, 1, WORDS), end))
+def _terms(text: Column) -> Column:
+    """A text's distinct terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
 def _maybe_broadcast(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
 
 
-def context_terms(matched: DataFrame) -> DataFrame:
-    """A row for each term beside a match: doc_id, h (the text's hash), entity, term, start, end."""
-    rows = matched.where(F.size("matches__") > 0).select("doc_id", F.xxhash64("text").alias("h"), "text", F.explode("matches__").alias("m"))
-    kept = F.when(F.col("m.kind") == "email", F.lower("m.value")).when(F.col("m.kind") == "ip", F.col("m.value")).otherwise(F.regexp_replace("m.value", "[^0-9]", ""))
-    terms = rows.select("doc_id", "h", F.concat_ws(":", "m.kind", kept).alias("entity"), F.explode_outer(_beside(F.col("text"), F.col("m.start"), F.col("m.end"))).alias("t"))
-    return terms.select("doc_id", "h", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``d__`` and ``h__``, by which rows of one doc_id and text are one; neither is null."""
+    return docs.withColumn("d__", F.coalesce(F.col("doc_id"), F.lit(0))).withColumn("h__", F.xxhash64("text", F.col("doc_id").isNull()))
+
+
+def entity_documents(matched: DataFrame) -> DataFrame:
+    """The documents with base matches, once each: d__, h__, entities, terms."""
 
+    def entity(m: Column) -> Column:
+        kept = F.when(m["kind"] == "email", F.lower(m["value"])).when(m["kind"] == "ip", m["value"]).otherwise(F.regexp_replace(m["value"], "[^0-9]", ""))
+        return F.concat_ws(":", m["kind"], kept)
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    rows = _keyed(matched.where(F.size("matches__") > 0))
+    found = rows.select("d__", "h__", F.array_distinct(F.transform("matches__", entity)).alias("entities"), _terms(F.col("text")).alias("terms"))
+    return found.dropDuplicates(["d__", "h__"])
+
+
+def disclosing_terms(docs: DataFrame, holders: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the terms that disclose an entity, by counts over all of ``docs``."""
     total = docs.count()
-    entities = contexts.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = contexts.where("term is not null").select("entity", "term", "doc_id", "h").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    held = holders.select(F.explode("entities").alias("entity"), "terms")
+    # an entity in fewer documents than a term needs has no terms
+    entities = _maybe_broadcast(cut_lineage(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)))
+    pairs = held.join(entities.select("entity"), "entity").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     pairs = cut_lineage(pairs.where(F.col("n_et") >= SUPPORT))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
     known = pairs.join(counts, "term").join(entities, "entity")
     gained = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    held = F.log2(F.lit(float(total)) / F.col("n_e"))
-    return known.withColumn("disclosure", F.when(held > 0, gained / held).otherwise(0.0)).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    information = F.log2(F.lit(float(total)) / F.col("n_e"))
+    return known.withColumn("disclosure", F.when(information > 0, gained / information).otherwise(0.0)).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, any others) with ``base`` and ``terms``, what to hide in each text.
 
     base: kind, start, end, in order of kind and start. terms: action (remove or
-    generalise), start, end, in order of start, without those inside a base span.
-    Terms are taken beside entities only, so that texts without personal data have
-    none. A null text is an empty one. Rows that repeat a doc_id and text get the same
+    generalise), start, end, in order of start, without those inside a base span: every
+    place of each term that discloses one of the text's entities, so that texts without
+    personal data have none. A null text is an empty one. Rows that repeat a doc_id and text get the same
     spans, a null doc_id is an id like any other, and other columns stay; ones named
     base or terms are replaced. No rows give no rows.
     """
     docs = docs.drop("base", "terms")
     matched = with_matches(docs)
-    contexts = cut_lineage(context_terms(with_matches(docs.select("doc_id", "text"))))
-    flagged = _maybe_broadcast(cut_lineage(disclosing_terms(docs, contexts)))
+    holders = cut_lineage(entity_documents(with_matches(docs.select("doc_id", "text"))))
+    flagged = cut_lineage(disclosing_terms(docs, holders))
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    hits = contexts.join(flagged, ["entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(F.max(action).alias("action"))
-    spans = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms__")).withColumnsRenamed({"doc_id": "doc_id__", "h": "h__"})
+    # an entity's terms are one row, so that a document meets one row for each of its entities
+    by_entity = _maybe_broadcast(flagged.groupBy("entity").agg(F.collect_list(F.struct("term", action.alias("action"))).alias("told")))
+    told = holders.select("d__", "h__", F.explode("entities").alias("entity")).join(by_entity, "entity").groupBy("d__", "h__").agg(F.flatten(F.collect_list("told")).alias("told"))
+    which = lambda x: F.array_distinct(F.transform(F.filter("told", lambda t: t["action"] == x), lambda t: t["term"]))
+    told = told.select("d__", "h__", which("remove").alias("removed__"), which("generalise").alias("generalised__"))
     base = F.transform("matches__", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    left = matched.withColumn("base", base).withColumn("text_h__", F.xxhash64("text")).drop("matches__")
-    joined = left.join(spans, F.col("doc_id").eqNullSafe(F.col("doc_id__")) & (F.col("text_h__") == F.col("h__")), "left")
+    joined = _keyed(matched.withColumn("base", base).drop("matches__")).join(told, ["d__", "h__"], "left")
+
+    def judged(m: Column) -> Column:
+        term = F.lower(m["value"])
+        says = F.when(F.array_contains("removed__", term), "remove").when(F.array_contains("generalised__", term), "generalise")
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), says.alias("action"))
+
+    hits = F.filter(F.transform(located(F.col("text"), _TERM), judged), lambda t: t["action"].isNotNull())
+    joined = joined.withColumn("terms__", F.when(F.col("removed__").isNotNull(), hits))
     apart = F.filter("terms__", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     terms = F.coalesce(F.transform(apart, lambda t: F.struct(t["action"].alias("action"), t["start"].alias("start"), t["end"].alias("end"))), F.array().cast("array<struct<action:string,start:bigint,end:bigint>>"))
-    return joined.withColumn("terms", terms).drop("terms__", "doc_id__", "h__", "text_h__")
+    return joined.withColumn("terms", terms).drop("terms__", "d__", "h__", "removed__", "generalised__")
 
 
 def sanitised(found: DataFrame) -> DataFrame:

@@ -339,6 +339,16 @@ def test_pii(spark):
     assert hidden[4] == "[PHONE] and +1-2" and "[EMAIL]" in hidden[len(texts) - 3] and hidden[len(texts) - 1] == texts[-1] and hidden[0] is None
 
 
+def test_disclosing_terms_are_hidden_wherever_they_stand(spark):
+    filler = " ".join(["they came from the market with fresh bread"] * 20)
+    texts = [f"Kowalczyk said {filler} to Bo write to someone@x.org {filler} or ask Kowalczyk and Bo. {k}" for k in range(3)] + [filler] * 60 + [f"{filler} Kowalczyk"]
+    rows = {r.doc_id: r for r in pii_disclosure.personal_spans(docs_of(spark, texts)).collect()}
+    for k in range(3):
+        found = [(texts[k][t.start : t.end], t.action) for t in rows[k].terms]
+        assert found.count(("Kowalczyk", "generalise")) == 2 and found.count(("Bo", "remove")) == 2 and not {"market", "the", "and"} & {w for w, _ in found}
+    assert not any(rows[k].terms for k in range(3, len(texts)))
+
+
 # ------------------------------------------------------------------ 10
 
 
