@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 
 from hexloom.llm.license_templates import TEMPLATES
 
-#: Templates whose wording is compared, in order of the size saved.
-RANKED = 4
 #: Share of a wording's words that may be missing or added.
 DIFFERENCE = 0.15
 
@@ -81,22 +79,65 @@ def wording_difference(wording: str, block: str) -> tuple[list[str], list[str],
     return [w for i, w in enumerate(a) if i not in in_a], [b[i] for i in inner if i not in in_b], len(a)
 
 
-@lru_cache(maxsize=4096)
-def classify(block: str) -> tuple[str | None, float, str, str, bool]:
-    """Licence, share of the compressed size saved, missing and added words, and whether the wording confirms it.
+def aligned(a: list[str], b: list[str]) -> tuple[list[str], list[str], int, int]:
+    """The fewest words missing from and added to ``a`` in a part of ``b``: missing, added, and the part's start and end."""
+    table = [[0] * (len(b) + 1)]
+    for i, word in enumerate(a, 1):
+        row, up = [i], table[-1]
+        for j, other in enumerate(b, 1):
+            row.append(up[j - 1] if word == other else min(up[j], row[-1]) + 1)
+        table.append(row)
+    end = min(range(len(b) + 1), key=table[-1].__getitem__)
+    i, j, missing, added = len(a), end, [], []
+    while i:
+        if j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        elif j and table[i][j] == table[i][j - 1] + 1:
+            j -= 1
+            added.append(b[j])
+        else:
+            i -= 1
+            missing.append(a[i])
+    return missing[::-1], added[::-1], j, end
+
 
-    The wordings are ranked by the size they save as raw dictionary. Of the ``RANKED``
-    best, the one with the fewest differing words wins (on ties the one that saves
-    more, then the longer wording).
+@lru_cache(maxsize=4096)
+def classify(block: str) -> tuple[tuple[str | None, float, str, str, bool], ...]:
+    """For each licence: its name, share of the compressed size saved, missing and added words, and whether the wording confirms it.
+
+    The words of all wordings that save anything as raw dictionary are compared. The
+    confirmed one with the fewest differing words wins its part of the block (on ties
+    the one that saves more, then the longer wording), and what stands before and behind
+    that part is judged in the same way. Without any, there is one row of no licence,
+    with the words of the nearest wording.
     """
     plain, dictionaries = _compressors()
     data = block.encode("utf-8", "surrogatepass")
     size = len(plain.compress(data))
-    ranked = sorted(((1 - len(c.compress(data)) / size, len(w), name, w) for name, w, c in dictionaries), reverse=True)[:RANKED]
-    best = min(((len(missing) + len(added), -saved, -length, name, missing, added, n) for saved, length, name, w in ranked for missing, added, n in [wording_difference(w, block)]))
-    differs, saved, _, name, missing, added, n = best
-    confirmed = -saved > 0 and differs <= DIFFERENCE * n
-    return (name if confirmed else None, round(-saved, 6), " ".join(missing), " ".join(added), confirmed)
+    ranked = [(1 - len(c.compress(data)) / size, len(w), name, w) for name, w, c in dictionaries]
+    split = [(saved, length, name, _WORD.findall(w.lower())) for saved, length, name, w in ranked if saved > 0]
+    words = _WORD.findall(block.lower())
+    found: list[tuple[int, tuple]] = []
+    todo = [(0, len(words))]
+    while todo:
+        begin, end = todo.pop()
+        part = words[begin:end]
+        known, fits = set(part), []
+        for saved, length, name, wording in split:
+            most = DIFFERENCE * len(wording)
+            if sum(w not in known for w in wording) <= most:
+                missing, added, a, b = aligned(wording, part)
+                if len(missing) + len(added) <= most:
+                    fits.append((len(missing) + len(added), -saved, -length, name, missing, added, a, b))
+        if fits:
+            _, saved, _, name, missing, added, a, b = min(fits)
+            found.append((begin + a, (name, round(-saved, 6), " ".join(missing), " ".join(added), True)))
+            todo += [(begin, begin + a), (begin + b, end)]
+    if found:
+        return tuple(row for _, row in sorted(found))
+    near = [(len(missing) + len(added), -saved, -length, name, missing, added) for saved, length, name, w in ranked for missing, added, _ in [wording_difference(w, block)]]
+    _, saved, _, _, missing, added = min(near)
+    return ((None, round(-saved, 6), " ".join(missing), " ".join(added), False),)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +145,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for a, b in candidate_blocks(text or ""):
-                rows.append((doc_id, a, b, text[a:b], *classify(text[a:b])))
+                rows += [(doc_id, a, b, text[a:b], *found) for found in classify(text[a:b])]
         columns = zip(*rows, strict=True) if rows else [[]] * 9
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], SCHEMA.names)
@@ -113,7 +154,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """The blocks of ``docs`` (doc_id, text) that may name a licence, and what they say; nothing is shuffled.
 
-    start and end are code points of the text. license is null and confirmed false if
+    start and end are code points of the text; a block that names several licences has
+    a row for each. license is null and confirmed false if
     no template's wording comes near enough. Null and empty texts have no block;
     repeated rows have theirs each; other columns are not read; no rows give no rows.
     """

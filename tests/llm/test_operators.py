@@ -118,6 +118,14 @@ def test_licenses(spark):
     assert texts[2][row.start : row.end] == row.block == "Released under the MIT License."
 
 
+def test_all_licenses_of_a_block():
+    named = lambda text: [row[0] for row in license_scan.classify(text)]
+    assert named("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert named("Released under the MIT License. Licensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0"]
+    text = "Copyright 2019 The Authors and Contributors of the project, all worldwide. Licensed under CC0 1.0. See the LICENSE file for the full license text of this work."
+    assert named(text) == ["CC0-1.0"]
+
+
 # ------------------------------------------------------------------ 4
 
 
