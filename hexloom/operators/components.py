@@ -8,10 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.session import cut_lineage
-
-#: Edge tables of at most so many rows are solved by one task.
-SMALL = 200_000
+from hexloom.session import cut_lineage, release
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,28 +30,32 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node of an undirected edge table; a component is named by its least node.
 
-    Nodes are whole numbers. Alternates neighbourhood minima with pointer jumping, so that chains of length n
-    take about log n rounds. Each round is two joins and partial aggregates, with the
-    lineage cut in the shared checkpoint folder. Nulls and self loops give no link; a
-    node that only has a self loop is its own component. An empty table gives no rows.
+    Nodes are whole numbers. Each partition first reduces its own edges to a forest; then rounds alternate
+    neighbourhood minima with pointer jumping, so that chains of length n take about log n of them. Each
+    round is two joins and partial aggregates, with the lineage cut in the shared checkpoint folder.
+    Nulls and self loops give no link; a node that only has a self loop is its own component. An empty
+    table gives no rows.
     """
-    pairs = cut_lineage(edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null"))
-    if pairs.limit(SMALL + 1).count() <= SMALL:
-        return pairs.coalesce(1).mapInArrow(_roots, "node long, component long")
-    both = cut_lineage(pairs.union(pairs.select("b", "a")).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "node"))
+    pairs = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
+    forest = cut_lineage(pairs.mapInArrow(_roots, "node long, component long"))
+    down = forest.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    both = cut_lineage(down.union(down.select("b", "a")).distinct())
+    labels = held = cut_lineage(forest.groupBy("node").agg(F.min("component").alias("l")))
+    release(forest)
     for _ in range(max_rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("l").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", "l", F.least("l", "near").alias("m"))
+        step = labels.join(near, labels.node == near.a, "left").select("node", "l", F.least("l", "near").alias("m"))
         # what the label's own node, and the node itself, now point to
         hooks = step.where("m < l").groupBy(F.col("l").alias("h")).agg(F.min("m").alias("hm"))
         step = step.join(hooks, step.l == hooks.h, "left").select("node", F.col("l").alias("was"), F.least("m", "hm").alias("l"))
         jump = step.select(F.col("node").alias("j"), F.col("l").alias("jl"))
         step = step.join(jump, step.l == jump.j).select("node", "was", F.least("l", "jl").alias("l"))
         step = cut_lineage(step)
-        labels = step.select("node", "l")
+        release(held)
+        labels, held = step.select("node", "l"), step
         if not step.where("l != was").limit(1).count():
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    release(both)
     return labels.withColumnRenamed("l", "component")

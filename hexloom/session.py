@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +30,40 @@ def local_session(cores: int = 8, **conf: str) -> SparkSession:
     return spark
 
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_local: list[str] = []
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local master may do without it, and gets a temporary folder."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="hexloom-checkpoint-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        folder = _local[0]
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there.
+    """``df`` written as a table to the shared folder and read from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master may
-    do without that setting; it gets a temporary folder.
+    A written table has its true size in later plans. A checkpoint keeps the estimate
+    of the plan that made it, which iterations multiply until planning never ends.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="hexloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables of ``frames`` that ``cut_lineage`` returned, once nothing reads them any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
