@@ -1,22 +1,25 @@
 """Near duplicates: a grouped prefix join on word n-gram Jaccard similarity, and its connected components.
 
 Shingle sets are ordered by one global order (frequent shingles last, then by hash).
-Two sets that reach the similarity share a shingle within their prefixes. Sets of one
-size and prefix form a group; groups that share prefix shingles are filtered by size,
-by the number of shared prefix shingles and by their places; the pairs left are
-expanded to their members, whose whole sets are compared. A pair whose link cannot
-change the components (both already in one) is not compared.
+Two sets that reach the similarity share a shingle within their prefixes, and the
+first that they share stands early enough in both. Sets of one size and prefix form a
+group; groups that share such a prefix shingle are pairs, which are expanded to their
+members, whose whole sets are compared. A pair whose link cannot change the
+components (both already in one) is not compared.
 
 How it stays bounded:
 
 - Equal sets are one class, found by a digest; copies are never paired.
 - A shingle that more than ``FREQUENT`` groups share has its list salted and, at first,
-  each group meets only its next ``NEAR`` in the list. What these links leave apart is
-  then compared in full, so that no link is lost.
-- Sets move once, to blocks of at most ``BLOCK`` classes of one candidate component;
-  pairs across blocks are compared only while their components differ.
+  each group meets only the ``NEAR`` groups next to it in the list. What these links
+  leave apart is then met in full: rows of other labels than the list's most common
+  one meet the whole list, in parts, so that no link is lost.
+- Sets are read once from the texts and move once more, to blocks of about ``BLOCK``
+  classes of one candidate component; pairs across blocks are compared only while
+  their components differ, the likeliest of each component first.
 - What goes to every task has a fixed size: at most ``TOP`` frequent shingles, and a
-  bit table of ``2**TABLE_BITS`` bits that says which texts are worth reading again.
+  bit table of ``2**TABLE_BITS`` bits that spares most texts that are not wanted from
+  being parsed again (a full table spares none, and the join after it decides).
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql.window import Window
 
 from hexloom.llm.vectext import encoded, mix, shingle_sets
 from hexloom.operators.components import connected_components
-from hexloom.session import cut_lineage
+from hexloom.session import cut_lineage, release
 
 WORDS = 5
 #: Jaccard similarity from which documents link, as a fraction.
@@ -41,8 +44,8 @@ FREQUENT, NEAR = 32, 4
 TOP, LOCAL_TOP, LOCAL_LEAST = 1 << 16, 4096, 4
 SALT_ROWS = 2048
 BLOCK = 256
-#: Share of all shingles of a pair that are common prefix shingles, from which a link is likely.
-LIKELY = 0.08
+#: Rows of a part of a long list; rounds that compare one pair of each component.
+PART, ROUNDS = 1024, 3
 TABLE_BITS = 23
 _COUNT_AT = 1 << 22
 
@@ -142,7 +145,7 @@ class Order:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, order) -> Iterator[pa.RecordBatch]:
-    """Postings (shingle or salted name, group, size * 2^31 + place, frequent shingles in the prefix), and members (group, group, class, -1)."""
+    """Postings (shingle or salted name, group, size * 2^31 + place), and members (group, class, -1)."""
     seen: set[int] = set()
     order = order.value
     for batch in batches:
@@ -161,9 +164,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, order) -> Iterator[p
             group = mix(mix(prefix * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(n))
             salts = np.maximum(1, order.counts[hot] // SALT_ROWS).astype(np.uint64)
             keys = np.concatenate((cold, Order.salted(order.tokens[hot], mix(order.tokens[hot] ^ group) % salts), group))
-            place = (n << 31) + np.arange(len(prefix) + 1)
-            place[-1] = cls
-            parts.append((_signed(keys), np.repeat(_signed(group), len(keys)), place, np.append(np.full(len(prefix), len(hot)), -1)))
+            owners = np.repeat(_signed(group), len(keys))
+            owners[-1] = cls
+            place = (n << 31) + np.arange(len(keys))
+            place[-1] = -1
+            parts.append((_signed(keys), owners, place))
             if len(parts) >= 512:
                 yield _postings(parts)
                 parts = []
@@ -172,25 +177,28 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, order) -> Iterator[p
 
 
 def _postings(parts: list[tuple]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns[:3]] + [pa.array(columns[3].astype(np.int32))], ["token", "grp", "place", "hot"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["token", "grp", "place"])
 
 
 # ---------------------------------------------------------------- candidates
 
-_CANDIDATES = "kind byte, a long, b long, pa long, pb long, ha int, hb int"
+_CANDIDATES = "kind byte, a long, b long, pa long, pb long"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Sorted batches cut between shingles (a list is whole in one of them)."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """Sorted batches cut where one of the first ``keys`` columns changes (a list is whole in one of them)."""
     kept: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy() for c in range(4)]
+        now = [batch.column(c).to_numpy() for c in range(batch.num_columns)]
         if kept is not None:
             now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
-        cut = int(np.searchsorted(now[0], now[0][-1]))
+        new = np.zeros(len(now[0]), bool)
+        for c in now[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(new)
+        cut = int(cuts[-1]) if len(cuts) else 0
         if cut:
             yield [c[:cut] for c in now]
         kept = [c[cut:] for c in now]
@@ -198,24 +206,33 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield kept
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], order) -> Iterator[pa.RecordBatch]:
-    """Kind 0: group pairs that share a shingle; 1: members (group, class); 2: lists of frequent shingles (shingle, group)."""
+def may_link(pa_: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    """Whether sets whose first shared shingle stands at these places (size * 2^31 + place) can reach the similarity.
+
+    They share that shingle and at most all behind it.
+    """
+    low = (1 << 31) - 1
+    na, nb = pa_ >> 31, pb >> 31
+    return np.minimum(na - (pa_ & low), nb - (pb & low)) >= least_overlap(na, nb)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], order, frequent: int, near: int) -> Iterator[pa.RecordBatch]:
+    """Kind 0: group pairs that share a shingle and may link by its places; 1: members (group, class); 2: long lists (shingle, group)."""
     order = order.value
 
     def out(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(columns[0]), 1 << 16):
             part = [c[i : i + (1 << 16)] for c in columns]
-            arrays = [pa.array(np.full(len(part[0]), kind, np.int8)), *(pa.array(c) for c in part[:4]), *(pa.array(c.astype(np.int32)) for c in part[4:])]
-            yield pa.RecordBatch.from_arrays(arrays, ["kind", "a", "b", "pa", "pb", "ha", "hb"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int8)), *(pa.array(c) for c in part)], ["kind", "a", "b", "pa", "pb"])
 
-    for token, group, place, hot in _runs(batches):
-        member = hot < 0
+    for token, group, place in _runs(batches):
+        member = place < 0
         if member.any():
             zero = np.zeros(int(member.sum()), np.int64)
-            yield from out(1, group[member], place[member], zero, zero, zero, zero)
+            yield from out(1, token[member], group[member], zero, zero)
         keep = ~member
         keep[1:] &= ~((token[1:] == token[:-1]) & (group[1:] == group[:-1]) & ~member[:-1])
-        token, group, place, hot = token[keep], group[keep], place[keep], hot[keep]
+        token, group, place = token[keep], group[keep], place[keep]
         if not len(token):
             continue
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -225,49 +242,50 @@ def _candidates(batches: Iterator[pa.RecordBatch], order) -> Iterator[pa.RecordB
         names = token.view(np.uint64)
         at = np.minimum(np.searchsorted(order.names, names), max(0, len(order.names) - 1))
         known = order.names[at] == names if len(order.names) else np.zeros(len(names), bool)
-        many = known | (length > FREQUENT)
+        many = known | (length > frequent)
         if many.any():
             real = np.where(known, order.owners[at] if len(order.names) else names, names)
-            yield from out(2, _signed(real[many]), group[many], place[many], np.where(known, 0, 1)[many].astype(np.int64), hot[many], hot[many])
+            yield from out(2, _signed(real[many]), group[many], place[many], place[many])
+            # each long list in an order of its own, so that a group meets others in each
+            mixed = np.lexsort((mix(group.view(np.uint64) ^ names), np.repeat(np.arange(len(first)), sizes)))
+            group, place = group[mixed], place[mixed]
         # step k pairs each row with the k-th after it in its list
-        for k in range(1, FREQUENT):
-            i = np.flatnonzero((left > k) & ((k <= NEAR) | ~many))
+        for k in range(1, max(frequent, near + 1)):
+            i = np.flatnonzero((left > k) & ((k <= near) | ~many))
             if not len(i):
                 break
             j = i + k
-            na, nb = place[i] >> 31, place[j] >> 31
-            fit = np.minimum(na, nb) * DENOMINATOR >= np.maximum(na, nb) * NUMERATOR
+            fit = may_link(place[i], place[j])
             i, j = i[fit], j[fit]
-            yield from out(0, group[i], group[j], place[i], place[j], hot[i], hot[j])
-
-
-def _may_link(c: Column, na: Column, nb: Column, ia: Column, ib: Column, unseen: Column) -> Column:
-    """Whether c shared prefix shingles, the last at places ia and ib, and ``unseen`` more leave room for a link."""
-    rest = lambda n: F.ceil(n * NUMERATOR / DENOMINATOR).cast("long") - 1  # noqa: E731  what stands behind the prefix
-    need = F.ceil((na + nb) * NUMERATOR / (NUMERATOR + DENOMINATOR)).cast("long")
-    # shingles outside one of the prefixes, and those behind the last shared one; unseen ones can stand before it, where there are places
-    return (c + unseen + F.greatest(rest(na), rest(nb)) >= need) & (F.least(c + unseen, ia + 1, ib + 1) + F.least(na - ia - 1, nb - ib - 1) >= need)
+            less = group[i] < group[j]
+            i, j = np.where(less, i, j), np.where(less, j, i)
+            yield from out(0, group[i], group[j], place[i], place[j])
 
 
 # ---------------------------------------------------------------- sets of the classes that take part
 
 
-def _positions(doc_id: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << TABLE_BITS)) for seed in (1, 2)]
+def _row_key(doc_id: Column, text_key: Column) -> Column:
+    return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), text_key)
 
 
-def _bit_table(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``doc_id``, of fixed size."""
-    spots = ids.select(F.explode(F.array(*_positions(F.col("doc_id")))).alias("at"))
+def _bit_table(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``key``, of fixed size."""
+    spots = keys.select(F.explode(F.array(*_positions(F.col("key")))).alias("at"))
     words = spots.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) as int)))").alias("bits"))
+    found = words.toArrow()
     table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    for word, bits in words.collect():
-        table[word] = bits
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return table
 
 
+def _positions(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << TABLE_BITS)) for seed in (1, 2)]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int, table) -> Iterator[pa.RecordBatch]:
     bits = table.value
+    seen: set[int] = set()
     for batch in batches:
         hit = np.ones(batch.num_rows, bool)
         for name in ("p1", "p2"):
@@ -276,20 +294,26 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, table) -> Iterator[pa.Re
         batch = batch.filter(pa.array(hit))
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            found = [(d, set_digest(s)[0], _signed(s)) for d, s in zip(part.column("doc_id").to_pylist(), shingle_sets(encoded(part.column("text")), size), strict=True) if len(s)]
+            found = []
+            for key, s in zip(part.column("key").to_pylist(), shingle_sets(encoded(part.column("text")), size), strict=True):
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    found.append((key, set_digest(s)[0], _signed(s)))
             if found:
-                d, c, s = zip(*found, strict=True)
-                yield _batch([d, c, s], [pa.int64(), pa.int64(), pa.list_(pa.int64())], ["doc_id", "cls", "shingles"])
+                k, c, s = zip(*found, strict=True)
+                yield _batch([k, c, s], [pa.int64(), pa.int64(), pa.list_(pa.int64())], ["key", "found", "shingles"])
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, shingles) and the other columns of ``wanted`` (cls, rep), read from the texts of the representatives."""
-    table = docs.sparkSession.sparkContext.broadcast(_bit_table(wanted.select(F.col("rep").alias("doc_id"))))
-    p1, p2 = _positions(F.col("doc_id"))
-    read = docs.where("doc_id is not null").select("doc_id", "text", p1.alias("p1"), p2.alias("p2"))
-    sets = read.mapInArrow(partial(_sets, size=size, table=table), "doc_id long, cls long, shingles array<bigint>")
-    # a document's other rows can have other texts, and copies of a representative its id
-    return wanted.join(sets.withColumnRenamed("cls", "c"), (F.col("rep") == F.col("doc_id")) & (F.col("cls") == F.col("c"))).drop("doc_id", "c", "rep")
+    """(cls, shingles) of the classes ``wanted`` (cls, key), read from the texts of the rows that stand for them.
+
+    Rows that the fixed filter lets through in error are dropped by the join.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(_bit_table(wanted.select("key")))
+    keyed = docs.select(_row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text")
+    read = keyed.select("key", "text", *(p.alias(f"p{i + 1}") for i, p in enumerate(_positions(F.col("key")))))
+    sets = read.mapInArrow(partial(_sets, size=size, table=table), "key long, found long, shingles array<bigint>")
+    return wanted.join(sets, "key").where("cls = found").select("cls", "shingles")
 
 
 # ---------------------------------------------------------------- comparison within blocks
@@ -353,7 +377,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     block, sets, members, edges = None, {}, {}, []
     for batch in batches:
         shingles = batch.column("shingles")
-        for i, (c, s, kind, a, b) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("component", "sub", "kind", "a", "b")), strict=True)):
+        for i, (c, s, kind, a, b) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("block", "sub", "kind", "a", "b")), strict=True)):
             if (c, s) != block:
                 if sets:
                     yield done()
@@ -361,112 +385,142 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if kind:
                 edges.append((a, b))
             elif b not in sets:
-                sets[b] = np.asarray(shingles[i].values)
+                sets[b] = np.array(shingles[i].values)
                 members.setdefault(a, []).append(b)
     if sets:
         yield done()
 
 
-# ---------------------------------------------------------------- frequent shingles, in full
+def _blocks(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(grp, cls, block, sub): the classes that may link, in blocks of about ``BLOCK``.
 
-
-def _cross_pairs(batches: Iterator[pa.RecordBatch], late: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of different labels within each list part; parts are (shingle, i, j) with i <= j, and pairs between i and j.
-
-    A pair that shares a rare prefix shingle is among the edges, which are judged with
-    all their frequent shingles as unseen. Where both prefixes reach their frequent
-    shingles they hold all rare ones of their sets, so that any other pair shares
-    frequent ones only: the sets without their rare shingles must be large enough to
-    link. A prefix without counted frequent shingles can leave rare ones out; its pairs
-    are all kept.
+    A component of candidates is one block. One of more classes is split into stars (a
+    group and those that have it as the least of their neighbours), and a larger star or
+    group by the hash of its groups or classes.
     """
-    held: list[list] = []
-    key = None
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        cls, label, place, hot, part = (np.array(c) for c in zip(*held, strict=True))
-        i, j, n = key[1], key[2], place >> 31
-        rare = n + (-NUMERATOR * n) // DENOMINATOR + 1 - hot
-        frequent = n - np.maximum(rare - late, 0)
-        for x in np.flatnonzero(part == i):
-            other = (label != label[x]) & (part == j)
-            if i == j:
-                other[: x + 1] = False
-            other &= (np.minimum(n[x], n) * DENOMINATOR >= np.maximum(n[x], n) * NUMERATOR) & (cls != cls[x])
-            other &= (np.minimum(frequent[x], frequent) >= least_overlap(n[x], n)) | (hot[x] == 0) | (hot == 0)
-            y = np.flatnonzero(other)
-            if len(y):
-                swap = cls[y] < cls[x]
-                one = lambda v: np.where(swap, v[y], v[x])  # noqa: E731, B023
-                two = lambda v: np.where(swap, v[x], v[y])  # noqa: E731, B023
-                yield _batch([one(cls), two(cls), one(place), two(place), np.minimum(hot[x], hot[y])], [pa.int64()] * 5, ["a", "b", "pa", "pb", "hot"])
+    loose = connected_components(edges, "a", "b").withColumnRenamed("node", "grp")
+    in_group = members.groupBy("grp").agg(F.count("*").alias("in_group"))
+    alone = in_group.where("in_group > 1").join(loose, "grp", "left_anti").select("grp", F.col("grp").alias("component"))
+    active = cut_lineage(loose.select("grp", "component").union(alone).join(in_group, "grp").join(members, "grp"))
+    large = active.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("component", F.lit(True).alias("large"))
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    star = both.groupBy(F.col("a").alias("grp")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("g"))).alias("near"))
+    center = F.least(F.col("near"), F.struct(F.xxhash64("grp").alias("h"), F.col("grp").alias("g")))["g"]
+    split = active.join(large, "component", "left").join(star, "grp", "left")
+    split = cut_lineage(split.select("grp", "cls", "in_group", F.when(F.col("large"), F.coalesce(center, "grp")).otherwise(F.col("component")).alias("block")))
+    sizes = split.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("subs"))
+    dealt = F.when(F.col("in_group") > BLOCK, F.col("cls")).otherwise(F.col("grp"))
+    return cut_lineage(split.join(sizes, "block").select("grp", "cls", "block", F.pmod(F.xxhash64(dealt), F.col("subs")).alias("sub")))
 
-    for batch in batches:
-        for t, i, j, *row in zip(*(batch.column(n).to_pylist() for n in ("token", "i", "j", "cls", "label", "place", "hot", "part")), strict=True):
-            if (t, i, j) != key:
-                if held:
-                    yield from pairs()
-                key, held = (t, i, j), []
-            held.append(row)
-    if held:
-        yield from pairs()
 
+def _within_blocks(edges: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Labels (cls, label) by the links within each block."""
+    of = placed.select("grp", "block", "sub").distinct()
+    local = edges.join(of.withColumnRenamed("grp", "a"), "a").join(of.withColumnRenamed("grp", "b"), ["b", "block", "sub"])
+    local = local.select("block", "sub", F.lit(1).alias("kind"), "a", "b", "score", F.lit(None).cast("array<bigint>").alias("shingles"))
+    own = placed.join(sets, "cls").select("block", "sub", F.lit(0).alias("kind"), F.col("grp").alias("a"), F.col("cls").alias("b"), F.lit(0.0).alias("score"), "shingles")
+    rows = own.union(local).repartition("block", "sub").sortWithinPartitions("block", "sub", "kind", F.desc("score"), "a", "b")
+    return cut_lineage(rows.mapInArrow(_compare_blocks, "cls long, label long"))
 
-def _frequent_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, late: int) -> DataFrame:
-    """Class pairs (a, b, score) of different labels that share enough frequent shingles to link, from the whole lists."""
-    rows = lists.join(members, "grp").join(labels, "cls", "left").select("token", "cls", F.coalesce("label", "cls").alias("label"), "place", "hot")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("token", "rows")
-    parts = F.ceil(F.col("rows") / BLOCK / 4).cast("long")
-    dealt = rows.join(mixed, "token").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    spread = spread.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "label", "place", "hot", "part")
-    found = spread.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(partial(_cross_pairs, late=late), "a long, b long, pa long, pb long, hot long")
-    return _linkable(_summed(found.select("a", "b", "pa", "pb", F.lit(0).alias("ha"), F.lit(0).alias("hb")), ["a", "b"]), F.lit(0))
 
+# ---------------------------------------------------------------- long lists
 
-def _summed(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (a, b, pa, pb, ha, hb) counted by key, with the sizes and the last shared places."""
-    place = lambda c: F.max(F.col(c).bitwiseAND((1 << 31) - 1))
-    size = lambda c: F.max(F.shiftright(c, 31))
-    return pairs.groupBy(*keys).agg(
-        F.count("*").alias("c"), place("pa").alias("ia"), place("pb").alias("ib"), size("pa").alias("na"), size("pb").alias("nb"), F.max("ha").alias("ha"), F.max("hb").alias("hb")
-    )
 
+def _cross_pairs(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """Group pairs (a, b) of different labels that may link by their places, within each part of a list.
 
-def _linkable(summed: DataFrame, unseen: Column) -> DataFrame:
-    """The pairs (a, b, score) that may link."""
-    fit = summed.where(_may_link(F.col("c"), F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"), unseen))
-    return fit.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb"))).alias("score"))
+    Rows are (token, i, j, part, grp, label, place), sorted; a part has pairs between i
+    and j. ``first``: one pair at most for each pair of labels.
+    """
+    for token, i, j, part, group, label, place in _runs(batches, 3):
+        new = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        for s, e in zip(new, [*new[1:], len(token)], strict=True):
+            seen: set[tuple[int, int]] = set()
+            ours, theirs = s + np.flatnonzero(part[s:e] == i[s]), s + np.flatnonzero(part[s:e] == j[s])
+            found: list[np.ndarray] = [[], []]
+            for x in ours:
+                other = theirs[theirs > x] if i[s] == j[s] else theirs
+                other = other[(label[other] != label[x]) & (group[other] != group[x]) & may_link(place[x], place[other])]
+                if first and len(other):
+                    other = other[np.unique(label[other], return_index=True)[1]]
+                    new_pairs = [y for y in other if (min(label[x], label[y]), max(label[x], label[y])) not in seen]
+                    seen.update((min(label[x], label[y]), max(label[x], label[y])) for y in new_pairs)
+                    other = np.array(new_pairs, np.int64)
+                if len(other):
+                    found[0].append(np.minimum(group[x], group[other]))
+                    found[1].append(np.maximum(group[x], group[other]))
+            if found[0]:
+                a, b = (np.concatenate(f) for f in found)
+                for k in range(0, len(a), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 16)]), pa.array(b[k : k + (1 << 16)])], ["a", "b"])
+
+
+def _frequent_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, first: bool) -> DataFrame:
+    """Group pairs (a, b, score) with classes of different labels that share a frequent shingle and may link, from the whole lists.
+
+    The rows of a list's most common label need not meet each other: each is dealt once
+    to a part, which all rows of other labels meet.
+    """
+    named = members.join(labels, "cls", "left").select("grp", F.coalesce("label", "cls").alias("label")).distinct()
+    rows = cut_lineage(lists.join(named, "grp").select("token", "grp", "label", "place"))
+    by_label = rows.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("rows"))
+    mixed = by_label.where("main.n < rows").select("token", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / PART).cast("long").alias("main_parts"), F.ceil((F.col("rows") - F.col("main.n")) / PART).cast("long").alias("parts"))
+    own, hashed = F.col("label") == F.col("main"), F.xxhash64("grp")
+    dealt = rows.join(mixed, "token").withColumn("part", F.when(own, F.col("parts") + F.pmod(hashed, F.col("main_parts"))).otherwise(F.pmod(hashed, F.col("parts"))))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(own, F.col("parts")).otherwise(F.col("parts") + F.col("main_parts")) - 1)))
+    spread = spread.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "grp", "label", "place")
+    found = spread.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(partial(_cross_pairs, first=first), "a long, b long")
+    return found.groupBy("a", "b").agg(F.count("*").cast("double").alias("score"))
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def _merge(docs: DataFrame, pairs: DataFrame, labels: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """Labels (cls, label) joined by the links among ``pairs`` (a, b, score) across them.
+def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """Labels (cls, label) joined by the links among group ``pairs`` (a, b, score) across them.
 
-    The first round compares the likeliest pair of any two labels, the second all
-    pairs that are still between different ones.
+    In at most ``ROUNDS`` rounds each label has only its likeliest untried pair compared,
+    by one class of either side; what is still between different labels is then
+    compared in full. Pairs of classes that ``placed`` puts in one block have been.
     """
-    for most in (1, None):
-        of = lambda side: labels.select(F.col("cls").alias(side), F.col("label").alias(f"l{side}"))
-        known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "score", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-        apart = cut_lineage(known.where("la != lb"))
-        if not apart.limit(1).count():
-            return labels
-        tried = apart
-        if most:
-            best = apart.groupBy(F.least("la", "lb"), F.greatest("la", "lb"), F.pmod(F.xxhash64("a", "b"), F.lit(most))).agg(F.max(F.struct("score", "a", "b", "la", "lb")).alias("best"))
-            tried = cut_lineage(best.select("best.*"))
-        wanted = tried.select(F.col("a").alias("cls")).union(tried.select("b")).distinct().join(classes, "cls")
-        sets = _class_sets(docs, wanted, size)
-        both = tried.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-        links = both.where(shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.size("sa") + F.size("sb"))).select("la", "lb")
-        merged = connected_components(links, "la", "lb")
-        old = labels.union(tried.select("a", "la")).union(tried.select("b", "lb")).distinct()
-        labels = cut_lineage(old.join(merged, F.col("label") == F.col("node"), "left").select("cls", F.coalesce("component", "label").alias("label")))
-        pairs = apart.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "score")
+    pairs, tried, k = cut_lineage(pairs), None, 0
+    home = [c if placed is not None else F.lit(None).cast("long").alias(c) for c in ("block", "sub")]
+    while True:
+        full = k == ROUNDS
+        marked = members.join(labels, "cls", "left")
+        marked = marked if placed is None else marked.join(placed.select("cls", "block", "sub"), "cls", "left")
+        marked = marked.select("grp", "cls", F.coalesce("label", "cls").alias("label"), *home)
+        if not full:
+            marked = marked.groupBy("grp", "label", "block", "sub").agg(F.min("cls").alias("cls"))
+        marked = cut_lineage(marked)
+        side = lambda s: marked.select(*(F.col(c).alias(t) for c, t in (("grp", s), ("cls", f"c{s}"), ("label", f"l{s}"), ("block", f"b{s}"), ("sub", f"s{s}"))))  # noqa: E731, B023
+        known = pairs.join(side("a"), "a").join(side("b"), "b").where("la != lb and not coalesce(ba = bb and sa = sb, false)").select("score", "ca", "cb", "la", "lb")
+        if tried is not None:
+            known = known.join(tried.select("ca", "cb"), ["ca", "cb"], "left_anti")
+        known = cut_lineage(known)
+        if full:
+            now = known.select("ca", "cb", "la", "lb")
+        else:
+            each = known.select(F.col("la").alias("l"), "*").union(known.select(F.col("lb").alias("l"), "*"))
+            now = each.groupBy("l").agg(F.max(F.struct("score", F.xxhash64("ca", "cb").alias("h"), "ca", "cb", "la", "lb")).alias("best")).select("best.ca", "best.cb", "best.la", "best.lb")
+        now = cut_lineage(now.distinct())
+        release(marked, known)
+        if not now.limit(1).count():
+            break
+        both = now.join(sets.select(F.col("cls").alias("ca"), F.col("shingles").alias("xa")), "ca").join(sets.select(F.col("cls").alias("cb"), F.col("shingles").alias("xb")), "cb")
+        shared = F.size(F.array_intersect("xa", "xb")).cast("long")
+        links = cut_lineage(both.where(shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.size("xa") + F.size("xb"))).select("la", "lb"))
+        linking = links.limit(1).count()
+        if linking:
+            merged = connected_components(links, "la", "lb")
+            old = labels.union(now.select("ca", "la")).union(now.select("cb", "lb")).groupBy("cls").agg(F.min("label").alias("label"))
+            labels = cut_lineage(old.join(merged, F.col("label") == F.col("node"), "left").select("cls", F.coalesce("component", "label").alias("label")))
+        release(links)
+        if full:
+            break
+        tried = now if tried is None else tried.union(now)
+        k = k + 1 if linking else ROUNDS
+    release(pairs)
     return labels
 
 
@@ -480,53 +534,39 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Null and empty texts have no shingle and are components of their own. Rows with
     equal sets link, repeated rows too. Rows of one doc_id with different texts are
-    nodes of their own. A null doc_id takes part, but names a component only if it has
-    no other id. Other columns are not read; no rows give no rows.
+    nodes of their own. A row without doc_id links like any other, but does not name a
+    component; one of such rows only has none. Very long texts are worked on whole.
+    Other columns are not read; no rows give no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = docs.withColumn("text_key", F.xxhash64("text"))
     signed = cut_lineage(read.mapInArrow(partial(_signatures, size=words), "kind byte, a long, n long, cls long, check long, text_key long"))
     signatures = signed.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "cls", "text_key")
-    classes = cut_lineage(signatures.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))).where("rep is not null")
-    often = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(TOP).collect()
-    order = spark.sparkContext.broadcast(Order(np.array([r.a for r in often], np.int64), np.array([r.n for r in often], np.int64)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    grouped = signatures.where("cls is not null").groupBy("cls").agg(first)
+    classes = cut_lineage(grouped.select("cls", F.col("first.doc_id").alias("rep"), _row_key(F.col("first.doc_id"), F.col("first.text_key")).alias("key")))
+    often = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(TOP).toArrow()
+    order = spark.sparkContext.broadcast(Order(*(np.array(often.column(c).to_numpy(), np.int64) for c in ("a", "n"))))
 
-    postings = docs.where("doc_id is not null").select("text").mapInArrow(partial(_prefixes, size=words, order=order), "token long, grp long, place long, hot int")
+    postings = docs.select("text").mapInArrow(partial(_prefixes, size=words, order=order), "token long, grp long, place long")
     sorted_lists = postings.repartition("token").sortWithinPartitions("token", "grp")
-    found = cut_lineage(_summed(sorted_lists.mapInArrow(partial(_candidates, order=order), _CANDIDATES), ["kind", "a", "b"]))
+    paired = sorted_lists.mapInArrow(partial(_candidates, order=order, frequent=FREQUENT, near=NEAR), _CANDIDATES)
+    found = cut_lineage(paired.groupBy("kind", "a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")))
     members = found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("cls"))
-    lists = found.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("grp"), (F.shiftleft("na", 31) + F.col("ia")).alias("place"), F.col("ha").alias("hot"), F.col("ib").alias("late"))
-    # shingles whose lists turned out long only now are not among a prefix's counted frequent ones
-    late = lists.where("late = 1").groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    edges = cut_lineage(_linkable(found.where("kind = 0"), F.least("ha", "hb") + late))
-
-    # blocks: the classes of groups that may link, by candidate component; a large one by its likely links, and those by a hash
-    loose = connected_components(edges, "a", "b").withColumnRenamed("node", "grp")
-    alone = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").join(loose, "grp", "left_anti").select("grp", F.col("grp").alias("component"))
-    active = cut_lineage(loose.select("grp", "component").union(alone).join(members, "grp"))
-    tight = connected_components(edges.where(F.col("score") >= LIKELY), "a", "b").select(F.col("node").alias("grp"), F.col("component").alias("tight"))
-    large = active.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("component", F.lit(True).alias("large"))
-    split = active.join(large, "component", "left").join(tight, "grp", "left")
-    split = cut_lineage(split.select("grp", "cls", F.when(F.col("large"), F.coalesce("tight", "grp")).otherwise(F.col("component")).alias("component")))
-    sizes = split.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("subs"))
-    placed = cut_lineage(split.join(sizes, "component").select("component", F.pmod(F.xxhash64("grp"), F.col("subs")).alias("sub"), "grp", "cls").join(classes, "cls"))
-    sets = _class_sets(docs, placed, words).select("component", "sub", F.lit(0).alias("kind"), F.col("grp").alias("a"), F.col("cls").alias("b"), F.lit(0.0).alias("score"), "shingles")
-    of = placed.select("grp", "component", "sub").distinct()
-    homes = edges.join(of.withColumnRenamed("grp", "a"), "a").join(of.select(F.col("grp").alias("b"), F.col("component").alias("home_b"), F.col("sub").alias("sub_b")), "b")
-    homes = cut_lineage(homes.withColumn("same", (F.col("component") == F.col("home_b")) & (F.col("sub") == F.col("sub_b"))))
-    local = homes.where("same").select("component", "sub", F.lit(1).alias("kind"), "a", "b", "score", F.lit(None).cast("array<bigint>").alias("shingles"))
-    rows = sets.union(local).repartition("component", "sub").sortWithinPartitions("component", "sub", "kind", F.desc("score"), "a", "b")
-    labels = cut_lineage(rows.mapInArrow(_compare_blocks, "cls long, label long"))
-
-    # pairs across blocks, by the classes of each group and label
-    marked = members.join(labels, "cls").select("grp", "cls", "label")
-    sides = lambda side: marked.select(F.col("grp").alias(side), F.col("cls").alias(f"c{side}"), F.col("label").alias(f"l{side}"))
-    some = lambda side: marked.select(F.col("grp").alias(side), F.col("label").alias(f"l{side}")).distinct()
-    open_pairs = homes.where("not same").select("a", "b", "score").join(some("a"), "a").join(some("b"), "b").where("la != lb").select("a", "b", "la", "lb", "score")
-    across = open_pairs.join(sides("a"), ["a", "la"]).join(sides("b"), ["b", "lb"]).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "score")
-    labels = _merge(docs, across.distinct(), labels, classes, words)
-    labels = _merge(docs, _frequent_pairs(lists.select("token", "grp", "place", "hot"), members, labels, late), labels, classes, words)
+    lists = found.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("grp"), F.col("pa").alias("place"))
+    edges = found.where("kind = 0").select("a", "b", (F.col("c") / (F.shiftright("pa", 31) + F.shiftright("pb", 31))).alias("score"))
+
+    placed = _blocks(edges, members)
+    wanted = placed.select("cls").union(lists.select("grp").distinct().join(members, "grp").select("cls")).distinct()
+    sets = cut_lineage(_class_sets(docs, wanted.join(classes, "cls").select("cls", "key"), words))
+    labels = _within_blocks(edges, placed, sets)
+    split = placed.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("grp").alias("a"), F.col("grp").alias("b"), F.lit(1.0).alias("score"))
+    labels = _merge(edges.union(split), members, labels, sets, placed)
+    if lists.limit(1).count():
+        for one_a_pair in (True, False):
+            labels = _merge(_frequent_pairs(lists, members, labels, one_a_pair), members, labels, sets)
+    release(sets, placed, found)
 
     named = labels.join(classes, "cls")
     least = named.groupBy("label").agg(F.min("rep").alias("least"))

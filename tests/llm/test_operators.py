@@ -60,25 +60,50 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("frequent, block", [(32, 256), (4, 8)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, frequent, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
-    if frequent != ngram_join.FREQUENT:
-        monkeypatch.setattr(ngram_join, "LIKELY", 0.15)
+@pytest.mark.parametrize("settings", [{}, {"FREQUENT": 4, "NEAR": 1, "BLOCK": 8, "PART": 8, "ROUNDS": 1}, {"FREQUENT": 2, "NEAR": 0, "BLOCK": 2, "PART": 3, "TABLE_BITS": 7}])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(ngram_join, name, value)
     texts = near_texts()
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs_of(spark, texts)).collect()}
     assert found == brute_components(texts)
 
 
-def test_pairs_of_rare_and_frequent_shingles_stay(spark):
-    # two sets of 101 share 3 rare and 85 frequent shingles, 88 of the 87 needed; 7 of those in the prefixes were seen, the last at its end
-    pairs = spark.createDataFrame([(1, 2, 7, 25, 25, 101, 101, 10), (3, 4, 7, 25, 25, 101, 101, 4)], "a long, b long, c long, ia long, ib long, na long, nb long, unseen long")
-    assert [r.a for r in ngram_join._linkable(pairs, F.col("unseen")).collect()] == [1]
-    # the 4 late shingles of 80 and 100 are all that their prefixes share, as the larger one's is full of rare ones that stand before
-    rows = [(9, 0, 0, 1, 1, 80 << 31, 0, 0), (9, 0, 0, 2, 2, 100 << 31 | 22, 0, 0), (9, 0, 0, 3, 3, 300 << 31, 0, 0)]
-    names = ["token", "i", "j", "cls", "label", "place", "hot", "part"]
-    found = [b.to_pylist() for b in ngram_join._cross_pairs(iter([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])]), 4)]
-    assert [(r["a"], r["b"]) for part in found for r in part] == [(1, 2)]
+def test_large_groups_and_shared_passages_equal_brute_force(spark, monkeypatch):
+    """Copies whose differences stand behind equal prefixes, and texts that share more than 5/6 with many others but link with few."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "PART", 32)
+    base, passage = words(60, 11), words(89, 12)
+    texts = [" ".join(base[:55] + [f"e{k % 7}"]) for k in range(40)] + [" ".join([*base, *words(k % 9, k)]) for k in range(200)]
+    texts += [" ".join(passage + words(12 + k % 8, 500 + k)) for k in range(200)]
+    r = random.Random(5)
+    for _ in range(100):
+        w = list(passage)
+        for j in r.sample(range(89), r.randrange(4)):
+            w[j] = f"y{r.random()}"
+        texts.append(" ".join(w + words(5, r.randrange(10**6))))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs_of(spark, texts)).collect()}
+    assert found == brute_components(texts)
+
+
+def test_places_bound_the_overlap():
+    """Against sets that share all behind their first shared shingle."""
+    for na, nb, ia, ib in [(r.randrange(1, 60), r.randrange(1, 60), r.randrange(20), r.randrange(20)) for r in [random.Random(3)] for _ in range(400)]:
+        if ia < na and ib < nb:
+            most = min(na - ia, nb - ib)
+            links = 100 * most >= 75 * (na + nb - most)
+            assert bool(ngram_join.may_link(np.array([na << 31 | ia]), np.array([nb << 31 | ib]))[0]) == links
+
+
+def test_rows_without_id_link_others(spark):
+    """Of 1, null and 2, only the middle one is like both others."""
+    w = words(100, 9)
+    rows = [(1, " ".join(w)), (None, " ".join([*w[:88], *words(12, 10)])), (2, " ".join([*words(10, 12), *w[10:88], *words(12, 10)])), (None, "alone it is here today"), (None, None), (7, " ".join(w)), (7, "other words of one id here")]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, component_id int")
+    found = sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()), key=str)
+    sets = brute_components([t for _, t in rows])
+    assert {sets[i][1] for i in (0, 1, 2, 5)} == {0} and sets[6][1] == 6
+    assert found == sorted([(1, 96, 1), (-1, 96, 1), (2, 96, 1), (7, 96, 1), (7, 2, 7), (-1, 1, None), (-1, 0, None)], key=str)
 
 
 def test_one_of_each_keeps_the_least(spark):
