@@ -41,11 +41,14 @@ WORDS = 5
 #: Jaccard similarity from which documents link, as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
 FREQUENT, NEAR = 32, 4
-TOP, LOCAL_TOP, LOCAL_LEAST = 1 << 16, 4096, 4
+#: Shingles that the order counts, at most, overall and in a partition, and the least counts.
+TOP, LOCAL_TOP, LEAST, LOCAL_LEAST = 1 << 16, 8192, 8, 3
 SALT_ROWS = 2048
 BLOCK = 256
 #: Rows of a part of a long list; rounds that compare one pair of each component.
 PART, ROUNDS = 1024, 3
+#: Most classes whose keys are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 TABLE_BITS = 23
 _COUNT_AT = 1 << 22
 
@@ -118,15 +121,16 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
 
 
 class Order:
-    """The frequent shingles in order of their number, and the salted names of their lists."""
+    """The frequent shingles in order of their number, and the salted names of the lists of the most frequent."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         found, number = np.ascontiguousarray(tokens).view(np.uint64), counts
         by_token = np.argsort(found)
         self.tokens, self.counts = found[by_token], number[by_token]
-        salts = np.maximum(1, self.counts // SALT_ROWS)
-        owner = np.repeat(np.arange(len(self.tokens)), salts)
-        names = self.salted(self.tokens[owner], np.arange(len(owner)) - np.repeat(np.cumsum(salts) - salts, salts))
+        self.salts = np.maximum(1, self.counts // SALT_ROWS)
+        owner = np.repeat(np.flatnonzero(self.salts > 1), self.salts[self.salts > 1])
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else owner
+        names = self.salted(self.tokens[owner], np.arange(len(owner)) - np.repeat(first, self.salts[self.salts > 1]))
         by_name = np.argsort(names)
         self.names, self.owners = names[by_name], self.tokens[owner][by_name]
 
@@ -162,8 +166,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, order) -> Iterator[p
             cold, hot = cold[:p], hot[: max(0, p - len(cold))]
             prefix = np.concatenate((cold, order.tokens[hot]))
             group = mix(mix(prefix * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(n))
-            salts = np.maximum(1, order.counts[hot] // SALT_ROWS).astype(np.uint64)
-            keys = np.concatenate((cold, Order.salted(order.tokens[hot], mix(order.tokens[hot] ^ group) % salts), group))
+            salts = order.salts[hot].astype(np.uint64)
+            named = np.where(salts > 1, Order.salted(order.tokens[hot], mix(order.tokens[hot] ^ group) % salts), order.tokens[hot])
+            keys = np.concatenate((cold, named, group))
             owners = np.repeat(_signed(group), len(keys))
             owners[-1] = cls
             place = (n << 31) + np.arange(len(keys))
@@ -182,7 +187,7 @@ def _postings(parts: list[tuple]) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- candidates
 
-_CANDIDATES = "kind byte, a long, b long, pa long, pb long"
+_CANDIDATES = "kind byte, a long, b long, pa long, pb long, fit boolean"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
@@ -217,19 +222,19 @@ def may_link(pa_: np.ndarray, pb: np.ndarray) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], order, frequent: int, near: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: group pairs that share a shingle and may link by its places; 1: members (group, class); 2: long lists (shingle, group)."""
+    """Kind 0: group pairs that share a shingle, and whether they may link by its places; 1: members (group, class); 2: long lists (shingle, group)."""
     order = order.value
 
     def out(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(columns[0]), 1 << 16):
             part = [c[i : i + (1 << 16)] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int8)), *(pa.array(c) for c in part)], ["kind", "a", "b", "pa", "pb"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int8)), *(pa.array(c) for c in part)], ["kind", "a", "b", "pa", "pb", "fit"])
 
     for token, group, place in _runs(batches):
         member = place < 0
         if member.any():
             zero = np.zeros(int(member.sum()), np.int64)
-            yield from out(1, token[member], group[member], zero, zero)
+            yield from out(1, token[member], group[member], zero, zero, zero > 0)
         keep = ~member
         keep[1:] &= ~((token[1:] == token[:-1]) & (group[1:] == group[:-1]) & ~member[:-1])
         token, group, place = token[keep], group[keep], place[keep]
@@ -245,7 +250,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], order, frequent: int, near: i
         many = known | (length > frequent)
         if many.any():
             real = np.where(known, order.owners[at] if len(order.names) else names, names)
-            yield from out(2, _signed(real[many]), group[many], place[many], place[many])
+            yield from out(2, _signed(real[many]), group[many], place[many], place[many], many[many])
             # each long list in an order of its own, so that a group meets others in each
             mixed = np.lexsort((mix(group.view(np.uint64) ^ names), np.repeat(np.arange(len(first)), sizes)))
             group, place = group[mixed], place[mixed]
@@ -255,11 +260,28 @@ def _candidates(batches: Iterator[pa.RecordBatch], order, frequent: int, near: i
             if not len(i):
                 break
             j = i + k
-            fit = may_link(place[i], place[j])
-            i, j = i[fit], j[fit]
+            na, nb = place[i] >> 31, place[j] >> 31
+            near_size = np.minimum(na, nb) >= least_overlap(na, nb)
+            i, j = i[near_size], j[near_size]
             less = group[i] < group[j]
             i, j = np.where(less, i, j), np.where(less, j, i)
-            yield from out(0, group[i], group[j], place[i], place[j])
+            yield from out(0, group[i], group[j], place[i], place[j], may_link(place[i], place[j]))
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    """Group pairs (a, b, score) that may link.
+
+    One of the shared shingles stands early enough in both. What two sets share is in
+    both prefixes or behind the one that ends first; of what is in both, ``c`` was seen
+    in short lists, and no more than either has in long ones can be unseen.
+    """
+    unseen = found.where("kind = 2").groupBy(F.col("b").alias("grp")).agg(F.count("*").alias("h"))
+    pairs = found.where("kind = 0 and fit").select("a", "b", "c", F.shiftright("pa", 31).alias("na"), F.shiftright("pb", 31).alias("nb"))
+    known = pairs.join(unseen.select(F.col("grp").alias("a"), F.col("h").alias("ha")), "a", "left").join(unseen.select(F.col("grp").alias("b"), F.col("h").alias("hb")), "b", "left")
+    behind = lambda n: F.ceil(n * NUMERATOR / DENOMINATOR).cast("long") - 1
+    most = F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) + F.greatest(behind(F.col("na")), behind(F.col("nb")))
+    need = F.ceil((F.col("na") + F.col("nb")) * NUMERATOR / (NUMERATOR + DENOMINATOR)).cast("long")
+    return known.where(most >= need).select("a", "b", (F.col("c") / (F.col("na") + F.col("nb"))).alias("score"))
 
 
 # ---------------------------------------------------------------- sets of the classes that take part
@@ -507,7 +529,9 @@ def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFr
         release(marked, known)
         if not now.limit(1).count():
             break
-        both = now.join(sets.select(F.col("cls").alias("ca"), F.col("shingles").alias("xa")), "ca").join(sets.select(F.col("cls").alias("cb"), F.col("shingles").alias("xb")), "cb")
+        wanted = cut_lineage(now.select(F.col("ca").alias("cls")).union(now.select("cb")).distinct())
+        some = sets.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, "cls", "left_semi")
+        both = now.join(some.select(F.col("cls").alias("ca"), F.col("shingles").alias("xa")), "ca").join(some.select(F.col("cls").alias("cb"), F.col("shingles").alias("xb")), "cb")
         shared = F.size(F.array_intersect("xa", "xb")).cast("long")
         links = cut_lineage(both.where(shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.size("xa") + F.size("xb"))).select("la", "lb"))
         linking = links.limit(1).count()
@@ -515,7 +539,7 @@ def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFr
             merged = connected_components(links, "la", "lb")
             old = labels.union(now.select("ca", "la")).union(now.select("cb", "lb")).groupBy("cls").agg(F.min("label").alias("label"))
             labels = cut_lineage(old.join(merged, F.col("label") == F.col("node"), "left").select("cls", F.coalesce("component", "label").alias("label")))
-        release(links)
+        release(links, wanted)
         if full:
             break
         tried = now if tried is None else tried.union(now)
@@ -546,16 +570,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     grouped = signatures.where("cls is not null").groupBy("cls").agg(first)
     classes = cut_lineage(grouped.select("cls", F.col("first.doc_id").alias("rep"), _row_key(F.col("first.doc_id"), F.col("first.text_key")).alias("key")))
-    often = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(TOP).toArrow()
+    often = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "a").limit(TOP).toArrow()
     order = spark.sparkContext.broadcast(Order(*(np.array(often.column(c).to_numpy(), np.int64) for c in ("a", "n"))))
 
     postings = docs.select("text").mapInArrow(partial(_prefixes, size=words, order=order), "token long, grp long, place long")
     sorted_lists = postings.repartition("token").sortWithinPartitions("token", "grp")
     paired = sorted_lists.mapInArrow(partial(_candidates, order=order, frequent=FREQUENT, near=NEAR), _CANDIDATES)
-    found = cut_lineage(paired.groupBy("kind", "a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")))
+    found = cut_lineage(paired.groupBy("kind", "a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("fit").alias("fit")))
     members = found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("cls"))
     lists = found.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("grp"), F.col("pa").alias("place"))
-    edges = found.where("kind = 0").select("a", "b", (F.col("c") / (F.shiftright("pa", 31) + F.shiftright("pb", 31))).alias("score"))
+    edges = cut_lineage(_edges(found))
 
     placed = _blocks(edges, members)
     wanted = placed.select("cls").union(lists.select("grp").distinct().join(members, "grp").select("cls")).distinct()
@@ -566,7 +590,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     if lists.limit(1).count():
         for one_a_pair in (True, False):
             labels = _merge(_frequent_pairs(lists, members, labels, one_a_pair), members, labels, sets)
-    release(sets, placed, found)
+    release(sets, placed, found, edges)
 
     named = labels.join(classes, "cls")
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
