@@ -2,12 +2,14 @@
 
 Pieces are found with array operations over code points and each distinct piece is
 encoded once, so that the cost of merging is paid per distinct piece. The ids are
-those of the tokenizer file's own encoder without special tokens.
+those of the tokenizer file's own encoder, which adds none by itself but gives a
+special token that a text spells out its own id.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 
@@ -49,11 +51,14 @@ class ByteBpe:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model = content["model"]
+        self._special = {t["content"]: t["id"] for t in content.get("added_tokens", []) if t["content"]}
+        # the longest of those that start at a place, as each stands alone
+        self._parts = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in byte_of for c in piece)}
-        special = {piece: i for piece, i in model["vocab"].items() if piece == "<|endoftext|>"}
-        for piece in special:
+        for piece in self._special:
             ranks.pop(piece.encode(), None)
         encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._merge, self._merge_piece = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
@@ -62,6 +67,13 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids (unsigned 32-bit)."""
+        if not self._parts or not any(self._parts.search(t) for t in texts):
+            return self._plain(texts)
+        split = [self._parts.split(t) for t in texts]  # text, special token, text, ...
+        found = iter(self._plain([p for parts in split for p in parts[::2]]))
+        return [np.concatenate([next(found) if k % 2 == 0 else np.array([self._special[p]], np.uint32) for k, p in enumerate(parts)]) for parts in split]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         held: list[str] = []
         size = 0

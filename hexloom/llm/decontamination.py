@@ -2,8 +2,11 @@
 
 A passage that occurs in a document with at most e edits shares with it, on diagonals
 that differ by at most e, at least m - q + 1 - q e of its m - q + 1 q-grams. A document's
-q-grams are looked up among the benchmark's, the hits are counted in bands of diagonals
-that overlap by e, and only bands that reach that count are aligned.
+q-grams are looked up among the benchmark's, by blocks of as many places as there are
+diagonals in a band, so that a q-gram that an item repeats is one hit a block. Hits are
+counted in bands of diagonals, which overlap, and only bands that reach that count are
+aligned. Items shorter than q have no q-gram; they are found as whole words by an
+Aho-Corasick automaton.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ Q = 8
 EDITS = 0.08
 #: Most characters of benchmark that are sent to every task; a larger benchmark goes in blocks of this size, each a pass over the documents.
 BLOCK_CHARS = 4_000_000
+#: Hits that are expanded at once.
+HITS = 2_000_000
 _FILTER_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,26 +76,41 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The benchmark's q-grams: a bit table for a first look, and where each stands."""
+    """The benchmark's q-grams: a bit table for a first look, and in which blocks of which items each stands; and its short items."""
 
     ids: list[int]
     texts: list[str]
+    edits: np.ndarray
+    wide: np.ndarray
+    needed: np.ndarray
     seen: np.ndarray
     grams: np.ndarray
     item: np.ndarray
-    place: np.ndarray
+    block: np.ndarray
+    short: list[tuple[str, list[int]]]
 
     @staticmethod
     def of(items: list[tuple[int, str]]) -> Index:
         texts = [normal(t)[0].strip() for _, t in items]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        edits = np.array([budget(x) for x in lengths], np.int64)
+        wide = np.maximum(2 * edits, Q)
         hashed = [gram_hashes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)) for t in texts]
         grams = np.concatenate([np.zeros(0, np.uint64), *hashed])
         item = np.repeat(np.arange(len(items)), [len(h) for h in hashed])
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashed)])
-        order = np.argsort(grams, kind="stable")
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashed)]).astype(np.int64)
+        block = place // wide[item] if len(item) else place
+        order = np.lexsort((block, item, grams))
+        grams, item, block = grams[order], item[order], block[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (item[1:] != item[:-1]) | (block[1:] != block[:-1])
         seen = np.zeros(1 << _FILTER_BITS, bool)
         seen[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return Index([i for i, _ in items], texts, seen, grams[order], item[order], place[order].astype(np.int64))
+        short: dict[str, list[int]] = {}
+        for i, t in enumerate(texts):
+            if 0 < len(t) < Q:
+                short.setdefault(t, []).append(i)
+        return Index([i for i, _ in items], texts, edits, wide, np.maximum(lengths - Q + 1 - Q * edits, 1), seen, grams[new], item[new], block[new], sorted(short.items()))
 
 
 def banded_edits(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
@@ -137,10 +157,13 @@ def find_passages(text: str, index: Index) -> list[tuple[int, int, int, int]]:
 
 
 def passages(texts: list[str], index: Index) -> list[list[tuple[int, int, int, int]]]:
+    """``find_passages`` for each of many texts; hits are expanded for at most about ``HITS`` at once, and for one text at least."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    if not len(index.grams):
-        return out
     normals = [normal(t) for t in texts]
+    if index.short:
+        _short_items(out, normals, index)
+    if not len(index.grams):
+        return [sorted(set(found)) for found in out]
     gap = "\0" * Q  # q-grams over a gap match nothing
     codes = np.frombuffer(gap.join(t for t, _ in normals).encode("utf-32-le", "surrogatepass"), np.uint32)
     begins = np.cumsum([0, *(len(t) + Q for t, _ in normals)])
@@ -149,36 +172,73 @@ def passages(texts: list[str], index: Index) -> list[list[tuple[int, int, int, i
     low, high = (np.searchsorted(index.grams, grams[at], side) for side in ("left", "right"))
     at, low, count = at[high > low], low[high > low], (high - low)[high > low]
     if not len(at):
-        return out
-    row = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    where = np.repeat(at, count)
-    item, diagonal = index.item[row], where - index.place[row]
-    lengths = np.array([len(t) for t in index.texts])
-    edits = np.array([budget(x) for x in lengths])
-    wide = np.maximum(2 * edits, 1)[item]  # a band covers 2e diagonals and each diagonal lies in two bands
-    needed = np.maximum(lengths - Q + 1 - Q * edits, 1)[item]
-    document = np.searchsorted(begins, where, "right") - 1  # a band counts one document's hits only
-    for shift in (0, 1):
-        band = (diagonal + shift * (wide // 2)) // wide
-        order = np.lexsort((band, document, item))
-        i, b, d, n, least = item[order], band[order], diagonal[order], document[order], needed[order]
-        first = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (n[1:] != n[:-1]) | (b[1:] != b[:-1]))))
-        sizes = np.diff(np.concatenate((first, [len(i)])))
-        for k in first[sizes >= least[first]]:
-            size = sizes[np.searchsorted(first, k)]
-            _verify(out, normals, begins, index, int(i[k]), int(d[k : k + size].min()), int(d[k : k + size].max()), int(n[k]), int(edits[i[k]]))
+        return [sorted(set(found)) for found in out]
+    document = np.searchsorted(begins, at, "right") - 1
+    total, cuts = np.concatenate(([0], np.cumsum(count))), [0]
+    firsts = np.flatnonzero(np.concatenate(([True], document[1:] != document[:-1])))
+    for f, e in zip(firsts, [*firsts[1:], len(at)], strict=True):
+        if total[e] - total[cuts[-1]] > HITS and f > cuts[-1]:
+            cuts.append(int(f))
+    for f, e in zip(cuts, [*cuts[1:], len(at)], strict=True):
+        _banded(out, normals, begins, index, at[f:e], low[f:e], count[f:e], document[f:e])
     return [sorted(set(found)) for found in out]
 
 
-def _verify(out: list, normals: list, begins: np.ndarray, index: Index, item: int, low: int, high: int, n: int, edits: int) -> None:
+def _banded(out: list, normals: list, begins: np.ndarray, index: Index, at: np.ndarray, low: np.ndarray, count: np.ndarray, document: np.ndarray) -> None:
+    """Verifies the bands with enough hits.
+
+    Text place p and item place r stand in blocks of ``wide`` places, and the difference
+    of their blocks is that of their diagonal p - r in units of ``wide``, or one more.
+    Diagonals that differ by at most ``wide`` thus meet in three differences in a row,
+    and such a row that begins where there are hits is a band.
+    """
+    row = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    item, doc = index.item[row], np.repeat(document, count)
+    wide = index.wide[item]
+    band = (np.repeat(at, count) - begins[doc]) // wide - index.block[row]
+    order = np.lexsort((band, doc, item))
+    item, doc, band = item[order], doc[order], band[order]
+    first = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (band[1:] != band[:-1]))))
+    hits = np.diff(np.concatenate((first, [len(item)])))
+    item, doc, band = item[first], doc[first], band[first]
+    reached = hits.copy()
+    for step in (1, 2):
+        for back in range(1, step + 1):  # the band that is ``step`` further stands at most so many rows on
+            same = (item[back:] == item[:-back]) & (doc[back:] == doc[:-back]) & (band[back:] == band[:-back] + step)
+            reached[:-back][same] += hits[back:][same]
+    for k in np.flatnonzero(reached >= index.needed[item]):
+        i, n, w = int(item[k]), int(doc[k]), int(index.wide[item[k]])
+        _verify(out, normals, index, i, n, (int(band[k]) - 1) * w, (int(band[k]) + 3) * w)
+
+
+def _short_items(out: list, normals: list, index: Index) -> None:
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for text, items in index.short:
+        automaton.add_word(text, (text, items))
+    automaton.make_automaton()
+    for n, (text, places) in enumerate(normals):
+        for last, (found, items) in automaton.iter(text):
+            a, b = last + 1 - len(found), last + 1
+            joined = (a and text[a - 1].isalnum() and found[0].isalnum()) or (b < len(text) and text[b].isalnum() and found[-1].isalnum())
+            if not joined:
+                out[n] += [(i, int(places[a]), int(places[last]) + 1, 0) for i in items]
+
+
+def _verify(out: list, normals: list, index: Index, item: int, n: int, low: int, high: int) -> None:
+    """Adds the item's exact places that begin on diagonals from ``low`` to ``high``, or else its best alignment there within its edits."""
     text, places = normals[n]
-    pattern = index.texts[item]
-    start = max(0, low - edits - int(begins[n]))
-    window = text[start : high + len(pattern) + edits - int(begins[n])]
+    pattern, edits = index.texts[item], int(index.edits[item])
+    start = max(0, low - edits)
+    window = text[start : max(0, high + len(pattern) + edits)]
     exact = window.find(pattern)
-    found = (0, exact, exact + len(pattern)) if exact >= 0 else banded_edits(pattern, window, edits)
-    if found:
-        used, a, b = found
+    found = [(0, exact, exact + len(pattern))] if exact >= 0 else [banded_edits(pattern, window, edits)]
+    while exact >= 0:
+        exact = window.find(pattern, exact + len(pattern))
+        if exact >= 0:
+            found.append((0, exact, exact + len(pattern)))
+    for used, a, b in filter(None, found):
         a, b = start + a, start + b
         out[n].append((item, int(places[a]), int(places[b - 1]) + 1 if b > a else int(places[a]), used))
 
@@ -212,9 +272,10 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The passages of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text): doc_id, item_id, start, end, edits, passage.
 
-    Case and white space do not count; a passage may have ``budget(length)`` edits, and
-    one shorter than ``Q`` characters is not looked for. start and end are code points of
-    the document's text. Documents are not shuffled. The benchmark goes to every task in
+    Case and white space do not count; a passage may have ``budget(length)`` edits. An
+    item shorter than ``Q`` characters has none and is found as whole words only; one
+    without characters is not looked for. start and end are code points of the document's
+    text. Very long texts are searched whole. Documents are not shuffled. The benchmark goes to every task in
     blocks of at most ``BLOCK_CHARS``; several blocks are several passes. Null texts have
     no passage, repeated documents have theirs each, repeated items too; other columns
     are not read. No documents or no items give no rows.
@@ -251,4 +312,5 @@ def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without benchmark passages; null texts have none, repeated rows and all columns stay, no rows give no rows."""
     return without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
@@ -28,6 +29,8 @@ _WORDS = frozenset(
 )
 #: Inside an article, elements that such a class, id or role drops; others are its text, whatever their anchors are called.
 _CONTAINERS = frozenset("aside details div fieldset figure footer form header hgroup iframe ol section span table ul".split())
+#: Inside an article, elements that differencing judges as a whole.
+_BOXES = frozenset("details div dl fieldset figure ol section table ul".split())
 #: A start tag that ends an open element of these names.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -39,6 +42,8 @@ class Block:
     text: str
     #: In an article or main element, outside of any, or in a part that is never content.
     place: int
+    #: Within an article, the number of the outermost container (div, section, list, table) that it stands in; 0: the article's own.
+    box: int = 0
 
 
 def _is_aside(name: str, attributes: str, in_main: bool) -> bool:
@@ -62,13 +67,19 @@ def blocks(source: str) -> list[Block]:
     """
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = [("", OUTSIDE)]
+    stack: list[tuple[str, int, int]] = [("", OUTSIDE, 0)]
+    opened: Counter[str] = Counter()
+    boxes = 0
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append(Block(text, stack[-1][1]))
+            out.append(Block(text, *stack[-1][1:]))
+
+    def close(at: int) -> None:
+        opened.subtract(name for name, _, _ in stack[at:])
+        del stack[at:]
 
     pos = 0
     while found := _TOKEN.search(source, pos):
@@ -82,11 +93,11 @@ def blocks(source: str) -> list[Block]:
         if found.group(1):
             if name in _BLOCK:
                 flush()
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0) if opened[name] > 0 else 0
             if at:
                 if any(stack[i][1] != stack[at - 1][1] for i in range(at, len(stack))):
                     flush()
-                del stack[at:]
+                close(at)
             continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(source, pos)
@@ -103,18 +114,22 @@ def blocks(source: str) -> list[Block]:
         if name in _ENDS:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in _ENDS[name]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in _BLOCK:
                     break
-        place = stack[-1][1]
+        _, place, box = stack[-1]
         if place != DROPPED:
             if _is_aside(name, found.group(3), place == MAIN):
                 flush()
                 place = DROPPED
             elif name in _MAIN:
                 place = MAIN
-        stack.append((name, place))
+            elif place == MAIN and not box and name in _BOXES:
+                boxes += 1
+                box = boxes
+        stack.append((name, place, box))
+        opened[name] += 1
     if pos < len(source):
         parts.append(html.unescape(source[pos:]))
     flush()

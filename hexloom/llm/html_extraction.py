@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -14,33 +13,72 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.llm.html_blocks import DROPPED, MAIN, OUTSIDE, blocks
+from hexloom.llm.html_blocks import DROPPED, MAIN, OUTSIDE, Block, blocks
 from hexloom.llm.url_filter import host_and_path
 from hexloom.session import cut_lineage
 
 Row = tuple[str, str, bytes, list[int]]
+#: Memory for the steps of one alignment.
+ROWS_BYTES = 32 << 20
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``, by the matching places (Hunt and Szymanski)."""
-    places = defaultdict(list)
+    """Places in ``a`` of a longest common subsequence with ``b``.
+
+    What both begin and end with is taken first, and lines of one side only are left
+    out. The rest is solved with one bit for each line of ``b`` (Hyyro): a step a line of
+    ``a``, in halves where the steps would not fit into ``ROWS_BYTES``.
+    """
+    n, m = len(a), len(b)
+    head = next((i for i in range(min(n, m)) if a[i] != b[i]), min(n, m))
+    tail = next((i for i in range(min(n, m) - head) if a[n - 1 - i] != b[m - 1 - i]), min(n, m) - head)
+    in_a, in_b = set(a[head : n - tail]), set(b[head : m - tail])
+    left = [i for i in range(head, n - tail) if a[i] in in_b]
+    right = [x for x in b[head : m - tail] if x in in_a]
+    return [*range(head), *(left[i] for i in _longest([a[i] for i in left], right)), *range(n - tail, n)]
+
+
+def _steps(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each line of ``a``: a number with a 0 bit at each line of ``b`` where the length of the common subsequence grows."""
+    places: dict[int, int] = defaultdict(int)
     for j, line in enumerate(b):
-        places[line].append(j)
-    ends: list[int] = []
-    chains: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(places.get(line, ())):
-            k = bisect_left(ends, j)
-            chain = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(chain)
-            else:
-                ends[k], chains[k] = j, chain
-    out, chain = [], chains[-1] if chains else None
-    while chain:
-        out.append(chain[0])
-        chain = chain[1]
+        places[line] |= 1 << j
+    mask = (1 << len(b)) - 1
+    row = mask
+    for line in a:
+        shared = row & places.get(line, 0)
+        row = ((row + shared) | (row - shared)) & mask
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """Lengths of the longest common subsequences of ``a`` with each beginning of ``b``."""
+    last = (1 << len(b)) - 1
+    for row in _steps(a, b):
+        last = row
+    bits = bin(last)[2:].zfill(len(b))[::-1] if b else ""
+    out = [0]
+    for bit in bits:
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _longest(a: list[int], b: list[int]) -> list[int]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > 8 * ROWS_BYTES:
+        half = len(a) // 2
+        up, down = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
+        cut = max(range(len(b) + 1), key=lambda j: up[j] + down[len(b) - j])
+        return [*_longest(a[:half], b[:cut]), *(half + i for i in _longest(a[half:], b[cut:]))]
+    rows = [(1 << len(b)) - 1, *_steps(a, b)]
+    out, j = [], len(b)
+    for i in range(len(a), 0, -1):
+        first_j = (1 << j) - 1
+        grown = ~rows[i] & first_j
+        if grown.bit_count() > (~rows[i - 1] & first_j).bit_count():  # line i is matched, where the length grew last
+            out.append(i - 1)
+            j = grown.bit_length() - 1
     return out[::-1]
 
 
@@ -103,15 +141,27 @@ def _shared_batch(held: list[tuple[bytes, list[int]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.binary()), pa.array([x for _, x in held], pa.list_(pa.int32()))], ["shared_key", "shared"])
 
 
+def main_text(lines: list[Block], common: set[int]) -> str:
+    """The text of a page whose lines at ``common`` its neighbour shares.
+
+    Lines in parts that are never content do not count. Differencing judges by what
+    the page has of its own. Where that stands in the marked article, the article is the
+    text, without those of its containers that the neighbour shares whole. Where more
+    characters than the whole article has stand outside of it, the mark is wrong, and
+    the text is all lines of the page's own. A page whose article has no own lines (a
+    copy, or alone in its host) has it whole; a page that marks none has its own lines.
+    """
+    own = [i not in common and b.place != DROPPED for i, b in enumerate(lines)]
+    inside, outside = (sum(len(b.text) for b, x in zip(lines, own, strict=True) if x and b.place == p) for p in (MAIN, OUTSIDE))
+    if outside > sum(len(b.text) for b in lines if b.place == MAIN) or not any(b.place == MAIN for b in lines):
+        return "\n".join(b.text for b, x in zip(lines, own, strict=True) if x)
+    kept = {0, *(b.box for b, x in zip(lines, own, strict=True) if x)} if inside else None
+    return "\n".join(b.text for b in lines if b.place == MAIN and (kept is None or b.box in kept))
+
+
 def _text(batches: Iterator[pa.RecordBatch], schema: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for source, shared in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-            lines, common = blocks(source or ""), set(shared or ())
-            # what differencing deletes comes back where the page itself marks its article; what it leaves is dropped where it never is content
-            place = MAIN if any(b.place == MAIN for b in lines) else OUTSIDE
-            kept = [b.text for i, b in enumerate(lines) if b.place == place and b.place != DROPPED and (b.place == MAIN or i not in common)]
-            texts.append("\n".join(kept))
+        texts = [main_text(blocks(source or ""), set(shared or ())) for source, shared in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema[:-1]), pa.array(texts, pa.string())], schema)
 
 
@@ -144,11 +194,10 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame, into: str = "text") -> DataFrame:
     """``pages`` (url, html, any others) with each page's main text.
 
-    Lines are the page's text blocks. Lines shared with the nearest page of the host are
-    deleted, and so are those in menus, headers, footers, sidebars, notices, adverts,
-    forms and comments. A page that marks an article (article or main elements) then
-    gets exactly the article's lines, shared or not. Null and empty html give an empty
-    text; pages without url are paired with one another. Repeated rows and other columns
+    Lines are the page's text blocks. Those in menus, headers, footers, sidebars, notices,
+    adverts, forms and comments are left out. What the nearest page of the host shares
+    tells which of the rest is the page's article (``main_text``). Very long pages are
+    worked on whole. Null and empty html give an empty text; pages without url are paired with one another. Repeated rows and other columns
     stay; a column already named ``into`` or html's other outputs is replaced.
     """
     pages = pages.drop(into, "shared", "shared_key")

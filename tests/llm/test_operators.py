@@ -167,9 +167,8 @@ def test_byte_bpe_equals_the_tokenizer(path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     r = random.Random(5)
-    texts = ["", " ", "a  b\n\n c", "don't I'll 's ''s", "<|endoftext|>", "　x", "x   "] + ["".join(r.choice(" \n\tab1'.!éñ三½ st") for _ in range(r.randrange(40))) for _ in range(300)]
+    texts = ["", " ", "a  b\n\n c", "don't I'll 's ''s", "<|endoftext|>", "x <|endoftext|> y", "<|endoftext|><|endoftext|>z's<|endoftext", " <|endoftext|>\n\n ", "　x", "x   "] + ["".join(r.choice(" \n\tab1'.!éñ三½ st") for _ in range(r.randrange(40))) for _ in range(300)]
     assert [x.tolist() for x in ByteBpe(path).encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -242,6 +241,55 @@ def test_passages_at_the_edge_of_documents_are_found():
         assert [len(found) for found in got] == [0, 1] and got[1][0][1:] == (0, len(item), 0)
 
 
+def least_edits(pattern, text):
+    """Sellers' table: the least edits of ``pattern`` to any part of ``text``."""
+    row = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(pattern, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        same = row[:-1] + np.array([c != d for d in text], int) if text else row[:0]
+        best = np.minimum(same, row[1:] + 1)
+        for j in range(1, len(row)):
+            new[j] = min(best[j - 1], new[j - 1] + 1)
+        row = new
+    return int(row.min())
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(6)
+    items = [" ".join(words(k, 40 + k, 60)) for k in (2, 3, 6, 12, 20)] + ["ab" * 30, "What?", "x y", "=" * 40, " ", "W"]
+    docs = [None, "", "abc What? xyz", "abcWhat?", "so x  Y it is", "W", "aW b", "=" * 45]
+    for k in range(80):
+        passage = list(items[k % 6])
+        for _ in range(r.randrange(6)):
+            at = r.randrange(len(passage))
+            passage[at : at + r.randrange(2)] = r.choice(["", "q", "zz"])
+        docs.append(" ".join(words(r.randrange(12), k, 60)) + " " + "".join(passage) + " " + " ".join(words(r.randrange(12), 900 + k, 60)))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.benchmark_passages(docs_of(spark, docs), benchmark).collect()}
+    expected = set()
+    for d, text in enumerate(docs):
+        low = " ".join((text or "").lower().split())
+        for i, item in enumerate(items):
+            m = item.lower().strip()
+            if 0 < len(m) < decontamination.Q:
+                if re.search(rf"(?<![a-z0-9]){re.escape(m)}(?![a-z0-9])" if m[-1].isalnum() else rf"(?<![a-z0-9]){re.escape(m)}", low):
+                    expected.add((d, i))
+            elif m and least_edits(m, low) <= decontamination.budget(len(m)):
+                expected.add((d, i))
+    assert got == expected and len(expected) > 40
+    nulls = spark.createDataFrame([(None, items[3], 1), (1, items[3], 2), (1, items[3], 3)], "doc_id long, text string, item_id int")
+    assert sorted((x.doc_id or 0, x.item_id) for x in decontamination.benchmark_passages(nulls, benchmark).where("item_id = 3").collect()) == [(0, 3), (1, 3), (1, 3)]
+    assert decontamination.without_passages(nulls.limit(0), benchmark).count() == 0 == decontamination.without_passages(nulls, benchmark).count()
+
+
+def test_repetitive_texts_take_linear_time():
+    index = decontamination.Index.of([(1, "=" * 1000), (2, "ab" * 400)])
+    began = time.time()
+    found = decontamination.passages(["=" * 1_000_000, "ab" * 300_000 + "x", "=" * 999], index)
+    assert {f[0] for f in found[0]} == {0} and {f[0] for f in found[1]} == {1} and time.time() - began < 60
+
+
 # ------------------------------------------------------------------ 6
 
 
@@ -263,15 +311,64 @@ def test_html(spark):
     assert html_extraction.extract_text(pages.limit(0)).count() == 0
 
 
-def test_common_lines_is_longest():
+def test_differencing_judges_what_is_the_article(spark):
+    """Without a neighbour the mark alone decides; with one, template boxes go and a mark beside the page's own text is overruled."""
+    teaser = "<main>Teaser</main><div>{}</div>"
+    article = "<article><p>Common line</p><div>Read our <b>letter</b></div><p>Own {}</p><div>Box {} of its own</div><ul><li>Follow us</ul></article>"
+    rows = [(k, f"http://h.example/a/{k}", page(article.format(k, k))) for k in range(3)] + [(10 + k, f"http://t.example/{k}", page(teaser.format(f"The text that number {k} is about"))) for k in range(2)]
+    rows += [(20, "http://alone.example/a", page(article.format(0, 0))), (21, "http://copy.example/1", page(article.format(1, 1))), (22, "http://copy.example/2", page(article.format(1, 1)))]
+    got = {r.page_id: r.text for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Common line\nRead our letter\nOwn {0}\nBox {0} of its own\nFollow us"
+    assert got == {k: f"Common line\nOwn {k}\nBox {k} of its own" for k in range(3)} | {10 + k: f"The text that number {k} is about" for k in range(2)} | {20: whole.format(0), 21: whole.format(1), 22: whole.format(1)}
+
+
+def test_extraction_equals_its_definition(spark):
+    """Pages of random lines in random places, against a plain reading of the same rules from the lines that made them."""
+    r = random.Random(4)
+    pool = [f"site line {k}" for k in range(6)]
+    made = {}
+    for k in range(60):
+        parts = [(place, r.choice([*pool, f"own {k} {i}"])) for i, place in enumerate(sorted(r.choice("cdm") for _ in range(r.randrange(8))))]
+        made[f"http://r{k % 4}.example/p/{k:03}"] = parts
+    wrap = {"c": "<nav>{}</nav>", "d": "<div>{}</div>", "m": "<p>{}</p>"}
+    source = lambda parts: "".join(wrap[p].format(t) for p, t in parts if p != "m") + ("<article>" + "".join(wrap[p].format(t) for p, t in parts if p == "m") + "</article>" if any(p == "m" for p, _ in parts) else "")
+    rows = [(k, url, source(parts)) for k, (url, parts) in enumerate(made.items())]
+    got = {x.url: x.text for x in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    for url, parts in made.items():
+        host = sorted(u for u in made if u.split("/")[2] == url.split("/")[2])
+        at = host.index(url)
+        near = [u for u in (host[at - 1] if at else None, host[at + 1] if at + 1 < len(host) else None) if u]
+        best = max(near, key=lambda u: len(os.path.commonprefix([u, url])))
+        common = html_extraction.common_lines([hash(t) for _, t in parts], [hash(t) for _, t in made[best]])
+        own = [(p, t) for i, (p, t) in enumerate(parts) if p != "c" and i not in common]
+        marked = [t for p, t in parts if p == "m"]
+        outside = sum(len(t) for p, t in own if p == "d")
+        assert got[url] == "\n".join([t for _, t in own] if not marked or outside > sum(map(len, marked)) else marked), url
+
+
+def test_long_pages_take_linear_time():
+    began = time.time()
+    assert len(html_blocks.blocks("<p>a" * 200_000)) == 200_000
+    assert html_blocks.blocks("<div>" * 100_000 + "</b>" * 100_000 + "x")[0].text == "x"
+    same = [1] * 20_000
+    assert len(html_extraction.common_lines(same, [2, *same])) == 20_000
+    r = random.Random(1)
+    mixed = [[r.randrange(3) for _ in range(20_000)] for _ in range(2)]
+    assert len(html_extraction.common_lines(*mixed)) > 12_000 and time.time() - began < 60
+
+
+def test_common_lines_is_longest(monkeypatch):
     r = random.Random(2)
-    for _ in range(100):
-        a, b = ([r.randrange(4) for _ in range(r.randrange(10))] for _ in range(2))
+    for k in range(200):
+        monkeypatch.setattr(html_extraction, "ROWS_BYTES", 1 if k % 2 else 1 << 20)
+        a, b = ([r.randrange(4) for _ in range(r.randrange(14))] for _ in range(2))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a, 1):
             for j, y in enumerate(b, 1):
                 table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
-        assert len(html_extraction.common_lines(a, b)) == table[-1][-1]
+        found = [a[i] for i in html_extraction.common_lines(a, b)]
+        rest = iter(b)
+        assert len(found) == table[-1][-1] and all(x in rest for x in found)
 
 
 def test_blocks_of_broken_markup():
