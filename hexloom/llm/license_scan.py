@@ -16,13 +16,16 @@ from hexloom.llm.license_templates import TEMPLATES
 #: Share of a wording's words that may be missing or added.
 DIFFERENCE = 0.15
 
-#: A block is the sentences of its line around such words.
+#: A block is the sentences around such words.
 _CUE = re.compile(
     r"licen[cs]|copyright|©|spdx|public domain|creative commons|\bCC[ -](?:BY|0)|\bCC0|permission (?:is hereby granted|to use)|redistribut|free software|"
     r"unencumbered|rights? reserved|unauthorized copying|waived all",
     re.IGNORECASE,
 )
-_SENTENCE_END = re.compile(r"(?<=[.!?:;])\s+(?=[A-Z0-9À-Þ])|\n")
+#: A line that goes on in lower case on the next one (behind a comment's mark, if any) is wrapped and does not end.
+_SENTENCE_END = re.compile(r"(?<=[.!?:;])\s+(?=[A-Z0-9À-Þ])|(?<=[.!?:;])\s*\n|\n(?![ \t]*(?:[#*;%]+|//+|--)?[ \t]*[a-zß-ÿ(])")
+#: Characters before and behind a licensing word that a block may have: every wording has such a word, and twice its length leaves room for what is added.
+REACH = 2 * max(len(w) for wordings in TEMPLATES.values() for w in wordings)
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 SCHEMA = T.StructType(
@@ -41,7 +44,7 @@ SCHEMA = T.StructType(
 
 
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """Sentences with a licensing word; those that touch are one block."""
+    """Sentences with a licensing word; those that touch are one block. Of very long ones, what is within ``REACH`` of such a word."""
     if not _CUE.search(text):
         return []
     ends = [m.span() for m in _SENTENCE_END.finditer(text)]
@@ -54,7 +57,18 @@ def candidate_blocks(text: str) -> list[tuple[int, int]]:
             else:
                 out.append((begin, a, k + 1))
         begin, k = b, k + 1
-    return [(a, b) for a, b, _ in out]
+    return [part for a, b, _ in out for part in (_near_cues(text, a, b) if b - a > 4 * REACH else [(a, b)])]
+
+
+def _near_cues(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for cue in _CUE.finditer(text, begin, end):
+        a, b = max(begin, cue.start() - REACH), min(end, cue.end() + REACH)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -101,6 +115,18 @@ def aligned(a: list[str], b: list[str]) -> tuple[list[str], list[str], int, int]
     return missing[::-1], added[::-1], j, end
 
 
+def nearest_part(a: list[str], b: list[str], most: float) -> tuple[list[str], list[str], int, int] | None:
+    """``aligned`` if it differs by at most ``most`` words; a long ``b`` is taken in pieces that overlap by more than such a part."""
+    size, step, known, best = 4 * len(a), 2 * len(a), set(a), None
+    for k in range(0, max(1, len(b) - step), step):
+        piece = b[k : k + size]
+        if len(known.difference(piece)) <= most:
+            missing, added, begin, end = aligned(a, piece)
+            if len(missing) + len(added) <= most and (best is None or len(missing) + len(added) < len(best[0]) + len(best[1])):
+                best = missing, added, k + begin, k + end
+    return best
+
+
 @lru_cache(maxsize=4096)
 def classify(block: str) -> tuple[tuple[str | None, float, str, str, bool], ...]:
     """For each licence: its name, share of the compressed size saved, missing and added words, and whether the wording confirms it.
@@ -126,8 +152,8 @@ def classify(block: str) -> tuple[tuple[str | None, float, str, str, bool], ...]
         for saved, length, name, wording in split:
             most = DIFFERENCE * len(wording)
             if sum(w not in known for w in wording) <= most:
-                missing, added, a, b = aligned(wording, part)
-                if len(missing) + len(added) <= most:
+                if fit := nearest_part(wording, part, most):
+                    missing, added, a, b = fit
                     fits.append((len(missing) + len(added), -saved, -length, name, missing, added, a, b))
         if fits:
             _, saved, _, name, missing, added, a, b = min(fits)
@@ -156,7 +182,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     start and end are code points of the text; a block that names several licences has
     a row for each. license is null and confirmed false if
-    no template's wording comes near enough. Null and empty texts have no block;
+    no template's wording comes near enough. Blocks go on over wrapped lines; very long
+    ones are compared in pieces. Null and empty texts have no block;
     repeated rows have theirs each; other columns are not read; no rows give no rows.
     """
     return docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text")).mapInArrow(_scan, SCHEMA)

@@ -146,6 +146,42 @@ def test_licenses(spark):
     assert texts[2][row.start : row.end] == row.block == "Released under the MIT License."
 
 
+def test_wrapped_notices_are_whole():
+    """Every wording of every template, alone and wrapped at 30 columns within prose and comments, is found as itself."""
+    import textwrap
+
+    for name, wordings in license_scan.TEMPLATES.items():
+        for wording in wordings:
+            plain = {r[0] for a, b in license_scan.candidate_blocks(wording) for r in license_scan.classify(wording[a:b]) if r[-1]}
+            wrapped = "\n".join(textwrap.wrap(wording, 72))
+            if all(line[:1].islower() or line[:1] == "(" for line in wrapped.split("\n")[1:]):
+                for text in (f"Prose before.\n\n{wrapped}\n\nProse behind.", "Code.\n" + "\n".join("# " + line for line in wrapped.split("\n"))):
+                    found = {r[0] for a, b in license_scan.candidate_blocks(text) for r in license_scan.classify(text[a:b]) if r[-1]}
+                    assert found == plain, (name, text)
+
+
+def test_long_licence_blocks():
+    began, filler = time.time(), " ".join(words(60_000, 3))
+    text = f"{filler} licensed under the MIT License {filler}"
+    found = [row[0] for a, b in license_scan.candidate_blocks(text) for row in license_scan.classify(text[a:b])]
+    assert found == ["MIT"] and time.time() - began < 60
+    assert all(license_scan._CUE.search(w) for wordings in license_scan.TEMPLATES.values() for w in wordings)
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = ([str(r.randrange(4)) for _ in range(r.randrange(1, n))] for n in (6, 60))
+        full = license_scan.aligned(a, b)
+        found = license_scan.nearest_part(a, b, len(a) // 2)
+        assert (found is None) == (len(full[0]) + len(full[1]) > len(a) // 2) and (found is None or len(found[0]) + len(found[1]) == len(full[0]) + len(full[1]))
+
+
+def test_license_edges(spark):
+    rows = [(None, "Released under the MIT License.", 1), (1, "Released under the MIT License.", 2), (1, "Released under the MIT License.", 2), (2, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license int")
+    found = license_scan.scan_licenses(docs).collect()
+    assert sorted((r.doc_id or 0, r.license) for r in found) == [(0, "MIT"), (1, "MIT"), (1, "MIT")]
+    assert license_scan.scan_licenses(docs.limit(0)).count() == 0
+
+
 def test_all_licenses_of_a_block():
     named = lambda text: [row[0] for row in license_scan.classify(text)]
     assert named("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
