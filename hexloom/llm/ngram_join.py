@@ -42,11 +42,11 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 FREQUENT, NEAR = 32, 4
 #: Shingles that the order counts, at most, overall and in a partition, and the least counts.
-TOP, LOCAL_TOP, LEAST, LOCAL_LEAST = 1 << 16, 8192, 8, 3
+TOP, LOCAL_TOP, LEAST, LOCAL_LEAST = 1 << 17, 1 << 16, 8, 2
 SALT_ROWS = 2048
 BLOCK = 256
-#: Rows of a part of a long list; rounds that compare one pair of each component.
-PART, ROUNDS = 1024, 3
+#: Rows of a part of a long list.
+PART = 1024
 #: Most classes whose keys are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 TABLE_BITS = 23
@@ -93,8 +93,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
         often = n >= LOCAL_LEAST
         for t, c in zip(_signed(tokens[often]).tolist(), n[often].tolist(), strict=True):
             counts[t] = counts.get(t, 0) + c
-        if len(counts) > 8 * LOCAL_TOP:
-            least = sorted(counts.values())[-4 * LOCAL_TOP]
+        if len(counts) > 4 * LOCAL_TOP:
+            least = sorted(counts.values())[-2 * LOCAL_TOP]
             for t in [t for t, c in counts.items() if c < least]:
                 del counts[t]
 
@@ -498,17 +498,17 @@ def _frequent_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, fir
 # ---------------------------------------------------------------- the operator
 
 
-def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, rounds: int, whole: bool, placed: DataFrame | None = None) -> DataFrame:
     """Labels (cls, label) joined by the links among group ``pairs`` (a, b, score) across them.
 
-    In at most ``ROUNDS`` rounds each label has only its likeliest untried pair compared,
-    by one class of either side; what is still between different labels is then
-    compared in full. Pairs of classes that ``placed`` puts in one block have been.
+    In at most ``rounds`` rounds each label has only its likeliest untried pair compared,
+    by one class of either side. If ``whole``, what is still between different labels is
+    then compared in full. Pairs of classes that ``placed`` puts in one block have been.
     """
     pairs, tried, k = cut_lineage(pairs), None, 0
     home = [c if placed is not None else F.lit(None).cast("long").alias(c) for c in ("block", "sub")]
-    while True:
-        full = k == ROUNDS
+    while k < rounds or whole:
+        full = k >= rounds
         marked = members.join(labels, "cls", "left")
         marked = marked if placed is None else marked.join(placed.select("cls", "block", "sub"), "cls", "left")
         marked = marked.select("grp", "cls", F.coalesce("label", "cls").alias("label"), *home)
@@ -528,7 +528,10 @@ def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFr
         now = cut_lineage(now.distinct())
         release(marked, known)
         if not now.limit(1).count():
-            break
+            if full or not whole:
+                break
+            k = rounds
+            continue
         wanted = cut_lineage(now.select(F.col("ca").alias("cls")).union(now.select("cb")).distinct())
         some = sets.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, "cls", "left_semi")
         both = now.join(some.select(F.col("cls").alias("ca"), F.col("shingles").alias("xa")), "ca").join(some.select(F.col("cls").alias("cb"), F.col("shingles").alias("xb")), "cb")
@@ -543,7 +546,7 @@ def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFr
         if full:
             break
         tried = now if tried is None else tried.union(now)
-        k = k + 1 if linking else ROUNDS
+        k = k + 1 if linking else max(rounds, k + 1)
     release(pairs)
     return labels
 
@@ -586,10 +589,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sets = cut_lineage(_class_sets(docs, wanted.join(classes, "cls").select("cls", "key"), words))
     labels = _within_blocks(edges, placed, sets)
     split = placed.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("grp").alias("a"), F.col("grp").alias("b"), F.lit(1.0).alias("score"))
-    labels = _merge(edges.union(split), members, labels, sets, placed)
+    labels = _merge(edges.union(split), members, labels, sets, 1, True, placed)
     if lists.limit(1).count():
-        for one_a_pair in (True, False):
-            labels = _merge(_frequent_pairs(lists, members, labels, one_a_pair), members, labels, sets)
+        labels = _merge(_frequent_pairs(lists, members, labels, True), members, labels, sets, 2, False)
+        labels = _merge(_frequent_pairs(lists, members, labels, False), members, labels, sets, 0, True)
     release(sets, placed, found, edges)
 
     named = labels.join(classes, "cls")

@@ -63,7 +63,7 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("settings", [{}, {"FREQUENT": 4, "NEAR": 1, "BLOCK": 8, "PART": 8, "ROUNDS": 1, "SALT_ROWS": 8, "LEAST": 4}, {"FREQUENT": 2, "NEAR": 0, "BLOCK": 2, "PART": 3, "TABLE_BITS": 7}])
+@pytest.mark.parametrize("settings", [{}, {"FREQUENT": 4, "NEAR": 1, "BLOCK": 8, "PART": 8, "SALT_ROWS": 8, "LEAST": 4}, {"FREQUENT": 2, "NEAR": 0, "BLOCK": 2, "PART": 3, "TABLE_BITS": 7}])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(ngram_join, name, value)
