@@ -50,7 +50,8 @@ PART = 1024
 #: Most classes whose keys are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 TABLE_BITS = 23
-_COUNT_AT = 1 << 22
+#: Shingles that are counted, and rows that are decoded, at once.
+_COUNT_AT, SLICE = 1 << 22, 512
 
 
 def least_overlap(a, b):
@@ -81,6 +82,13 @@ def _batch(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
 # ---------------------------------------------------------------- signatures
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at once, as texts are copied when they are decoded."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """A row for each document (kind 0: doc_id, size, class, second digest) and for the partition's frequent shingles (kind 1: shingle, count)."""
     names, kinds = ["kind", "a", "n", "cls", "check", "text_key"], [pa.int8(), *[pa.int64()] * 5]
@@ -89,16 +97,19 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
     total = 0
 
     def count() -> None:
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= LOCAL_LEAST
+        both = np.concatenate(held)
+        held.clear()
+        both.sort()
+        tokens, n = np.unique(both[1:][both[1:] == both[:-1]], return_counts=True)
+        often = n + 1 >= LOCAL_LEAST
         for t, c in zip(_signed(tokens[often]).tolist(), n[often].tolist(), strict=True):
-            counts[t] = counts.get(t, 0) + c
+            counts[t] = counts.get(t, 0) + c + 1
         if len(counts) > 4 * LOCAL_TOP:
             least = sorted(counts.values())[-2 * LOCAL_TOP]
             for t in [t for t, c in counts.items() if c < least]:
                 del counts[t]
 
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         for s in shingle_sets(encoded(batch.column("text")), size):
             rows.append((len(s), *set_digest(s)) if len(s) else (0, None, None))
@@ -106,7 +117,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
             total += len(s)
             if total >= _COUNT_AT:
                 count()
-                held, total = [], 0
+                total = 0
         n, cls, check = zip(*rows, strict=True) if rows else ((), (), ())
         yield _batch([[0] * len(rows), batch.column("doc_id").to_pylist(), n, cls, check, batch.column("text_key").to_pylist()], kinds, names)
     if held:
@@ -152,7 +163,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, order) -> Iterator[p
     """Postings (shingle or salted name, group, size * 2^31 + place), and members (group, class, -1)."""
     seen: set[int] = set()
     order = order.value
-    for batch in batches:
+    for batch in _slices(batches):
         parts: list[tuple] = []
         for s in shingle_sets(encoded(batch.column("text")), size):
             if not len(s):
