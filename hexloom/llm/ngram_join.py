@@ -51,7 +51,7 @@ PART = 1024
 BROADCAST_ROWS = 500_000
 TABLE_BITS = 23
 #: Shingles that are counted, and rows that are decoded, at once.
-_COUNT_AT, SLICE = 1 << 22, 512
+_COUNT_AT, SLICE = 1 << 21, 512
 
 
 def least_overlap(a, b):
@@ -92,22 +92,24 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """A row for each document (kind 0: doc_id, size, class, second digest) and for the partition's frequent shingles (kind 1: shingle, count)."""
     names, kinds = ["kind", "a", "n", "cls", "check", "text_key"], [pa.int8(), *[pa.int64()] * 5]
-    counts: dict[int, int] = {}
+    known, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     held: list[np.ndarray] = []
     total = 0
 
     def count() -> None:
+        nonlocal known, number
         both = np.concatenate(held)
         held.clear()
         both.sort()
         tokens, n = np.unique(both[1:][both[1:] == both[:-1]], return_counts=True)
-        often = n + 1 >= LOCAL_LEAST
-        for t, c in zip(_signed(tokens[often]).tolist(), n[often].tolist(), strict=True):
-            counts[t] = counts.get(t, 0) + c + 1
-        if len(counts) > 4 * LOCAL_TOP:
-            least = sorted(counts.values())[-2 * LOCAL_TOP]
-            for t in [t for t, c in counts.items() if c < least]:
-                del counts[t]
+        tokens, n = np.concatenate((known, tokens)), np.concatenate((number, n + 1))
+        order = np.argsort(tokens, kind="stable")
+        tokens, n = tokens[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else order
+        known, number = tokens[first], np.add.reduceat(n, first) if len(first) else n
+        if len(known) > 4 * LOCAL_TOP:
+            most = np.sort(np.argpartition(number, -2 * LOCAL_TOP)[-2 * LOCAL_TOP :])
+            known, number = known[most], number[most]
 
     for batch in _slices(batches):
         rows = []
@@ -122,10 +124,12 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
         yield _batch([[0] * len(rows), batch.column("doc_id").to_pylist(), n, cls, check, batch.column("text_key").to_pylist()], kinds, names)
     if held:
         count()
-    best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LOCAL_TOP]
-    if best:
-        k = len(best)
-        yield _batch([[1] * k, [t for t, _ in best], [c for _, c in best], [None] * k, [None] * k, [None] * k], kinds, names)
+    best = np.lexsort((known, -number))[:LOCAL_TOP]
+    best = best[number[best] >= LOCAL_LEAST]
+    for i in range(0, len(best), 1 << 14):
+        part = best[i : i + (1 << 14)]
+        none = [None] * len(part)
+        yield _batch([np.ones(len(part), np.int8), _signed(known[part]), number[part], none, none, none], kinds, names)
 
 
 # ---------------------------------------------------------------- prefixes
