@@ -26,3 +26,16 @@ def shown_detail(height: Column, detail: Column, relief: Column, dry: Column, sc
     gain = lit(boost) * (lit(1) - lit(0.65) * clamp((relief - lit(400)) / lit(800), 0, 1))
     limit = lit(compression * 0.35)
     return shown(height, scale, compression) + lit(scale) * gain * limit * F.tanh(detail / limit) * dry
+
+
+def steepness(height: Column, scale: float = SCALE, compression: float = COMPRESSION) -> Column:
+    """The derivative of ``shown``."""
+    size = F.abs(height)
+    return lit(scale) * F.when(size <= compression, 1.0).otherwise(lit(compression) / F.greatest(size, lit(compression)))
+
+
+def normal(east: Column, west: Column, north: Column, south: Column, epsilon: float) -> list[Column]:
+    """The upward unit normal from displayed heights at ``epsilon`` on four sides; its third part points south."""
+    x, z = (-(east - west) / lit(2 * epsilon)).cast("float"), ((north - south) / lit(2 * epsilon)).cast("float")
+    length = F.sqrt(x.cast("double") * x + lit(1) + z.cast("double") * z)
+    return [x / length, lit(1) / length, z / length]

@@ -73,7 +73,7 @@ class Settings:
             raise ValueError("spacing must be 1 to 20 km")
         if self.min_river_discharge < 0 or self.min_city_population < 0:
             raise ValueError("river and city thresholds can't be negative")
-        if not 0 <= self.forest_fraction <= 1 or self.mountain_relief_m <= 0 or not 0 < self.mountain_slope_degrees < 90:
+        if not 0 <= self.forest_fraction <= 1 or self.mountain_relief_m <= 0 or not 0 <= self.mountain_slope_degrees <= 90:
             raise ValueError("landscape thresholds are out of range")
 
     @property
@@ -94,6 +94,10 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def lerp(a: Column, b: Column, t: Column) -> Column:
+    return a + (b - a) * t
+
+
 def smooth(t: Column) -> Column:
     """0 to 1 with level ends."""
     s = clamp(t, 0, 1)

@@ -34,6 +34,36 @@ def sample_nearest(points: DataFrame, windows: DataFrame, tile: float, west: flo
     return found.groupBy("id").agg(F.min_by("value", "window_no").alias("value"))
 
 
+def sample_bilinear(points: DataFrame, windows: DataFrame, tile: float, west: float, south: float, nodata: float) -> DataFrame:
+    """``points`` (id, lon, lat) with the weighted mean of the four samples around each that are not missing, as (id, value).
+
+    The first window that holds the point says where they are; each is then read as
+    ``sample_nearest`` reads it, from any window.
+    """
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    asked = points.withColumns({"ti": F.floor((F.col("lon") - lit(west)) / lit(tile)).cast("int"), "tj": F.floor((F.col("lat") - lit(south)) / lit(tile)).cast("int")})
+    frames = windows.select("window_no", "w", "s", "e", "n", "width", "height", "i", "j").withColumn("di", near).withColumn("dj", near)
+    frames = frames.withColumns({"ti": F.col("i") + F.col("di"), "tj": F.col("j") + F.col("dj")})
+    inside = (F.col("lon") >= F.col("w")) & (F.col("lon") < F.col("e")) & (F.col("lat") > F.col("s")) & (F.col("lat") <= F.col("n"))
+    first = asked.join(frames, ["ti", "tj"]).where(inside).groupBy("id", "lon", "lat").agg(F.min_by(F.struct("w", "s", "e", "n", "width", "height"), "window_no").alias("f"))
+    dx, dy = (F.col("f.e") - F.col("f.w")) / F.col("f.width"), (F.col("f.n") - F.col("f.s")) / F.col("f.height")
+    at = first.withColumns({"dx": dx, "dy": dy}).withColumns({"x": (F.col("lon") - F.col("f.w")) / F.col("dx") - lit(0.5), "y": (F.col("lat") - F.col("f.s")) / F.col("dy") - lit(0.5)})
+    at = at.withColumns({"tx": F.col("x") - F.floor("x"), "ty": F.col("y") - F.floor("y")})
+    part = lambda t, one: F.col(t) if one else lit(1) - F.col(t)
+    four = [F.struct(F.lit(2 * a + b).alias("k"), (F.col("f.w") + (F.floor("x") + lit(a + 0.5)) * F.col("dx")).alias("lon"), (F.col("f.s") + (F.floor("y") + lit(b + 0.5)) * F.col("dy")).alias("lat"), (part("tx", a) * part("ty", b)).alias("weight")) for a in (0, 1) for b in (0, 1)]
+    taps_of = at.select(F.col("id").alias("point"), F.inline(F.array(*four))).withColumn("id", F.struct("point", "k"))
+    read = sample_nearest(taps_of.select("id", "lon", "lat"), windows, tile, west, south, nodata)
+    both = taps_of.select("id", "point", "weight").join(read, "id").where("weight > 0")
+    return both.groupBy(F.col("point").alias("id")).agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
+
+
+def require_samples(samples: DataFrame) -> DataFrame:
+    """(cell_id, k, height, cover) where all are known: a missing height over water is 0, any other missing value fails the query."""
+    fail = lambda what: F.raise_error(F.concat(F.lit(f"missing {what} in cell "), F.col("cell_id").cast("string")))
+    height = F.when(F.col("height").isNotNull(), F.col("height")).when(F.col("cover") == WATER, 0.0).otherwise(fail("elevation").cast("double"))
+    return samples.select("cell_id", "k", height.alias("height"), F.when(F.col("cover").isNotNull(), F.col("cover")).otherwise(fail("land cover").cast("int")).alias("cover"))
+
+
 def resample(windows: DataFrame, factor: int) -> DataFrame:
     """Each window's blocks of factor by factor samples: their mean, and the sample in the middle."""
     cells = windows.select("window_no", "width", F.posexplode("values").alias("k", "v"))
@@ -79,11 +109,16 @@ def relief_stencil(field: DataFrame, width: int, height: int, radius: int) -> Da
     return seen.join(source, ["sx", "sy"]).groupBy("ix", "iy").agg((F.sum(F.col("h") * F.col("w")) / 16).alias("baseline"), (F.max("h") - F.min("h")).alias("relief"))
 
 
+def sample_offsets(spacing: float) -> list[tuple[float, float]]:
+    """Where a cell is sampled, from its centre: there, and on two rings of six points."""
+    radius = spacing / geo.SQRT3
+    around = [(math.cos(math.radians(30 + 60 * c)), math.sin(math.radians(30 + 60 * c))) for c in range(6)]
+    return [(0.0, 0.0)] + [(radius * s * x, radius * s * y) for s in (0.4, 0.82) for x, y in around]
+
+
 def cell_samples(cells: DataFrame, spacing: float) -> DataFrame:
     """cell_id, k, x, y: a cell's centre and two rings of six points."""
-    radius = spacing / geo.SQRT3
-    offsets = [(0.0, 0.0)] + [(radius * s * math.cos(math.radians(30 + 60 * c)), radius * s * math.sin(math.radians(30 + 60 * c))) for s in (0.4, 0.82) for c in range(6)]
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), lit(dx).alias("dx"), lit(dy).alias("dy")) for k, (dx, dy) in enumerate(offsets)])
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), lit(dx).alias("dx"), lit(dy).alias("dy")) for k, (dx, dy) in enumerate(sample_offsets(spacing))])
     return cells.select("cell_id", "x", "y", F.inline(rows)).select("cell_id", "k", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
 
 

@@ -18,27 +18,33 @@ def stations(segments: DataFrame) -> DataFrame:
 
 
 def smooth_path(points: DataFrame, step: float, most: float) -> DataFrame:
-    """reach, seq, k, x, y: Hermite curves through the vertices, kept within min(most, 15 % of the segment) of the line."""
-    w = Window.partitionBy("reach").orderBy("seq")
-    out = points.withColumns({f"{c}{n}": F.lead(c, n).over(w) for c in "xy" for n in (1, 2)} | {f"{c}0": F.lag(c).over(w) for c in "xy"}).where("x1 is not null")
-    length = geo.distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))
-    out = out.withColumns({"length": length, "n": geo.clamp(F.ceil(length / lit(step)).cast("double"), 1, 10000).cast("int")})
-    out = out.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("t", F.col("k") / F.col("n"))
-    t = F.col("t")
-
-    def curve(c: str) -> tuple[Column, Column]:
-        a, b = F.col(c), F.col(f"{c}1")
-        m0 = (b - F.coalesce(f"{c}0", c)) * 0.5
-        m1 = (F.coalesce(f"{c}2", f"{c}1") - a) * 0.5
-        line = a + (b - a) * t
-        bent = (2 * t * t * t - 3 * t * t + 1) * a + (t * t * t - 2 * t * t + t) * m0 + (-2 * t * t * t + 3 * t * t) * b + (t * t * t - t * t) * m1
-        return line, bent - line
-
-    (lx, ox), (ly, oy) = curve("x"), curve("y")
-    out = out.withColumns({"lx": lx, "ly": ly, "ox": ox, "oy": oy}).withColumn("off", F.sqrt(F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy")))
-    limit = F.least(lit(most), F.col("length") * 0.15)
-    gain = F.when(F.col("off") > limit, limit / F.col("off")).otherwise(1.0)
-    return out.select("reach", "seq", "k", (F.col("lx") + F.col("ox") * gain).alias("x"), (F.col("ly") + F.col("oy") * gain).alias("y"))
+    """reach, seq, k, x, y: cubic Hermite curves through the vertices (the first one has k = 0).
+
+    A vertex's tangent is half the way between its neighbours (itself at an end). Each
+    segment has a point every ``step`` metres at most, moved back towards the segment
+    where the curve leaves it by more than ``most`` metres or 15 % of its length.
+    """
+    along = Window.partitionBy("reach").orderBy("seq")
+    here, there = F.struct("x", "y"), F.lead(F.struct("x", "y")).over(along)
+    ends = points.select("reach", "seq", here.alias("p"), there.alias("q"), F.coalesce(F.lag(here).over(along), here).alias("o"), F.coalesce(F.lead(here, 2).over(along), there).alias("s"), F.lag("seq").over(along).isNull().alias("start"))
+    span = geo.distance(F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y"))
+    pieces = ends.where("q is not null").withColumns({"span": span, "pieces": geo.clamp(F.ceil(span / lit(step)).cast("double"), 1, 10000).cast("int")})
+    steps = pieces.withColumn("k", F.explode(F.sequence(F.when(F.col("start"), 0).otherwise(1), F.col("pieces"))))
+    u = F.col("k") / F.col("pieces")
+    basis = {"h00": (lit(1) + lit(2) * u) * (lit(1) - u) * (lit(1) - u), "h10": u * (lit(1) - u) * (lit(1) - u), "h01": u * u * (lit(3) - lit(2) * u), "h11": u * u * (u - lit(1))}
+    steps = steps.withColumns(basis | {"u": u})
+
+    def both(axis: str) -> tuple[Column, Column]:
+        o, p, q, s = (F.col(f"{v}.{axis}") for v in "opqs")
+        straight = geo.lerp(p, q, F.col("u"))
+        curve = F.col("h00") * p + F.col("h10") * (q - o) / lit(2) + F.col("h01") * q + F.col("h11") * (s - p) / lit(2)
+        return straight, curve - straight
+
+    (sx, dx), (sy, dy) = both("x"), both("y")
+    bent = steps.withColumns({"sx": sx, "sy": sy, "dx": dx, "dy": dy}).withColumn("away", geo.distance(F.col("dx"), F.col("dy"), lit(0), lit(0)))
+    allowed = F.least(lit(most), F.col("span") * lit(0.15))
+    kept = F.when(F.col("away") > allowed, allowed / F.col("away")).otherwise(1.0)
+    return bent.select("reach", "seq", "k", (F.col("sx") + F.col("dx") * kept).alias("x"), (F.col("sy") + F.col("dy") * kept).alias("y"))
 
 
 def clip_segments(segments: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -67,21 +73,31 @@ def number_nodes(points: DataFrame) -> DataFrame:
     """
     keyed = points.select(F.round("x").cast("long").alias("kx"), F.round("y").cast("long").alias("ky"), "reach", "seq")
     first = keyed.groupBy("kx", "ky").agg(F.min(F.struct("reach", "seq")).alias("f"))
-    ranged = first.withColumn("part", F.floor(F.col("f.reach") / 1024))
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranged = first.withColumn("part", F.floor(F.coalesce(F.col("f.reach"), F.lit(0)) / 1024)).withColumn("block", F.floor(F.col("part") / 1024))
+    counts = ranged.groupBy("block", "part").agg(F.count("*").alias("n"))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n"))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("in_block", so_far(Window.partitionBy("block").orderBy("part"))).join(blocks.withColumn("start", so_far(Window.orderBy("block"))).select("block", "start"), "block")
     within = F.row_number().over(Window.partitionBy("part").orderBy("f.reach", "f.seq")) - 1
-    return ranged.withColumn("within", within).join(before, "part").select("kx", "ky", (F.col("before") + F.col("within")).cast("long").alias("node_no"))
+    return ranged.withColumn("within", within).join(starts.select("part", (F.col("start") + F.col("in_block")).alias("before")), "part").select("kx", "ky", (F.col("before") + F.col("within")).cast("long").alias("node_no"))
 
 
-def river_cells(segments: DataFrame, cells: DataFrame, spacing: float) -> DataFrame:
-    """(q, r, reach) of the hexagons that a polyline meets: candidates by each segment's extent, an equi-join, then the exact test."""
-    row = spacing * geo.SQRT3 / 2
-    low, high = F.floor(F.least("ay", "by") / lit(row)).cast("int") - 1, F.ceil(F.greatest("ay", "by") / lit(row)).cast("int") + 1
-    out = segments.withColumn("r", F.explode(F.sequence(low, high)))
-    q0 = F.floor(F.least("ax", "bx") / lit(spacing) - F.col("r") / lit(2)).cast("int") - 1
-    q1 = F.ceil(F.greatest("ax", "bx") / lit(spacing) - F.col("r") / lit(2)).cast("int") + 1
-    out = out.withColumn("q", F.explode(F.sequence(q0, q1))).join(cells.select("q", "r"), ["q", "r"])
+def river_cells(segments: DataFrame, cells: DataFrame, spacing: float, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """(q, r, reach) of the hexagons that a polyline meets: candidates by each segment's extent, an equi-join, then the exact test.
+
+    Extents are cut to the grid's ``bounds`` and a spacing around them first, so that what
+    lies outside has no candidate.
+    """
+    row, (x0, y0, x1, y1) = spacing * geo.SQRT3 / 2, bounds
+    near = segments.withColumns(
+        {
+            "x0": F.greatest(F.least("ax", "bx"), lit(x0 - spacing)), "x1": F.least(F.greatest("ax", "bx"), lit(x1 + spacing)),
+            "y0": F.greatest(F.least("ay", "by"), lit(y0 - spacing)), "y1": F.least(F.greatest("ay", "by"), lit(y1 + spacing)),
+        }
+    ).where("x0 <= x1 and y0 <= y1")
+    out = near.withColumn("r", F.explode(F.sequence(F.floor(F.col("y0") / lit(row)).cast("int") - 1, F.ceil(F.col("y1") / lit(row)).cast("int") + 1)))
+    column = lambda c: F.col(c) / lit(spacing) - F.col("r") / lit(2)
+    out = out.withColumn("q", F.explode(F.sequence(F.floor(column("x0")).cast("int") - 1, F.ceil(column("x1")).cast("int") + 1))).join(cells.select("q", "r"), ["q", "r"])
     corners = [geo.key_point(kx, ky, spacing) for kx, ky in geo.corner_keys(F.col("q"), F.col("r"))]
     hq, hr = geo.point_hex(F.col("ax"), F.col("ay"), spacing)
     meets = (hq == F.col("q")) & (hr == F.col("r"))
@@ -91,6 +107,6 @@ def river_cells(segments: DataFrame, cells: DataFrame, spacing: float) -> DataFr
 
 
 def downstream(network: DataFrame) -> DataFrame:
-    """``network`` (id, next_down) with whether the next one exists; of rows with one id the last discharge holds."""
-    unique = network.groupBy("id").agg(F.max_by("next_down", "discharge").alias("next_down"))
+    """``network`` (id, next_down, ordinal) with whether the next one exists; of rows with one id the last by ordinal holds."""
+    unique = network.groupBy("id").agg(F.max_by("next_down", "ordinal").alias("next_down"))
     return unique.join(unique.select(F.col("id").alias("d")), F.col("next_down") == F.col("d"), "left").select("id", "next_down", F.col("d").isNotNull().alias("has_down"))

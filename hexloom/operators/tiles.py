@@ -24,11 +24,11 @@ def _hemisphere(value: Column, minus: str, plus: str, width: int) -> Column:
 
 
 def dem_name(lon: Column, lat: Column) -> Column:
-    return F.concat(F.lit("Copernicus_DSM_COG_10_"), _hemisphere(lat, "S", "N", 2), F.lit("_00_"), _hemisphere(lon, "W", "E", 3), F.lit("_00_DEM"))
+    return F.concat(F.lit("Copernicus_DSM_COG_30_"), _hemisphere(lat, "S", "N", 2), F.lit("_00_"), _hemisphere(lon, "W", "E", 3), F.lit("_00_DEM"))
 
 
 def cover_name(lon: Column, lat: Column) -> Column:
-    return F.concat(F.lit("ESA_WorldCover_10m_2021_v200_"), _hemisphere(lat, "S", "N", 2), _hemisphere(lon, "W", "E", 3), F.lit("_Map.tif"))
+    return F.concat(F.lit("ESA_WorldCover_10m_2021_v200_"), _hemisphere(lat, "S", "N", 2), _hemisphere(lon, "W", "E", 3), F.lit("_Map"))
 
 
 def tiles_of(places: DataFrame, degrees: float = 1.0) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hexloom.plans import places, terrain
+from hexloom.plans import places, records, terrain
 
-_PARTS = (places, terrain)
+_PARTS = (places, terrain, records)
 
 
 def queries() -> dict:

@@ -37,7 +37,8 @@ def tile_names(spark, sf_dir):
 
 def tile_semi_join(spark, sf_dir):
     places = views.settlements(spark, sf_dir)
-    index = tiles.clean_index(tiles.tiles_of(places.where("id % 2 = 0 and id < 40"), 0.1).select(F.concat(F.lit("  "), "dem_name", F.lit("//")).alias("value")))
+    listed = views.windows(spark, sf_dir).where("i < 20").select(F.col("w").alias("lon"), F.col("s").alias("lat"))  # the tiles in the west are listed
+    index = tiles.clean_index(tiles.tiles_of(listed, 0.1).select(F.concat(F.lit("  "), "dem_name", F.lit("//")).alias("value")))
     return tiles.present(tiles.tiles_of(places, 0.1), index)
 
 
@@ -65,7 +66,7 @@ def project_aeqd(spark, sf_dir):
 def unproject_round_trip(spark, sf_dir):
     there = geo.project(views.settlements(spark, sf_dir).select("id", "lon", "lat"), "lon", "lat", CENTRE)
     back = geo.unproject(there, "x", "y", CENTRE, "lon2", "lat2")
-    return back.select("id", ((F.abs(F.col("lon") - F.col("lon2")) < 1e-8) & (F.abs(F.col("lat") - F.col("lat2")) < 1e-8)).alias("ok"))
+    return back.select("id", F.round("lon2", 7).alias("lon"), F.round("lat2", 7).alias("lat"))
 
 
 def projected_bounds(spark, sf_dir):
@@ -125,8 +126,8 @@ _COUNTS = ", ".join(sqlgeo.grid(f"g_{n}", r.west, r.south, r.east, r.north) for
 ORACLES = {
     "region_filter": f"with {SQL['geo_settlement']} select id, lon, lat, population from geo_settlement where lon between 7.8::double and 8.4::double and lat between 46.5::double and 47.0::double and population >= 5000",
     "tile_names": f"""with {SQL['geo_settlement']}, t as (select distinct floor(lon)::int as dx, floor(lat)::int as dy, (floor(lon / 3) * 3)::int as cx, (floor(lat / 3) * 3)::int as cy from geo_settlement)
-select dx as lon_tile, dy as lat_tile, 'Copernicus_DSM_COG_10_' || {_NAME.format(lat='dy', lon='dx')} || '_00_DEM' as dem_name,
- 'ESA_WorldCover_10m_2021_v200_' || case when cy < 0 then 'S' else 'N' end || lpad(abs(cy)::varchar, 2, '0') || case when cx < 0 then 'W' else 'E' end || lpad(abs(cx)::varchar, 3, '0') || '_Map.tif' as cover_name from t""",
+select dx as lon_tile, dy as lat_tile, 'Copernicus_DSM_COG_30_' || {_NAME.format(lat='dy', lon='dx')} || '_00_DEM' as dem_name,
+ 'ESA_WorldCover_10m_2021_v200_' || case when cy < 0 then 'S' else 'N' end || lpad(abs(cy)::varchar, 2, '0') || case when cx < 0 then 'W' else 'E' end || lpad(abs(cx)::varchar, 3, '0') || '_Map' as cover_name from t""",
     "window_size": f"""with {SQL['geo_window']} select window_no, greatest(least(ceil((e - w) * 111320 * greatest(cos(radians((s + n) / 2)), 0.1::double) / 250)::int, 8), 1) as out_width,
  greatest(least(ceil((n - s) * 111320 / 250)::int, 8), 1) as out_height from geo_window""",
     "continent_prune": """with boxes(continent, w, s, e, n) as (values ('eu', -25, 12, 70, 72), ('af', -20, -60, 55, 40), ('as', 50, -15, 180, 60), ('au', 90, -60, 180, 15), ('na', -180, 5, -20, 60), ('sa', -95, -60, -25, 15), ('si', 50, 55, 180, 85)),
@@ -134,7 +135,7 @@ regions(region, west, south, east, north) as (values ('alps', 7.6, 46.3, 8.6, 47
 select region, continent from regions, boxes where not (east < w or west > e or north < s or south > n)""",
     "delimited_scan": f"with {SQL['geo_settlement']} select id, name, round(lon, 9) as lon, round(lat, 9) as lat, population from geo_settlement where population >= 5000",
     "project_aeqd": f"with {SQL['geo_settlement']} select id, round(x, 3) as x, round(y, 3) as y from ({sqlgeo.aeqd('select * from geo_settlement', 8.1, 46.7, 'id')})",
-    "unproject_round_trip": f"with {SQL['geo_settlement']} select id, true as ok from geo_settlement",
+    "unproject_round_trip": f"with {SQL['geo_settlement']} select id, round(lon, 7) as lon, round(lat, 7) as lat from geo_settlement",
     "projected_bounds": f"with {_BOUNDS} " + " union all ".join(f"select '{n}' as region, round(min(x), 3) as x0, round(min(y), 3) as y0, round(max(x), 3) as x1, round(max(y), 3) as y1 from ring_{n}" for n in geo.PRESETS),
     "hex_assign": f"with {SQL['geo_settlement']}, {_PLACES} select id, q, r from places",
     "hex_centers_corners": f"""with {SQL['geo_settlement']}, {_PLACES} select q, r, c as corner, 2*q + r + dx as kx, 3*r + dy as ky, round((2*q + r + dx) * 2000::double / 2, 6) as x, round((3*r + dy) * 2000::double / (2 * sqrt(3::double)), 6) as y
@@ -147,5 +148,6 @@ select region, continent from regions, boxes where not (east < w or west > e or
     "settlement_cells": f"""with {SQL['geo_settlement']}, {_PLACES} select q, r, count(*) as n, sum(population)::bigint as population, string_agg(id::varchar, ',' order by id) as ids, arg_min(name, id) as first_name
  from places where lon between 7.6::double and 8.6::double and lat between 46.3::double and 47.1::double and population >= 5000 group by q, r""",
 }
-_TENTH = """(select distinct floor(lon / 0.1::double)::int as dx, floor(lat / 0.1::double)::int as dy, id from geo_settlement)"""
-ORACLES["tile_semi_join"] = f"""with {SQL['geo_settlement']}, t as {_TENTH} select distinct dx as lon_tile, dy as lat_tile from t where (dx, dy) in (select (dx, dy) from t where id % 2 = 0 and id < 40)"""
+_TENTH = "(select distinct floor(lon / 0.1::double)::int as dx, floor(lat / 0.1::double)::int as dy from geo_settlement)"
+ORACLES["tile_semi_join"] = f"""with {SQL['geo_settlement']}, {SQL['geo_window']}, t as {_TENTH}, listed as (select floor(w / 0.1::double)::int as dx, floor(s / 0.1::double)::int as dy from geo_window where i < 20)
+select dx as lon_tile, dy as lat_tile from t where (dx, dy) in (select (dx, dy) from listed)"""

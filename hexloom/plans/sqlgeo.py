@@ -23,6 +23,22 @@ def aeqd(source: str, lon0: float, lat0: float, keep: str) -> str:
     return f"select {keep}, dist*sin(az) as x, dist*cos(az) as y from ({q})"
 
 
+def unproject(source: str, lon0: float, lat0: float, keep: str) -> str:
+    """A select of ``keep``, lon, lat from ``source`` (with x, y): Vincenty's direct solution as nested selects."""
+    u1 = f"atan((1-{F_})*tan(radians({lat0}::double)))"
+    q = f"select *, sin({u1}) as su1, cos({u1}) as cu1, sqrt(x*x+y*y) as far, atan2(x, y) as az from ({source})"
+    q = f"select *, cu1*sin(az) as sa, atan2(tan({u1}), cos(az)) as b1 from ({q})"
+    q = f"select *, 1-sa*sa as ca, (1-sa*sa)*{E2} as uu from ({q})"
+    q = f"select *, uu/1024*(256+uu*(-128+uu*(74-47*uu))) as bb, far/({B_}*(1+uu/16384*(4096+uu*(-768+uu*(320-175*uu))))) as g0 from ({q})"
+    q = f"select *, g0 as sg, cos(2*b1+g0) as cm from ({q})"
+    for _ in range(6):
+        q = f"select * exclude (sg), g0 + bb*sin(sg)*(cm+bb/4*(cos(sg)*(2*cm*cm-1)-bb/6*cm*(4*sin(sg)*sin(sg)-3)*(4*cm*cm-3))) as sg from ({q})"
+        q = f"select * exclude (cm), cos(2*b1+sg) as cm from ({q})"
+    q = f"select *, su1*sin(sg)-cu1*cos(sg)*cos(az) as tt, atan2(sin(sg)*sin(az), cu1*cos(sg)-su1*sin(sg)*cos(az)) as lam, {F_}/16*ca*(4+{F_}*(4-3*ca)) as kk from ({q})"
+    return f"""select {keep}, {lon0}::double + degrees(lam-(1-kk)*{F_}*sa*(sg+kk*sin(sg)*(cm+kk*cos(sg)*(2*cm*cm-1)))) as lon,
+ degrees(atan2(su1*cos(sg)+cu1*sin(sg)*cos(az), (1-{F_})*sqrt(sa*sa+tt*tt))) as lat from ({q})"""
+
+
 def point_hex(source: str, keep: str, spacing: float = 2000.0) -> str:
     """A select of ``keep``, q, r from ``source`` (with x, y)."""
     return f"""select {keep}, (case when dq > dr and dq > ds then -rr - rs else rq end)::int as q,

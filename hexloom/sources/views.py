@@ -12,6 +12,8 @@ from hexloom.functions.geo import lit
 FIELD_WIDTH = 40
 COVERS = [10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100]
 NODATA = -999.0
+#: Raster tiles: degrees, and the south-west corner, outside of the region so that all samples of its border cells are covered.
+TILE, TILE_WEST, TILE_SOUTH = 0.045, 7.55, 46.24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,17 +64,19 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """window_no, w, s, e, n, width, height, values (row-major, north row first): the embeddings as 8 by 8 tiles."""
     v = table(spark, sf_dir, "embeddings")
     i, j = F.col("vec_id") % 25, F.floor(F.col("vec_id") / 25) % 20
-    w, s = lit(7.6) + lit(0.04) * i, lit(46.3) + lit(0.04) * j
+    w, s = lit(TILE_WEST) + lit(TILE) * i, lit(TILE_SOUTH) + lit(TILE) * j
     return v.select(
-        F.col("vec_id").alias("window_no"), i.cast("int").alias("i"), j.cast("int").alias("j"), w.alias("w"), s.alias("s"), (w + lit(0.04)).alias("e"), (s + lit(0.04)).alias("n"),
+        F.col("vec_id").alias("window_no"), i.cast("int").alias("i"), j.cast("int").alias("j"), w.alias("w"), s.alias("s"), (w + lit(TILE)).alias("e"), (s + lit(TILE)).alias("n"),
         F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("embedding").alias("values"),
     )
 
 
 def network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, next_down (0: none), discharge."""
+    """id, next_down (0: none), discharge, ordinal: the orders as reaches, and corrections of every fifth, which come later."""
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") + 1).otherwise(0).alias("next_down"), (F.col("o_totalprice") / lit(10000)).alias("discharge"))
+    key, discharge = F.col("o_orderkey"), (F.col("o_totalprice") / lit(10000)).alias("discharge")
+    plain = o.select(key.alias("id"), F.when(key % 7 != 0, key + 1).otherwise(0).alias("next_down"), discharge, key.alias("ordinal"))
+    return plain.unionByName(o.where(key % 5 == 0).select(key.alias("id"), (key + 2).alias("next_down"), discharge, (key + 10**12).alias("ordinal")))
 
 
 #: The same readings for DuckDB, as common table expressions.
@@ -91,7 +95,8 @@ SQL = {
   lead(x) over (partition by reach order by seq) as bx, lead(y) over (partition by reach order by seq) as "by", discharge from geo_vertex) where bx is not null)""",
     "geo_field": """geo_field as (select (event_id % 40)::int as ix, (event_id // 40)::int as iy, (value * 10)::float as elevation,
   (case when value > 40 then 80 else [10, 20, 30, 40, 50, 60, 70, 90, 95, 100][event_id % 10 + 1] end)::int as cover from events)""",
-    "geo_window": """geo_window as (select *, w + 0.04::double as e, s + 0.04::double as n from (select vec_id as window_no, (vec_id % 25)::int as i, ((vec_id // 25) % 20)::int as j,
-  7.6::double + 0.04::double * (vec_id % 25) as w, 46.3::double + 0.04::double * ((vec_id // 25) % 20) as s, 8 as width, 8 as height, embedding as values from embeddings))""",
-    "geo_network": """geo_network as (select o_orderkey as id, case when o_orderkey % 7 != 0 then o_orderkey + 1 else 0 end as next_down, o_totalprice / 10000::double as discharge from orders)""",
+    "geo_window": f"""geo_window as (select *, w + {TILE}::double as e, s + {TILE}::double as n from (select vec_id as window_no, (vec_id % 25)::int as i, ((vec_id // 25) % 20)::int as j,
+  {TILE_WEST}::double + {TILE}::double * (vec_id % 25) as w, {TILE_SOUTH}::double + {TILE}::double * ((vec_id // 25) % 20) as s, 8 as width, 8 as height, embedding as values from embeddings))""",
+    "geo_network": """geo_network as (select o_orderkey as id, case when o_orderkey % 7 != 0 then o_orderkey + 1 else 0 end as next_down, o_totalprice / 10000::double as discharge, o_orderkey as ordinal from orders
+  union all select o_orderkey, o_orderkey + 2, o_totalprice / 10000::double, o_orderkey + 1000000000000 from orders where o_orderkey % 5 = 0)""",
 }
