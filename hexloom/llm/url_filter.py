@@ -108,26 +108,33 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     baskets = cut_lineage(baskets)
     twins = _twins(baskets, support)
     mined = baskets.mapInArrow(partial(_represented, twins=twins), "items array<string>")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, predictionCol="unused").fit(mined)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0, predictionCol="unused").fit(mined)
     found = model.associationRules.where(F.startswith(F.element_at("consequent", 1), F.lit(_SAYS)))
     rules = found.select("antecedent", F.substring(F.element_at("consequent", 1), F.lit(len(_SAYS) + 1), F.lit(99)).alias("verdict"), "confidence", F.col("support").alias("share"))
     rules = rules.where(~F.exists("antecedent", lambda t: F.startswith(t, F.lit(_SAYS))))
-    return pruned(cut_lineage(rules)).select("antecedent", "verdict", "confidence", "share").mapInArrow(partial(_spelt_out, twins=twins), empty)
+    return pruned(cut_lineage(rules), confidence).select("antecedent", "verdict", "confidence", "share").mapInArrow(partial(_spelt_out, twins=twins), empty)
 
 
-def pruned(rules: DataFrame) -> DataFrame:
-    """Without the rules that add tokens to another of the same verdict and at least the confidence.
+def pruned(rules: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """The rules that have the confidence, and more than every rule of the same verdict that needs only a part of their tokens.
 
-    The parts of an antecedent that leave one token out are looked up; as frequent sets
-    are closed under leaving tokens out, that finds each shorter rule step by step.
+    ``rules`` has all frequent antecedents, also of less confidence. They are closed under
+    leaving tokens out, so that the best confidence of all parts comes up in one join for
+    each size, from the parts that leave one token out.
     """
-    key = F.array_join(F.array_sort("antecedent"), "\n")
-    rules = rules.withColumn("key", key)
-    parts = rules.where(F.size("antecedent") > 1).select("key", "verdict", "confidence", F.explode("antecedent").alias("out"), "antecedent")
-    parts = parts.select("key", "verdict", "confidence", F.array_join(F.array_sort(F.array_remove("antecedent", F.col("out"))), "\n").alias("part"))
-    shorter = rules.select(F.col("key").alias("part"), "verdict", F.col("confidence").alias("short"))
-    useless = parts.join(shorter, ["part", "verdict"]).where("short >= confidence").select("key", "verdict").distinct()
-    return rules.join(useless, ["key", "verdict"], "left_anti").drop("key")
+    key = lambda c: F.array_join(F.array_sort(c), "\n")
+    known = cut_lineage(rules.withColumns({"key": key("antecedent"), "size": F.size("antecedent")}))
+    longest = known.agg(F.max("size")).first()[0] or 0
+    below, out = known.where("size = 1").withColumn("best", F.lit(-1.0)), None
+    for size in range(1, longest + 1):
+        if size > 1:
+            own = known.where(F.col("size") == size)
+            parts = own.select("key", "verdict", F.explode("antecedent").alias("left"), "antecedent").select("key", "verdict", key(F.array_remove("antecedent", F.col("left"))).alias("part"))
+            best = parts.join(below.select(F.col("key").alias("part"), "verdict", F.greatest("confidence", "best").alias("b")), ["part", "verdict"]).groupBy("key", "verdict").agg(F.max("b").alias("best"))
+            below = cut_lineage(own.join(best, ["key", "verdict"]).select(*known.columns, "best"))
+        kept = below.where((F.col("confidence") >= confidence) & (F.col("confidence") > F.col("best"))).drop("key", "size", "best")
+        out = kept if out is None else out.union(kept)
+    return rules if out is None else out
 
 
 def _matched(batches: Iterator[pa.RecordBatch], rules) -> Iterator[pa.RecordBatch]:
