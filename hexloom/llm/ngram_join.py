@@ -520,7 +520,8 @@ def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFr
     by one class of either side. If ``whole``, what is still between different labels is
     then compared in full. Pairs of classes that ``placed`` puts in one block have been.
     """
-    pairs, tried, k = cut_lineage(pairs), None, 0
+    pairs = last = cut_lineage(pairs)
+    tried, k = None, 0
     home = [c if placed is not None else F.lit(None).cast("long").alias(c) for c in ("block", "sub")]
     while k < rounds or whole:
         full = k >= rounds
@@ -531,17 +532,19 @@ def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFr
             marked = marked.groupBy("grp", "label", "block", "sub").agg(F.min("cls").alias("cls"))
         marked = cut_lineage(marked)
         side = lambda s: marked.select(*(F.col(c).alias(t) for c, t in (("grp", s), ("cls", f"c{s}"), ("label", f"l{s}"), ("block", f"b{s}"), ("sub", f"s{s}"))))  # noqa: E731, B023
-        known = pairs.join(side("a"), "a").join(side("b"), "b").where("la != lb and not coalesce(ba = bb and sa = sb, false)").select("score", "ca", "cb", "la", "lb")
+        apart = pairs.join(side("a"), "a").join(side("b"), "b").where("la != lb and not coalesce(ba = bb and sa = sb, false)").select("a", "b", "score", "ca", "cb", "la", "lb")
+        known = held = cut_lineage(apart)
+        pairs = known.select("a", "b", "score").distinct()  # the others need no further look
         if tried is not None:
             known = known.join(tried.select("ca", "cb"), ["ca", "cb"], "left_anti")
-        known = cut_lineage(known)
         if full:
             now = known.select("ca", "cb", "la", "lb")
         else:
-            each = known.select(F.col("la").alias("l"), "*").union(known.select(F.col("lb").alias("l"), "*"))
+            each = known.select("score", "ca", "cb", "la", "lb", F.explode(F.array("la", "lb")).alias("l"))
             now = each.groupBy("l").agg(F.max(F.struct("score", F.xxhash64("ca", "cb").alias("h"), "ca", "cb", "la", "lb")).alias("best")).select("best.ca", "best.cb", "best.la", "best.lb")
         now = cut_lineage(now.distinct())
-        release(marked, known)
+        release(marked, last)
+        last = held
         if not now.limit(1).count():
             if full or not whole:
                 break
@@ -562,7 +565,7 @@ def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFr
             break
         tried = now if tried is None else tried.union(now)
         k = k + 1 if linking else max(rounds, k + 1)
-    release(pairs)
+    release(last)
     return labels
 
 
