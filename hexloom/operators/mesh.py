@@ -132,3 +132,12 @@ def forest_models(cells: DataFrame, most: int = 60_000, wanted: float = 24_000.0
     within = Window.partitionBy("part").orderBy("cell_id").rowsBetween(Window.unboundedPreceding, -1)
     running = ranged.withColumn("before", F.coalesce(F.sum("models").over(within), F.lit(0))).join(starts, "part")
     return running.where(F.col("start") + F.col("before") < most).select("cell_id", "models")
+
+
+def placement_limits(cells: DataFrame) -> DataFrame:
+    """One row: the share of wanted forest and decoration models that are placed, urban cells (1 at least) and models a city may have."""
+    forest = (F.col("landscape") == "Forest") & (F.col("surface") == "Land") & ~F.col("urban")
+    wanted = F.coalesce(F.sum(F.when(forest, F.col("forest") * lit(18))), lit(0))
+    urban = F.greatest(F.count_if("urban"), F.lit(1))
+    out = cells.agg(F.least(lit(24_000) / F.greatest(wanted, lit(1)), lit(1)).alias("density"), F.least(lit(12_000) / (F.greatest(F.count("*"), F.lit(1)) * 3), lit(1)).alias("decoration"), urban.alias("urban_cells"))
+    return out.withColumn("city_limit", F.least(F.greatest(F.floor(F.lit(12_000) / F.col("urban_cells")), F.lit(1)), F.lit(25)).cast("long"))

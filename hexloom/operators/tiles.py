@@ -71,3 +71,13 @@ def cover_tile_estimate(west: Column, south: Column, east: Column, north: Column
 def storage_estimate(tile_count: Column) -> tuple[Column, Column]:
     """Megabytes and gigabytes to keep for so many tiles."""
     return tile_count * 100, F.greatest(tile_count + 2, F.lit(1))
+
+
+def region_tiles(regions: DataFrame, degrees: int) -> DataFrame:
+    """region, number, lon_tile, lat_tile: the tiles of ``degrees`` that a region (west, south, east, north) touches, from the south, then from the west."""
+    first = lambda c: (F.floor(F.col(c) / lit(degrees)) * degrees).cast("int")
+    last = lambda c: (F.ceil(F.col(c) / lit(degrees)) * degrees - degrees).cast("int")
+    line = lambda low, high: F.sequence(first(low), F.greatest(last(high), first(low)), F.lit(degrees))
+    out = regions.select("region", line("west", "east").alias("across"), F.posexplode(line("south", "north")).alias("j", "lat_tile"))
+    out = out.select("region", F.size("across").alias("n"), "j", "lat_tile", F.posexplode("across").alias("i", "lon_tile"))
+    return out.select("region", (F.col("j") * F.col("n") + F.col("i")).alias("number"), "lon_tile", "lat_tile")

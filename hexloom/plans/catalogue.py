@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hexloom.plans import places, records, terrain
+from hexloom.plans import places, records, terrain, water
 
-_PARTS = (places, terrain, records)
+_PARTS = (places, terrain, records, water)
 
 
 def queries() -> dict:

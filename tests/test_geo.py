@@ -69,7 +69,7 @@ def test_components(spark, native):
 
 
 def connection():
-    c = duckdb.connect()
+    c = duckdb.connect(config={"memory_limit": "4GB"})
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         path = f"{SMALL}/{t}.parquet"
         c.sql(f"create view {t} as select * from read_parquet('{path}{'/*' if os.path.isdir(path) else ''}')")
