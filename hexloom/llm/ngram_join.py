@@ -629,18 +629,28 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that link to one of a lesser doc_id, directly or through others.
 
     Of each component the row of the least doc_id stays (then of the least text hash; of
-    rows repeated with both equal, one). Rows without doc_id stay all.
+    rows repeated with both equal, one). Rows without doc_id stay all. Texts stay where
+    they are as long as the keys of what goes can be broadcast; else both are shuffled.
     """
-    found = near_duplicates(docs).where("doc_id is not null")
+    found = cut_lineage(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id", "text_key"))
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("kept_id__"), F.col("first.text_key").alias("kept_key__"))
+    rows = found.join(first, "component_id").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "text_key") == F.col("first")).alias("stays"))
+    rows = cut_lineage(rows.where("not stays or n > 1"))
+    named = lambda df: df.select(F.col("doc_id").alias("gone_id__"), F.col("text_key").alias("gone_key__"))
+    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    same = (F.col("doc_id") == F.col("gone_id__")) & (F.col("text_key__") == F.col("gone_key__"))
     keyed = docs.withColumn("text_key__", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(kept, (F.col("doc_id") == F.col("kept_id__")) & (F.col("text_key__") == F.col("kept_key__")), "left")
-    twin = F.row_number().over(Window.partitionBy("doc_id", "text_key__").orderBy("doc_id"))
-    return joined.withColumn("twin__", twin).where("doc_id is null or (kept_id__ is not null and twin__ = 1)").select(docs.columns)
+    out = keyed.join(small(named(rows)), same, "left_anti").select(docs.columns)
+    repeated = rows.where("stays")
+    if repeated.limit(1).count():
+        again = keyed.join(small(named(repeated)), same, "left_semi")
+        twin = F.row_number().over(Window.partitionBy("doc_id", "text_key__").orderBy("doc_id"))
+        out = out.union(again.withColumn("twin__", twin).where("twin__ = 1").select(docs.columns))
+    return out
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, as ``one_of_each``; all columns stay, null and empty texts too."""
     return one_of_each(docs)
 
 

@@ -113,6 +113,10 @@ def test_one_of_each_keeps_the_least(spark):
     texts = near_texts()
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(docs_of(spark, texts)).collect())
     assert kept == sorted({c for _, c in brute_components(texts).values()})
+    repeats = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (1, "other words here"), (3, None), (3, None)]
+    docs = spark.createDataFrame(repeats, "doc_id long, text string").withColumn("n", F.lit(0))
+    left = ngram_join.one_of_each(docs)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, "a b c d e f"), (None, "a b c d e f"), (None, None), (1, "other words here"), (3, None)], key=str)
     assert ngram_join.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
