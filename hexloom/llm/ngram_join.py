@@ -570,12 +570,13 @@ def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFr
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and text_key for each row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, text_key and component_key for each row of ``docs`` (doc_id, text).
 
     Words are what stands between ASCII white space, A-Z lower-cased; a text's set is
     its distinct shingles of ``words`` words (fewer words: all of them as one). Rows
     link when their sets' similarity is 3/4 or more; component_id is the least doc_id
-    of the rows that links connect. text_key is a hash of the text.
+    of the rows that links connect. text_key is a hash of the text. component_key tells
+    components apart that texts of one doc_id give the same name.
 
     Null and empty texts have no shingle and are components of their own. Rows with
     equal sets link, repeated rows too. Rows of one doc_id with different texts are
@@ -615,14 +616,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     named = labels.join(classes, "cls")
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
-    component = classes.join(named.join(least, "label").select("cls", "least"), "cls", "left").select("cls", F.coalesce("least", "rep").alias("component"))
+    component = classes.join(named.join(least, "label").select("cls", "label", "least"), "cls", "left").select("cls", F.coalesce("least", "rep").alias("component"), F.coalesce("label", "cls").alias("key"))
     out = signatures.join(component, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "text_key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "text_key", F.coalesce("key", _row_key(F.col("doc_id"), F.col("text_key"))).alias("component_key"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' components."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key", "component_key")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -632,9 +633,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows repeated with both equal, one). Rows without doc_id stay all. Texts stay where
     they are as long as the keys of what goes can be broadcast; else both are shuffled.
     """
-    found = cut_lineage(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id", "text_key"))
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    rows = found.join(first, "component_id").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "text_key") == F.col("first")).alias("stays"))
+    found = cut_lineage(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_key", "text_key"))
+    first = found.groupBy("component_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    rows = found.join(first, "component_key").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "text_key") == F.col("first")).alias("stays"))
     rows = cut_lineage(rows.where("not stays or n > 1"))
     named = lambda df: df.select(F.col("doc_id").alias("gone_id__"), F.col("text_key").alias("gone_key__"))
     small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
