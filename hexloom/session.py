@@ -67,3 +67,15 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written.pop(df))
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of an Arrow batch: texts of any length stand in one, and the executor and its Python worker both hold it.
+BATCH_ROWS = 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends at most ``BATCH_ROWS`` rows to Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
