@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from hexloom.llm.vectext import mix
+from hexloom.session import small_batches
 
 Q = 8
 #: Edits that a passage may have, as a share of its length.
@@ -284,7 +285,7 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for items in _blocks(benchmark):
         task = partial(_found, index=spark.sparkContext.broadcast(Index.of(items)))
-        found = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text")).mapInArrow(task, SCHEMA)
+        found = small_batches(docs).select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text")).mapInArrow(task, SCHEMA)
         out = found if out is None else out.unionAll(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -307,7 +308,7 @@ def _clean(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]
 def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has no benchmark passage, all columns unchanged; nothing is shuffled."""
     for items in _blocks(benchmark):
-        docs = docs.mapInArrow(partial(_clean, index=docs.sparkSession.sparkContext.broadcast(Index.of(items))), docs.schema)
+        docs = small_batches(docs).mapInArrow(partial(_clean, index=docs.sparkSession.sparkContext.broadcast(Index.of(items))), docs.schema)
     return docs
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hexloom.llm.html_blocks import DROPPED, MAIN, OUTSIDE, Block, blocks
 from hexloom.llm.url_filter import host_and_path
-from hexloom.session import cut_lineage
+from hexloom.session import cut_lineage, small_batches
 
 Row = tuple[str, str, bytes, list[int]]
 #: Memory for the steps of one alignment.
@@ -200,7 +200,7 @@ def extract_text(pages: DataFrame, into: str = "text") -> DataFrame:
     worked on whole. Null and empty html give an empty text; pages without url are paired with one another. Repeated rows and other columns
     stay; a column already named ``into`` or html's other outputs is replaced.
     """
-    pages = pages.drop(into, "shared", "shared_key")
+    pages = small_batches(pages).drop(into, "shared", "shared_key")
     kept = pages.columns
     joined = pages.withColumn("own_key__", page_key(F.col("url"), F.col("html"))).join(shared_lines(pages), F.col("own_key__") == F.col("shared_key"), "left").select(*kept, "shared")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from hexloom.llm.license_templates import TEMPLATES
+from hexloom.session import small_batches
 
 #: Share of a wording's words that may be missing or added.
 DIFFERENCE = 0.15
@@ -186,7 +187,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ones are compared in pieces. Null and empty texts have no block;
     repeated rows have theirs each; other columns are not read; no rows give no rows.
     """
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
+    return small_batches(docs).select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexloom.llm.vectext import chunks
+from hexloom.session import small_batches
 
 #: Payloads are filled up with bytes 255 to a multiple of this.
 UNIT = 576
@@ -235,7 +236,7 @@ def sniff_media(df: DataFrame) -> DataFrame:
     are listed too, in order of start; repeated rows stay. Columns already so named are
     replaced.
     """
-    df = df.drop(*_FOUND.names)
+    df = small_batches(df).drop(*_FOUND.names)
     schema = T.StructType([*df.schema.fields, *_FOUND.fields])
     return df.mapInArrow(partial(_sniffed, schema=schema.names), schema)
 
@@ -269,7 +270,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     The declared type is wrong for two thirds of the texts, by their checksum, so that equal texts declare the same.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary, declared_type string")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary, declared_type string")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from hexloom.llm.vectext import encoded, mix, shingle_sets
 from hexloom.operators.components import connected_components
-from hexloom.session import cut_lineage, release
+from hexloom.session import cut_lineage, release, small_batches
 
 WORDS = 5
 #: Jaccard similarity from which documents link, as a fraction.
@@ -47,6 +47,8 @@ SALT_ROWS = 2048
 BLOCK = 256
 #: Rows of a part of a long list.
 PART = 1024
+#: Rows of sorted lists that are worked on at once, at least.
+RUN_ROWS = 1 << 15
 #: Most classes whose keys are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 TABLE_BITS = 23
@@ -207,23 +209,29 @@ _CANDIDATES = "kind byte, a long, b long, pa long, pb long, fit boolean"
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
     """Sorted batches cut where one of the first ``keys`` columns changes (a list is whole in one of them)."""
-    kept: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(c).to_numpy() for c in range(batch.num_columns)]
-        if kept is not None:
-            now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
+    held: list[list[np.ndarray]] = []
+    rows = 0
+
+    def cut(final: bool) -> Iterator[list[np.ndarray]]:
+        nonlocal held, rows
+        now = [np.concatenate(x) for x in zip(*held, strict=True)]
         new = np.zeros(len(now[0]), bool)
         for c in now[:keys]:
             new[1:] |= c[1:] != c[:-1]
         cuts = np.flatnonzero(new)
-        cut = int(cuts[-1]) if len(cuts) else 0
-        if cut:
-            yield [c[:cut] for c in now]
-        kept = [c[cut:] for c in now]
-    if kept is not None and len(kept[0]):
-        yield kept
+        at = len(now[0]) if final else int(cuts[-1]) if len(cuts) else 0
+        if at:
+            yield [c[:at] for c in now]
+        held, rows = [[c[at:] for c in now]], 0
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(c).to_numpy() for c in range(batch.num_columns)])
+            rows += batch.num_rows
+            if rows >= RUN_ROWS:
+                yield from cut(False)
+    if held and sum(len(x[0]) for x in held):
+        yield from cut(True)
 
 
 def may_link(pa_: np.ndarray, pb: np.ndarray) -> np.ndarray:
@@ -585,7 +593,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Other columns are not read; no rows give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = docs.withColumn("text_key", F.xxhash64("text"))
     signed = cut_lineage(read.mapInArrow(partial(_signatures, size=words), "kind byte, a long, n long, cls long, check long, text_key long"))
     signatures = signed.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "cls", "text_key")

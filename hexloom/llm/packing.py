@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hexloom.session import small_batches
+
 CAPACITY = 2048
 #: Token that ends each document.
 END_ID = 1
@@ -148,7 +150,7 @@ def pack_documents(
     each; a null doc_id stays null. Other columns are not read. No rows give no rows.
     """
     task = partial(_pack, tokenizer_path=tokenizer_path, capacity=capacity, piece=piece, batch_pieces=batch_pieces)
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text")).mapInArrow(task, SCHEMA)
+    return small_batches(docs).select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text")).mapInArrow(task, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexloom.llm.vectext import chunks, mix, range_hashes
+from hexloom.session import small_batches
 
 #: Hash space of the n-grams; the model's size, which is sent to every task, depends on this alone.
 BITS = 18
@@ -122,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
     picked = (
         known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows)
     )
-    joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("h", "label", "text")
+    joined = small_batches(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("h", "label", "text")
     rows = joined.mapInArrow(_sparse, "h long, label int, slots binary, values binary").collect()
     rows.sort(key=lambda r: (r.h, r.slots, r["values"]))
     return fit([(np.frombuffer(r.slots, "<u4").astype(np.int64), np.frombuffer(r["values"], "<f4")) for r in rows], [r.label for r in rows])
@@ -134,7 +135,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", into: str
     Null and empty texts have the bias alone. Repeated rows and all other columns stay;
     a column already named ``into`` is replaced.
     """
-    docs = docs.drop(into)
+    docs = small_batches(docs).drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(partial(_score, model=sent, text=text, schema=schema.names), schema)
