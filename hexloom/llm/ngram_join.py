@@ -458,14 +458,16 @@ def _blocks(edges: DataFrame, members: DataFrame) -> DataFrame:
     return cut_lineage(split.join(sizes, "block").select("grp", "cls", "block", F.pmod(F.xxhash64(dealt), F.col("subs")).alias("sub")))
 
 
-def _within_blocks(edges: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Labels (cls, label) by the links within each block."""
+def _within_blocks(edges: DataFrame, placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels (cls, label) by the links within each block, and the edges (a, b, score) between blocks."""
     of = placed.select("grp", "block", "sub").distinct()
-    local = edges.join(of.withColumnRenamed("grp", "a"), "a").join(of.withColumnRenamed("grp", "b"), ["b", "block", "sub"])
-    local = local.select("block", "sub", F.lit(1).alias("kind"), "a", "b", "score", F.lit(None).cast("array<bigint>").alias("shingles"))
+    homes = edges.join(of.withColumnRenamed("grp", "a"), "a").join(of.select(F.col("grp").alias("b"), F.col("block").alias("other"), F.col("sub").alias("other_sub")), "b")
+    homes = cut_lineage(homes.withColumn("same", (F.col("block") == F.col("other")) & (F.col("sub") == F.col("other_sub"))))
+    local = homes.where("same").select("block", "sub", F.lit(1).alias("kind"), "a", "b", "score", F.lit(None).cast("array<bigint>").alias("shingles"))
     own = placed.join(sets, "cls").select("block", "sub", F.lit(0).alias("kind"), F.col("grp").alias("a"), F.col("cls").alias("b"), F.lit(0.0).alias("score"), "shingles")
     rows = own.union(local).repartition("block", "sub").sortWithinPartitions("block", "sub", "kind", F.desc("score"), "a", "b")
-    return cut_lineage(rows.mapInArrow(_compare_blocks, "cls long, label long"))
+    labels = cut_lineage(rows.mapInArrow(_compare_blocks, "cls long, label long"))
+    return labels, homes.where("not same").select("a", "b", "score").distinct()
 
 
 # ---------------------------------------------------------------- long lists
@@ -614,11 +616,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     placed = _blocks(edges, members)
     wanted = placed.select("cls").union(lists.select("grp").distinct().join(members, "grp").select("cls")).distinct()
     sets = cut_lineage(_class_sets(docs, wanted.join(classes, "cls").select("cls", "key"), words))
-    labels = _within_blocks(edges, placed, sets)
+    labels, between = _within_blocks(edges, placed, sets)
     split = placed.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("grp").alias("a"), F.col("grp").alias("b"), F.lit(1.0).alias("score"))
-    labels = _merge(edges.union(split), members, labels, sets, 1, True, placed)
+    labels = _merge(between.union(split), members, labels, sets, 1, True, placed)
     if lists.limit(1).count():
-        labels = _merge(_frequent_pairs(lists, members, labels, True), members, labels, sets, 2, False)
+        labels = _merge(_frequent_pairs(lists, members, labels, True), members, labels, sets, 1, False)
         labels = _merge(_frequent_pairs(lists, members, labels, False), members, labels, sets, 0, True)
     release(sets, placed, found, edges)
 
