@@ -19,6 +19,9 @@ MODULES = {
     "op8_media_sniffing": "media_sniffing",
     "op9_pii_disclosure": "pii_disclosure",
     "op10_quality_classifier": "quality_classifier",
+    "op11_sharding": "sharding",
+    "op12_fill_in_middle": "fill_in_middle",
+    "op13_ball_kmeans": "ball_kmeans",
 }
 
 
