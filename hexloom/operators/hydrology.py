@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hexloom.functions import geo
 from hexloom.functions.geo import lit
-from hexloom.session import cut_lineage, release
+from hexloom.operators import levels
 
 
 def near_segments(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
@@ -31,22 +31,9 @@ def nearest_channel(found: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.count_distinct("reach").alias("channels"), best).select("id", "channels", F.col("best.distance").alias("distance"), F.col("best.reach").alias("reach"))
 
 
-def relax_levels(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-7, max_rounds: int = 1000) -> DataFrame:
-    """(id, level): each node's level lowered to that of any node that leads to it plus the costs on the way.
-
-    ``edges`` are (src, dst, cost) with costs of 0 or more. Only nodes that were lowered
-    in a round are looked at in the next; a change within ``tolerance`` is none.
-    """
-    levels = cut_lineage(nodes.select("id", F.col("level").cast("double").alias("level"), F.lit(True).alias("fresh")))
-    for _ in range(max_rounds):
-        offers = edges.join(levels.where("fresh"), F.col("src") == F.col("id")).groupBy("dst").agg(F.min(F.col("level") + F.col("cost")).alias("offer"))
-        lower = F.coalesce(F.col("offer") + lit(tolerance) < F.col("level"), F.lit(False))
-        step = cut_lineage(levels.join(offers, F.col("id") == F.col("dst"), "left").select("id", F.when(lower, F.col("offer")).otherwise(F.col("level")).alias("level"), lower.alias("fresh")))
-        release(levels)
-        levels = step
-        if not levels.where("fresh").limit(1).count():
-            return levels.drop("fresh")
-    raise RuntimeError(f"levels not settled after {max_rounds} rounds")
+def relax_levels(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-7) -> DataFrame:
+    """``levels.settle_levels``, where a change within ``tolerance`` is none."""
+    return levels.settle_levels(nodes, edges, tolerance)
 
 
 def outside(points: DataFrame, cells: DataFrame, spacing: float) -> DataFrame:

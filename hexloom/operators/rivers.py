@@ -48,7 +48,8 @@ def smooth_path(points: DataFrame, step: float, most: float) -> DataFrame:
 
 
 def clip_segments(segments: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """The parts of ``segments`` within (x0, y0, x1, y1); those outside have no row."""
+    """The parts of ``segments`` within (x0, y0, x1, y1), with their other columns; those outside have no row."""
+    rest = [c for c in segments.columns if c not in ("ax", "ay", "bx", "by")]
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     low, high, inside = lit(0), lit(1), F.lit(True)
     for p, q in ((-dx, F.col("ax") - box[0]), (dx, lit(box[2]) - F.col("ax")), (-dy, F.col("ay") - box[1]), (dy, lit(box[3]) - F.col("ay"))):
@@ -59,7 +60,7 @@ def clip_segments(segments: DataFrame, box: tuple[float, float, float, float]) -
         inside = inside & (~level | (q >= 0))
     out = segments.withColumns({"lo": low, "hi": high, "dx": dx, "dy": dy}).where(inside & (F.col("lo") <= F.col("hi")))
     at = lambda o, d, t: F.col(o) + F.col(d) * F.col(t)
-    return out.select("reach", "seq", at("ax", "dx", "lo").alias("ax"), at("ay", "dy", "lo").alias("ay"), at("ax", "dx", "hi").alias("bx"), at("ay", "dy", "hi").alias("by"))
+    return out.select(*rest, at("ax", "dx", "lo").alias("ax"), at("ay", "dy", "lo").alias("ay"), at("ax", "dx", "hi").alias("bx"), at("ay", "dy", "hi").alias("by"))
 
 
 def half_width(discharge: Column, spacing: float) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hexloom.plans import places, records, terrain, water
+from hexloom.plans import graph, places, records, terrain, water
 
-_PARTS = (places, terrain, records, water)
+_PARTS = (places, terrain, records, water, graph)
 
 
 def queries() -> dict:

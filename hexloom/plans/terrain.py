@@ -154,11 +154,13 @@ def _taps(clamped: bool) -> str:
  from (select *, least(floor(gx), 38)::int as jx, least(floor(gy), h - 2)::int as jy from (select id, h, {fx} as gx, {fy} as gy from pts) where gx between 0 and 39 and gy between 0 and h - 1), (values (0, 0), (1, 0), (0, 1), (1, 1)) t(dx, dy))"""
 
 
-_LAKE = f"""with recursive {SQL['geo_field']}, wet as (select iy::bigint * 40 + ix as node, ix, iy, elevation::double as e from geo_field where cover = 80),
+#: Tables that end in body (node, body, e) and lv (body, n, level), the bodies of open water; after geo_field, in a recursive list.
+LAKES = """wet as (select iy::bigint * 40 + ix as node, ix, iy, elevation::double as e from geo_field where cover = 80),
 edge as (select a.node as a, b.node as b from wet a join wet b on abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 and abs(a.ix - b.ix) <= 1),
 reach(node, root) as (select node, node from wet union select e.b, r.root from reach r join edge e on e.a = r.node),
 body as (select w.node, min(root) as body, any_value(w.e) as e from wet w join reach r on r.node = w.node group by w.node),
-lv as (select body, count(*) as n, list_sort(list(e))[count(*) // 2 + 1] as level from body group by body)
+lv as (select body, count(*) as n, list_sort(list(e))[count(*) // 2 + 1] as level from body group by body)"""
+_LAKE = f"""with recursive {SQL['geo_field']}, {LAKES}
 select lv.body, lv.n, lv.level, sum(case when abs(e - level) <= 15 then 1 else 0 end)::bigint as kept from body join lv on lv.body = body.body group by 1, 2, 3"""
 _SEG = f"{SQL['geo_vertex']}, {SQL['geo_segment']}"
 

@@ -32,8 +32,9 @@ def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reach, seq, x, y, discharge: an order's lines as a polyline."""
     item, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    by_all = Window.partitionBy("l_orderkey").orderBy(*[c for c in item.columns if c != "l_orderkey"])
-    seq = item.withColumn("seq", F.row_number().over(by_all)).select("l_orderkey", "l_partkey", "l_suppkey", "seq")
+    # lines that are equal in these have the same place
+    in_order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")
+    seq = item.select("l_orderkey", "l_partkey", "l_suppkey", F.row_number().over(in_order).alias("seq"))
     x = (F.col("l_orderkey") * 977) % 70001 - 35000 + ((F.col("l_partkey") * 131) % 2001 - 1000) + F.col("seq") * 1500
     y = (F.col("l_orderkey") * 613) % 80001 - 40000 + ((F.col("l_suppkey") * 151) % 2001 - 1000)
     joined = seq.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -89,7 +90,7 @@ SQL = {
   ((reach * 977) % 70001 - 35000 + ((part * 131) % 2001 - 1000) + seq * 1500)::double as x,
   ((reach * 613) % 80001 - 40000 + ((supp * 151) % 2001 - 1000))::double as y, o_totalprice / 10000::double as discharge
   from (select l_orderkey as reach, l_partkey as part, l_suppkey as supp,
-    row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as seq from lineitem)
+    row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber) as seq from lineitem)
   join orders on o_orderkey = reach)""",
     "geo_segment": """geo_segment as (select * from (select reach, seq, x as ax, y as ay,
   lead(x) over (partition by reach order by seq) as bx, lead(y) over (partition by reach order by seq) as "by", discharge from geo_vertex) where bx is not null)""",
