@@ -104,16 +104,20 @@ def smooth(t: Column) -> Column:
     return s * s * (lit(3) - lit(2) * s)
 
 
-def project(df: DataFrame, lon: str, lat: str, centre: tuple[float, float], x: str = "x", y: str = "y") -> DataFrame:
+def project(df: DataFrame, lon: str, lat: str, centre: tuple[float, float] | tuple[str, str], x: str = "x", y: str = "y") -> DataFrame:
     """``df`` with metres east and north of ``centre``: geodesic distance and azimuth (Vincenty's inverse, ``ROUNDS`` rounds).
 
-    Each round is a projection of its own, so that no expression is written out twice.
+    The centre is one for all rows, or two columns' names. Each round is a projection of its own, so that no expression is written out twice.
     """
-    u1 = math.atan((1 - FLATTENING) * math.tan(math.radians(centre[1])))
-    s1, c1 = lit(math.sin(u1)), lit(math.cos(u1))
     keep = df.columns
-    u2 = F.atan(lit(1 - FLATTENING) * F.tan(F.radians(F.col(lat))))
-    out = df.withColumns({"s2__": F.sin(u2), "c2__": F.cos(u2), "l__": F.radians(F.col(lon) - lit(centre[0]))}).withColumn("m__", F.col("l__"))
+    reduced = lambda c: F.atan(lit(1 - FLATTENING) * F.tan(F.radians(F.col(c))))
+    if isinstance(centre[0], str):
+        df = df.withColumns({"s1__": F.sin(reduced(centre[1])), "c1__": F.cos(reduced(centre[1]))})
+        s1, c1, lon0 = F.col("s1__"), F.col("c1__"), F.col(centre[0])
+    else:
+        u1 = math.atan((1 - FLATTENING) * math.tan(math.radians(centre[1])))
+        s1, c1, lon0 = lit(math.sin(u1)), lit(math.cos(u1)), lit(centre[0])
+    out = df.withColumns({"s2__": F.sin(reduced(lat)), "c2__": F.cos(reduced(lat)), "l__": F.radians(F.col(lon) - lon0)}).withColumn("m__", F.col("l__"))
     s2, c2, m = F.col("s2__"), F.col("c2__"), F.col("m__")
     for step in range(ROUNDS + 1):
         east, north = c2 * F.sin(m), c1 * s2 - s1 * c2 * F.cos(m)
@@ -212,6 +216,24 @@ def bounds(region: Region, sides: int = 32) -> tuple[float, float, float, float]
     return min(p[0] for p in ring), min(p[1] for p in ring), max(p[0] for p in ring), max(p[1] for p in ring)
 
 
+def region_bounds(regions: DataFrame, sides: int = 32) -> DataFrame:
+    """region, x0, y0, x1, y1: ``bounds`` of every region (region, west, south, east, north), each around its own centre."""
+    middle = lambda a, b: (F.col(a) + F.col(b)) / lit(2)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(sides)))
+    at = regions.select("region", "west", "south", "east", "north", middle("west", "east").alias("lon0"), middle("south", "north").alias("lat0"), steps.alias("i")).withColumn("t", F.col("i") / lit(sides))
+    lon, lat = F.col("west") + F.col("t") * (F.col("east") - F.col("west")), F.col("south") + F.col("t") * (F.col("north") - F.col("south"))
+    four = F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((lon, F.col("south")), (lon, F.col("north")), (F.col("west"), lat), (F.col("east"), lat))])
+    flat = project(at.select("region", "lon0", "lat0", F.inline(four)), "lon", "lat", ("lon0", "lat0"))
+    return flat.groupBy("region").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+
+
+def inner_box(region: Region, sides: int = 32) -> tuple[float, float, float, float]:
+    """A box within the projected outline: no boundary step comes into it."""
+    ring = outline(region, sides)
+    south, east, north, west = (ring[k * sides : (k + 1) * sides] + [ring[(k + 1) * sides % len(ring)]] for k in range(4))
+    return max(p[0] for p in west), max(p[1] for p in south), min(p[0] for p in east), min(p[1] for p in north)
+
+
 def hex_centre(q: Column, r: Column, spacing: float) -> tuple[Column, Column]:
     return lit(spacing) * (q + r / lit(2)), lit(spacing * SQRT3 / 2) * r
 

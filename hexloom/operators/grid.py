@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hexloom.functions import geo
+from hexloom.functions.arrays import let
 
 MAX_CELLS = 100_000
 CHUNK = 32
@@ -44,12 +45,12 @@ def build_grid(spark: SparkSession, settings: geo.Settings) -> DataFrame:
     hexes = rows.select("r", F.explode(F.sequence(q0, q1)).alias("q")).select("q", "r", x.alias("x"), y.alias("y"))
     ring = geo.ring_literal(geo.outline(settings.region))
     corners = [geo.key_point(kx, ky, settings.spacing) for kx, ky in geo.corner_keys(F.col("q"), F.col("r"))]
-    meets = geo.in_ring(ring, F.col("x"), F.col("y"))
-    for cx, cy in corners:
-        meets = meets | geo.in_ring(ring, cx, cy)
-    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
-        meets = meets | _side_meets(ring, ax, ay, bx, by)
-    kept = hexes.where(meets)
+    sides = F.array(*[F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")) for a, b in zip(corners, [*corners[1:], corners[0]], strict=True)])
+    near = lambda sides: F.exists(sides, lambda c: geo.in_ring(ring, c["ax"], c["ay"])) | F.exists(sides, lambda c: _side_meets(ring, c["ax"], c["ay"], c["bx"], c["by"]))
+    # only cells along the border, whose centre is not well inside, are looked at side by side
+    x0, y0, x1, y1 = geo.inner_box(settings.region)
+    inside = (F.col("x") > x0) & (F.col("x") < x1) & (F.col("y") > y0) & (F.col("y") < y1)
+    kept = hexes.where(F.when(inside, True).otherwise(geo.in_ring(ring, F.col("x"), F.col("y")) | let(sides, near)))
     order = Window.orderBy("r", "q")
     return kept.select((F.row_number().over(order) - 1).alias("cell_id"), "q", "r", "x", "y")
 

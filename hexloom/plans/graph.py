@@ -93,7 +93,7 @@ def _contour(spark, sf_dir):
 
 
 def lake_contour(spark, sf_dir):
-    return _contour(spark, sf_dir).select("ix", "iy", "part", "tri", "k", *[F.round(c, 9).alias(c) for c in ("x", "y", "level", "edge")])
+    return _contour(spark, sf_dir).select("ix", "iy", "part", "tri", "k", *[F.round(c, 6).alias(c) for c in ("x", "y", "level", "edge")])
 
 
 def polygon_clip(spark, sf_dir):
@@ -231,7 +231,7 @@ ORACLES = {
     "lake_sample": f"""with recursive {FIELD}, {_BLEND}, {SQL['geo_settlement']}, spot as (select id, fx, fy, floor(fx)::int as jx, floor(fy)::int as jy from (select id, ((lon - 7.6::double) * 21000 - 500) / 500 as fx, ((lat - 46.3::double) / 0.8::double * (500::double * h)) / 500 as fy from geo_settlement cross join dims)),
 v as (select id, fx - jx as u, fy - jy as v, sq.* from spot join sq on sq.ix = jx and sq.iy = jy), w as (select id, {_lake('u', 'v', 'true')[1]} as level, {_lake('u', 'v', 'true')[0]} as coverage from v) select id, level, round(coverage, 9) as coverage from w where level is not null""",
     "lake_contour": f"""with recursive {FIELD}, {_BLEND}, {_contoured()}, out as (select ix, iy, part, tri, unnest(range(len(p)))::int as k, unnest(p) as v from poly)
-select ix, iy, part, tri, k, round(v.x, 9) as x, round(v.y, 9) as y, round(v.level, 9) as level, round(v.edge, 9) as edge from out""",
+select ix, iy, part, tri, k, round(v.x, 6) as x, round(v.y, 6) as y, round(v.level, 6) as level, round(v.edge, 6) as edge from out""",
     "polygon_clip": f"""with recursive {sqlgeo.grid('g', 7.6, 46.3, 8.6, 47.1)}, {FIELD}, {_BLEND}, {_contoured()}, {_clipped()}
 select ix, iy, part, tri, cell_id, len(p)::int as vertices, round({_AREA}, 3) as area, round(list_sum(list_transform(p, lambda v: v.level)) / len(p), 4) as level from cut6 where len(p) >= 3""",
 }

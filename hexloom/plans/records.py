@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from hexloom.functions import display, geo
 from hexloom.operators import mesh, rasters, records
 from hexloom.plans import sqlgeo
-from hexloom.plans.places import _PLACES, ALPS, cells, placed
-from hexloom.plans.terrain import FIELD, RIVERS, river_cells
+from hexloom.plans.places import _PLACES, ALPS, HELD, cells, held, placed
+from hexloom.plans.terrain import CELLS, FIELD, RIVERS, cell_stats, river_cells
 from hexloom.session import cut_lineage
 from hexloom.sources import views
 from hexloom.sources.views import SQL
 
 SPACING = ALPS.spacing
+#: Settings under which the raster windows have forests, and the people of a city.
+FORESTED = geo.Settings(forest_fraction=0.15, mountain_relief_m=700, mountain_slope_degrees=30)
+CITY = 95_000
 #: Messages of two locales (fixed values of these queries): English has all keys, the other one a part.
 CATALOGUE = [
     ("en", "map.ready", "{cells} cells are ready"), ("en", "map.saved", "Saved {file} by {who}"), ("en", "error.missing", "data is missing"), ("en", "error.network", "no network"),
@@ -60,7 +63,8 @@ def last_reaches(spark, sf_dir):
 
 
 def field_extent(spark, sf_dir):
-    return records.field_extent(cells(spark, sf_dir), SPACING)
+    """The field around the cells that hold settlements."""
+    return records.field_extent(held(spark, sf_dir), SPACING)
 
 
 def raster_audit(spark, sf_dir):
@@ -122,17 +126,17 @@ def vertex_keys(spark, sf_dir):
 
 
 def edge_parameters(spark, sf_dir):
-    """Where the corners and the middle of each hexagon's first side lie along it."""
+    """Where the corners and the middle of the first side of each settled hexagon lie along it."""
     (ax, ay), (bx, by) = mesh.outer_keys(F.col("q"), F.col("r"))[:2]
-    out = cells(spark, sf_dir).select("cell_id", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    out = held(spark, sf_dir).select("cell_id", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
     points = [F.col("ax"), F.col("ay")], [(F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2], [F.col("bx"), F.col("by")], [F.col("ax") + 1, F.col("ay")]
     parts = F.array(*[F.struct(F.lit(k).alias("k"), F.round(mesh.edge_parameter(x.cast("long"), y.cast("long"), *(F.col(c) for c in ("ax", "ay", "bx", "by"))), 9).alias("t")) for k, (x, y) in enumerate(points)])
     return out.select("cell_id", F.inline(parts))
 
 
 def edge_uses(spark, sf_dir):
-    """How many edges of the hexagons' triangles are used once, twice or more."""
-    return mesh.edge_uses(mesh.hex_triangles(cells(spark, sf_dir))).groupBy("uses").agg(F.count("*").alias("edges"))
+    """How many edges of the settled hexagons' triangles are used once, twice or more."""
+    return mesh.edge_uses(mesh.hex_triangles(held(spark, sf_dir))).groupBy("uses").agg(F.count("*").alias("edges"))
 
 
 def world_positions(spark, sf_dir):
@@ -165,9 +169,15 @@ def placement_counts(spark, sf_dir):
     return s.select("id", mesh.placement_count(F.col("population") / geo.lit(1000), F.col("id"), 7).cast("long").alias("models"))
 
 
+def wooded(spark, sf_dir):
+    """cell_id, landscape, surface, forest, urban: cells by their statistics over the raster windows; a city makes a cell urban."""
+    town = cut_lineage(placed(spark, sf_dir).where(F.col("population") >= CITY).select("q", "r")).distinct().withColumn("urban", F.lit(True))
+    known = cells(spark, sf_dir).select("cell_id", "q", "r").join(town, ["q", "r"], "left").select("cell_id", F.coalesce("urban", F.lit(False)).alias("urban"))
+    return cut_lineage(cell_stats(spark, sf_dir, FORESTED).select("cell_id", "landscape", "surface", "forest").join(known, "cell_id"))
+
+
 def forest_models(spark, sf_dir):
-    c = cells(spark, sf_dir).select("cell_id", F.when(F.col("cell_id") % 3 == 0, "Forest").otherwise("Plains").alias("landscape"), F.when(F.col("cell_id") % 9 == 0, "Water").otherwise("Land").alias("surface"), (F.col("cell_id") % 30 == 6).alias("urban"), ((F.col("cell_id") % 10) / geo.lit(10)).alias("forest"))
-    return mesh.forest_models(c, most=2000)
+    return mesh.forest_models(wooded(spark, sf_dir), most=2000)
 
 
 def display_slopes(spark, sf_dir):
@@ -210,6 +220,10 @@ QUERIES = {
 }
 
 _G = sqlgeo.grid("g", 7.6, 46.3, 8.6, 47.1)
+#: Tables that end in wooded (cell_id, landscape, surface, forest, urban).
+WOODED = f"""{CELLS}, {SQL['geo_settlement']}, {_PLACES}, town as (select distinct q, r from places where population >= {CITY}),
+wooded as materialized (select st.cell_id, case when relief >= 700 or slope >= 30 then 'Mountain' when forest >= 0.15::double then 'Forest' else 'Plains' end as landscape, case when water >= 0.5::double then 'Water' else 'Land' end as surface, forest, town.q is not null as urban
+ from st join g on g.cell_id = st.cell_id left join town on town.q = g.q and town.r = g.r)"""
 _KEYS = "values " + ", ".join(f"('{l}', '{k}', '{t}')" for l, k, t in CATALOGUE)
 _GROUND = f"""{FIELD}, ground as (select ix, iy, (iy % 13) / 13::double as slope, (ix % 7) / 7::double as wet, (iy % 5) / 5::double as urban,
  list_transform(range(11), lambda i: (case when i = k then 0.75::double else 0 end) + (case when i = (k + ix) % 11 then 0.25::double else 0 end)) as s
@@ -240,7 +254,7 @@ select sha256((select count(*) from own)::varchar || '|' || string_agg(v::varcha
     "cache_keys": "select doc_id, sha256('v2|' || coalesce(source, '') || '|' || coalesce(lang, '') || '|' || doc_id::varchar) as key from documents",
     "first_parts": f"with {SQL['geo_vertex']} select reach, part, min(seq) as seq, arg_min(y, seq) as y from (select *, round(x / 1500)::bigint as part from geo_vertex) group by reach, part",
     "last_reaches": f"with {SQL['geo_network']} select id, max(ordinal) as ordinal, arg_max(next_down, ordinal) as next_down from geo_network group by id",
-    "field_extent": f"""with {_G}, e as (select floor((min(x) - c) / 500) * 500 as ox, floor((min(y) - c) / 500) * 500 as oy, max(x) + c as x1, max(y) + c as y1 from g, (select 2000 / sqrt(3::double) + 500 as c) group by c)
+    "field_extent": f"""with {_G}, {SQL['geo_settlement']}, {HELD}, e as (select floor((min(x) - c) / 500) * 500 as ox, floor((min(y) - c) / 500) * 500 as oy, max(x) + c as x1, max(y) + c as y1 from held, (select 2000 / sqrt(3::double) + 500 as c) group by c)
 select ox as origin_x, oy as origin_y, (ceil((x1 - ox) / 500) + 1)::bigint as width, (ceil((y1 - oy) / 500) + 1)::bigint as height from e""",
     "raster_audit": f"""with {SQL['geo_window']}, v as (select window_no, unnest(values)::double as a from geo_window)
 select window_no, count(*) as samples, round(max(abs(a - round(a, 3))), 9) as worst, max(abs(a - round(a, 3))) <= 0.001::double as ok from v group by window_no""",
@@ -258,9 +272,9 @@ select id, round(sum(value * weight) / sum(weight), 6) as value from v where wei
     "map_checks": "select unnest(['hexagons stand once', 'cells are numbered in order', 'covers are known', 'elevations are finite', 'rivers have two finite points']) as name, 0::bigint as bad",
     "vertex_keys": f"""with {SQL['geo_vertex']} select reach, seq, kx, ky, round(kx * 2000::double / 2000000, 3) as x, round(ky * 2000::double / (2000000 * sqrt(3::double)), 3) as y
  from (select reach, seq, round(x * 2000000::double / 2000)::bigint as kx, round(y * (2000000 * sqrt(3::double)) / 2000)::bigint as ky from geo_vertex)""",
-    "edge_parameters": f"with {_G} select cell_id, unnest([0, 1, 2, 3]) as k, unnest([0::double, 0.5::double, 1::double, null]) as t from g",
-    "edge_uses": f"""with {_G}, side as (select cell_id, x, y, c from g join g_corner k on k.q = g.q and k.r = g.r)
-select uses, count(*) as edges from (select unnest([1, 2])::bigint as uses from side) group by uses""".replace("x, y, c from g", "k.c from g"),
+    "edge_parameters": f"with {_G}, {SQL['geo_settlement']}, {HELD} select cell_id, unnest([0, 1, 2, 3]) as k, unnest([0::double, 0.5::double, 1::double, null]) as t from held",
+    "edge_uses": f"""with {_G}, {SQL['geo_settlement']}, {HELD}, side as (select cell_id, x, y, c from held g join g_corner k on k.q = g.q and k.r = g.r)
+select uses, count(*) as edges from (select unnest([1, 2])::bigint as uses from side) group by uses""".replace("x, y, c from held", "k.c from held"),
     "world_positions": f"with {FIELD} select ix, iy, round((ix * 500::double / 1000)::float::double, 4) as wx, round(({_DISPLAY('elevation::double')} / 1000)::float::double, 4) as wy, round((0 - (iy * 500::double) / 1000)::float::double, 4) as wz from geo_field",
     "palette_colours": f"with {_GROUND} select ix, iy, round({_colour(0, 0.29, 0.16)}, 6) as red, round({_colour(1, 0.265, 0.13)}, 6) as green, round({_colour(2, 0.225, 0.085)}, 6) as blue, round(built, 6) as built from (select *, {_CLAMP.format('urban * 1.5::double', 1)} as built from ground)",
     "material_weights": f"""with {_GROUND}, r as (select *, {_CLAMP.format('(slope - 0.25::double) / 0.65::double', 0.9)} * greatest(1 - s[7] - s[5], 0) as rock from ground),
@@ -268,7 +282,7 @@ m as (select *, {_SUM(mesh.GRASS)} * (1 - rock) * (1 - wet * 0.6::double) as gra
 select ix, iy, round(grass, 6) as grass, round(greatest(1 - s[5] - s[7] - grass - bare - rock, 0), 6) as soil, round(bare * 0.65::double, 6) as gravel, round(rock + bare * 0.35::double, 6) as rock from m""",
     "placement_counts": f"""with {SQL['geo_settlement']}, p as (select id, population / 1000::double as e, ((id::hugeint * 11400714819323198485::hugeint + 7) % 18446744073709551616::hugeint // 2048)::double / 9007199254740992::double as share from geo_settlement)
 select id, (floor(e) + case when share < e - floor(e) then 1 else 0 end)::bigint as models from p""",
-    "forest_models": f"""with {_G}, f as (select cell_id, ((cell_id % 10) / 10::double) * 18 as want from g where cell_id % 3 = 0 and cell_id % 9 != 0 and cell_id % 30 != 6), d as (select least(24000 / greatest(sum(want), 1), 1) as density from f),
+    "forest_models": f"""with {WOODED}, f as (select cell_id, forest * 18 as want from wooded where landscape = 'Forest' and surface = 'Land' and not urban), d as (select least(24000 / greatest(sum(want), 1), 1) as density from f),
 p as (select cell_id, want * density as e, ((cell_id::hugeint * 11400714819323198485::hugeint) % 18446744073709551616::hugeint // 2048)::double / 9007199254740992::double as share from f, d),
 m as (select cell_id, (floor(e) + case when share < e - floor(e) then 1 else 0 end)::bigint as models from p)
 select cell_id, models from (select *, coalesce(sum(models) over (order by cell_id rows between unbounded preceding and 1 preceding), 0) as before from m) where before < 2000""",

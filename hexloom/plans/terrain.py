@@ -48,29 +48,29 @@ def relief_field(spark, sf_dir):
     return out.select("ix", "iy", F.round("baseline", 4).alias("baseline"), F.round("relief", 4).alias("relief"))
 
 
-def _stats(spark, sf_dir):
+def cell_stats(spark, sf_dir, settings=ALPS):
     """Cell statistics over the raster windows."""
     points = geo.unproject(rasters.cell_samples(cells(spark, sf_dir), ALPS.spacing), "x", "y", CENTRE).withColumn("id", F.col("cell_id") * 16 + F.col("k"))
     points = cut_lineage(points.select("id", "cell_id", "k", "lon", "lat"))  # else each use of a coordinate would be its whole formula
     value = rasters.sample_nearest(points.select("id", "lon", "lat"), views.windows(spark, sf_dir), views.TILE, views.TILE_WEST, views.TILE_SOUTH, views.NODATA)
     codes = F.array(*[F.lit(c) for c in views.COVERS])
     read = points.join(value, "id", "left").select("cell_id", "k", (F.col("value") * 1000).alias("height"), F.get(codes, F.pmod(F.floor(F.col("value") * 10000), F.lit(11)).cast("int")).alias("cover"))
-    return rasters.classify(rasters.cell_statistics(rasters.require_samples(read), ALPS.spacing), ALPS)
+    return rasters.classify(rasters.cell_statistics(rasters.require_samples(read), ALPS.spacing), settings)
 
 
 def cell_statistics(spark, sf_dir):
-    return _stats(spark, sf_dir).select("cell_id", *[F.round(c, 6).alias(c) for c in ("mean", "relief", "slope", "forest", "water")])
+    return cell_stats(spark, sf_dir).select("cell_id", *[F.round(c, 6).alias(c) for c in ("mean", "relief", "slope", "forest", "water")])
 
 
 def cell_classes(spark, sf_dir):
-    return _stats(spark, sf_dir).select("cell_id", "landscape", "surface")
+    return cell_stats(spark, sf_dir).select("cell_id", "landscape", "surface")
 
 
 def map_summary(spark, sf_dir):
     inside = settlements.within(views.settlements(spark, sf_dir), ALPS.region, ALPS.min_city_population)
     cities = cut_lineage(settlements.place(inside, ALPS).select("q", "r")).groupBy("q", "r").agg(F.count("*").alias("cities"))
     grid = cells(spark, sf_dir).select("cell_id", "q", "r").join(cities, ["q", "r"], "left")
-    known = cut_lineage(_stats(spark, sf_dir).select("cell_id", "landscape", "surface").join(grid, "cell_id").withColumn("cities", F.coalesce("cities", F.lit(0))))
+    known = cut_lineage(cell_stats(spark, sf_dir).select("cell_id", "landscape", "surface").join(grid, "cell_id").withColumn("cities", F.coalesce("cities", F.lit(0))))
     return records.summary(known)
 
 
@@ -118,9 +118,11 @@ def display_heights(spark, sf_dir):
 
 
 def urban_edit(spark, sf_dir):
-    """A disc of radius 3 around (0, 0) made urban, and a smaller one cleared again."""
-    wet = (F.col("q") * 7 + F.col("r") * 3) % 11
-    c = cells(spark, sf_dir).select("q", "r", F.when(wet == 0, "Water").when(wet == 1, "River").otherwise("Land").alias("surface"), (wet == 1).alias("river"))
+    """A disc of radius 3 around (0, 0) made urban, and a smaller one cleared again; water is where the raster windows have a quarter of it, rivers are the strong polylines."""
+    met = cut_lineage(river_cells(spark, sf_dir).select("q", "r").distinct().withColumn("river", F.lit(True)))
+    wet = cell_stats(spark, sf_dir).select("cell_id", (F.col("water") >= 0.25).alias("wet"))
+    surface = F.when(F.col("wet"), "Water").when(F.col("river"), "River").otherwise("Land")
+    c = cells(spark, sf_dir).join(wet, "cell_id").join(met, ["q", "r"], "left").select("q", "r", surface.alias("surface"))
     made = edits.urbanise(c, 0, 0, 3, 50_000, "Dense")
     return edits.clear(made, 2, 0, 1).select("q", "r", "surface", "urban_population", "urban_style")
 
@@ -167,7 +169,7 @@ _SEG = f"{SQL['geo_vertex']}, {SQL['geo_segment']}"
 _ROW = repr(ALPS.spacing * geo.SQRT3 / 2)
 _GRID = sqlgeo.grid("g", 7.6, 46.3, 8.6, 47.1)
 #: Tables that end in rc (q, r, reach), the hexagons g that strong polylines meet.
-RIVERS = f"""{_GRID}, {_SEG}, seg as (select reach, ax, ay, bx, "by" as ey from geo_segment where discharge >= 5),
+_MET = f"""{_SEG}, seg as (select reach, ax, ay, bx, "by" as ey from geo_segment where discharge >= 5),
 begun as ({sqlgeo.point_hex('select distinct reach, ax as x, ay as y from seg', 'reach')}),
 rows_ as (select *, unnest(range((floor(least(ay, ey) / {_ROW}::double) - 1)::bigint, (ceil(greatest(ay, ey) / {_ROW}::double) + 2)::bigint)) as r from seg),
 hexes as (select *, unnest(range((floor(least(ax, bx) / 2000::double - r / 2::double) - 1)::bigint, (ceil(greatest(ax, bx) / 2000::double - r / 2::double) + 2)::bigint)) as q from rows_),
@@ -175,8 +177,9 @@ near as (select h.* from hexes h join g on g.q = h.q and g.r = h.r),
 rc as materialized (select distinct b.q, b.r, reach from begun b join g on g.q = b.q and g.r = b.r union select n.q::int, n.r::int, reach from near n join g_corner a on a.q = n.q and a.r = n.r join g_corner c on c.q = n.q and c.r = n.r and c.c = (a.c + 1) % 6
  where greatest(ax, bx) >= least(a.x, c.x) and greatest(a.x, c.x) >= least(ax, bx) and greatest(ay, ey) >= least(a.y, c.y) and greatest(a.y, c.y) >= least(ay, ey)
  and ((bx-ax)*(a.y-ay)-(ey-ay)*(a.x-ax)) * ((bx-ax)*(c.y-ay)-(ey-ay)*(c.x-ax)) <= 0 and ((c.x-a.x)*(ay-a.y)-(c.y-a.y)*(ax-a.x)) * ((c.x-a.x)*(ey-a.y)-(c.y-a.y)*(bx-a.x)) <= 0)"""
+RIVERS = f"{_GRID}, {_MET}"
 _OFFSETS = ", ".join(f"({k}, {dx!r}, {dy!r})" for k, (dx, dy) in enumerate(rasters.sample_offsets(ALPS.spacing)))
-_CELLS = f"""{_GRID}, {SQL['geo_window']}, sample as (select cell_id * 16 + k as id, g.x + dx::double as x, g.y + dy::double as y from g, (values {_OFFSETS}) o(k, dx, dy)),
+CELLS = f"""{_GRID}, {SQL['geo_window']}, sample as (select cell_id * 16 + k as id, g.x + dx::double as x, g.y + dy::double as y from g, (values {_OFFSETS}) o(k, dx, dy)),
 spot as materialized ({sqlgeo.unproject('select * from sample', 8.1, 46.7, 'id')}),
 val as (select id, arg_min(values[(least(floor((n - lat) / (n - s) * 8), 7) * 8 + least(floor((lon - w) / (e - w) * 8), 7))::int + 1]::double, window_no) as v from spot join geo_window on lon >= w and lon < e and lat > s and lat <= n group by id),
 heard as (select id // 16 as cell_id, v * 1000 as height, {views.COVERS}[((floor(v * 10000)::bigint % 11) + 11) % 11 + 1] as cover from val),
@@ -195,9 +198,9 @@ t as (select *, greatest(0, coalesce(list_max(list_transform(list_filter(e, lamb
 select reach, seq, round(ax + dx * lo, 3) as ax, round(ay + dy * lo, 3) as ay, round(ax + dx * hi, 3) as bx, round(ay + dy * hi, 3) as "by" from t where ok and lo <= hi"""
 
 ORACLES = {
-    "cell_statistics": f"with {_CELLS} select cell_id, round(mean, 6) as mean, round(relief, 6) as relief, round(slope, 6) as slope, round(forest, 6) as forest, round(water, 6) as water from st",
-    "cell_classes": f"with {_CELLS} select * from cls",
-    "map_summary": f"""with {_CELLS}, {SQL['geo_settlement']}, {_PLACES} select landscape as key, count(*) as n from cls group by 1 union all select surface, count(*) from cls where surface != 'Land' group by 1
+    "cell_statistics": f"with {CELLS} select cell_id, round(mean, 6) as mean, round(relief, 6) as relief, round(slope, 6) as slope, round(forest, 6) as forest, round(water, 6) as water from st",
+    "cell_classes": f"with {CELLS} select * from cls",
+    "map_summary": f"""with {CELLS}, {SQL['geo_settlement']}, {_PLACES} select landscape as key, count(*) as n from cls group by 1 union all select surface, count(*) from cls where surface != 'Land' group by 1
  union all select 'Cities', count(*) from places where population >= 5000 and lon between 7.6::double and 8.6::double and lat between 46.3::double and 47.1::double and (q, r) in (select (q, r) from g)""",
     "path_smoothing": f"with {_SMOOTH}",
     "segment_clip": f"with {_CUT}",
@@ -216,7 +219,7 @@ select window_no, ((k % 8) // 4)::int as bx, ((k // 8) // 4)::int as "by", round
     "river_network": f"with {SQL['geo_network']} select a.id, a.next_down, b.id is not null as has_down from (select id, arg_max(next_down, ordinal) as next_down from geo_network group by id) a left join (select distinct id from geo_network) b on b.id = a.next_down",
     "lake_components": _LAKE,
     "display_heights": """with """ + SQL["geo_field"] + """ select ix, iy, round(s * 1.4::double * d, 6) as display_m, round(h, 4) as inverse_m from (select *, sign(h) as s, case when abs(h) <= 1500 then abs(h) else 1500::double * (1 + ln(abs(h) / 1500)) end as d from (select ix, iy, elevation::double * 4 as h from geo_field))""",
-    "urban_edit": f"""with {_GRID}, c as (select q, r, ((q * 7 + r * 3) % 11) as k, (abs(q) + abs(r) + abs(q + r)) // 2 <= 3 and not (abs(q - 2) + abs(r) + abs(q - 2 + r)) // 2 <= 1 as near from g)
+    "urban_edit": f"""with {CELLS}, {_MET}, c as (select q, r, case when water >= 0.25::double then 0 when (q, r) in (select (q, r) from rc) then 1 else 2 end as k, (abs(q) + abs(r) + abs(q + r)) // 2 <= 3 and not (abs(q - 2) + abs(r) + abs(q - 2 + r)) // 2 <= 1 as near from g join st on st.cell_id = g.cell_id)
 select q, r, case when k = 0 then 'Water' when k = 1 then 'River' when near then 'City' else 'Land' end as surface, case when near and k != 0 then 50000::bigint end as urban_population, case when near and k != 0 then 'Dense' end as urban_style from c""",
     "provenance": "select source as name, '2' as version, doc_id::varchar as url, 'CC-BY-4.0' as license, 'Data by ' || source as attribution, sha256(text) as sha256 from documents",
     "language_tags": """with t as (select distinct lang as tag from documents union select unnest(['zh', 'zh-CN', 'zh_CN.UTF-8', 'ZH-cn', 'zh-SG', 'zh-Hans', 'zh-Hans-HK', 'en-US', 'de-DE', 'C', '', 'zh-TW', 'zh-Hant-CN', 'zh-HK'])),

@@ -8,7 +8,7 @@ from hexloom.functions import geo
 from hexloom.operators import hydrology, mesh, rivers, tiles
 from hexloom.plans import sqlgeo
 from hexloom.plans.places import _PLACES, ALPS, cells
-from hexloom.plans.records import _placed
+from hexloom.plans.records import WOODED, _placed, wooded
 from hexloom.sources import views
 from hexloom.sources.views import SQL
 
@@ -46,30 +46,25 @@ def building_sites(spark, sf_dir):
     return hydrology.building_sites(used, wet, 2, 9)
 
 
-def _presets(spark):
-    return spark.createDataFrame([(n, r.west, r.south, r.east, r.north) for n, r in geo.PRESETS.items()], "region string, west double, south double, east double, north double")
-
-
 def region_tiles(spark, sf_dir):
-    return tiles.region_tiles(_presets(spark), 1).unionByName(tiles.region_tiles(_presets(spark).withColumn("region", F.concat(F.lit("cover "), "region")), 3))
+    regions = views.regions(spark, sf_dir)
+    return tiles.region_tiles(regions, 1).unionByName(tiles.region_tiles(regions.withColumn("region", F.concat(F.lit("cover "), "region")), 3))
 
 
 def region_estimates(spark, sf_dir):
     count = tiles.cover_tile_estimate(*(F.col(c) for c in ("west", "south", "east", "north")))
-    out = _presets(spark).withColumn("tiles", count)
+    out = views.regions(spark, sf_dir).withColumn("tiles", count)
     mb, gb = tiles.storage_estimate(F.col("tiles"))
     return out.select("region", "tiles", mb.alias("megabytes"), gb.alias("gigabytes"))
 
 
 def placement_limits(spark, sf_dir):
-    """Cells of each third by their number as forest, and settlements' hexagons as cities."""
-    c = cells(spark, sf_dir).select("cell_id", F.when(F.col("cell_id") % 3 == 0, "Forest").otherwise("Plains").alias("landscape"), F.lit("Land").alias("surface"), (F.col("cell_id") % 30 == 6).alias("urban"), ((F.col("cell_id") % 10) / geo.lit(10)).alias("forest"))
-    return mesh.placement_limits(c).select(F.round("density", 9).alias("density"), F.round("decoration", 9).alias("decoration"), "urban_cells", "city_limit")
+    return mesh.placement_limits(wooded(spark, sf_dir)).select(F.round("density", 9).alias("density"), F.round("decoration", 9).alias("decoration"), "urban_cells", "city_limit")
 
 
 QUERIES = {f.__name__: f for f in (channel_distance, relaxed_levels, points_outside, dragged_regions, building_sites, region_tiles, region_estimates, placement_limits)}
 
-_REGIONS = "regions(region, west, south, east, north) as (values " + ", ".join(f"('{n}', {r.west}::double, {r.south}::double, {r.east}::double, {r.north}::double)" for n, r in geo.PRESETS.items()) + ")"
+_REGIONS = SQL["geo_region"]
 _LINE = "range((floor({a} / {k}) * {k})::int, greatest((ceil({b} / {k}) * {k} - {k})::int, (floor({a} / {k}) * {k})::int) + 1, {k})"
 _TILES = """select region, (row_number() over (partition by region order by lat_tile, lon_tile) - 1)::int as number, lon_tile::int as lon_tile, lat_tile::int as lat_tile
  from (select {name} as region, lat_tile, unnest({across}) as lon_tile from (select *, unnest({up}) as lat_tile from regions))"""
@@ -92,7 +87,7 @@ k as (select q, r, (row_number() over (partition by q, r order by dx * dx + dy *
     "region_tiles": f"with {_REGIONS} " + _TILES.format(name="region", across=_LINE.format(a="west", b="east", k=1), up=_LINE.format(a="south", b="north", k=1)) + " union all " + _TILES.format(name="'cover ' || region", across=_LINE.format(a="west", b="east", k=3), up=_LINE.format(a="south", b="north", k=3)),
     "region_estimates": f"""with {_REGIONS}, t as (select region, (greatest(ceil(east / 3) - floor(west / 3), 1) * greatest(ceil(north / 3) - floor(south / 3), 1))::bigint as tiles from regions)
 select region, tiles, tiles * 100 as megabytes, greatest(tiles + 2, 1) as gigabytes from t""",
-    "placement_limits": f"""with {sqlgeo.grid('g', 7.6, 46.3, 8.6, 47.1)}, c as (select cell_id % 3 = 0 as forest, cell_id % 30 = 6 as urban, (cell_id % 10) / 10::double as share from g)
+    "placement_limits": f"""with {WOODED}, c as (select landscape = 'Forest' and surface = 'Land' as forest, urban, forest as share from wooded)
 select round(least(24000 / greatest(coalesce(sum(share * 18) filter (forest and not urban), 0), 1), 1), 9) as density, round(least(12000 / (greatest(count(*), 1) * 3), 1), 9) as decoration, greatest(count(*) filter (urban), 1) as urban_cells,
  least(greatest(12000 // greatest(count(*) filter (urban), 1), 1), 25)::bigint as city_limit from c""",
 }

@@ -29,6 +29,20 @@ def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), lon.alias("lon"), lat.alias("lat"), people.alias("population"))
 
 
+def depots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, lon, lat: the suppliers as places of the same region."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("id"), (lit(7.6) + ((F.col("s_suppkey") * 6007) % 10007) / lit(10007)).alias("lon"), (lit(46.3) + lit(0.8) * ((F.col("s_suppkey") * 3517) % 10009) / lit(10009)).alias("lat"))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region, west, south, east, north: the customers as rectangles of up to nine by seven degrees all over the world."""
+    k = F.col("c_custkey")
+    west, south = lit(-180) + ((k * 7919) % 3500) / lit(10), lit(-60) + ((k * 104729) % 1100) / lit(10)
+    east, north = F.col("west") + lit(0.1) + (k % 90) / lit(10), F.col("south") + lit(0.1) + (k % 70) / lit(10)
+    return table(spark, sf_dir, "customer").select("c_custkey", west.alias("west"), south.alias("south")).select(k.cast("string").alias("region"), "west", "south", east.alias("east"), north.alias("north"))
+
+
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reach, seq, x, y, discharge: an order's lines as a polyline."""
     item, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
@@ -86,6 +100,9 @@ SQL = {
   7.6::double + ((c_custkey * 7919) % 10007)::double / 10007::double as lon,
   46.3::double + 0.8::double * ((c_custkey * 104729) % 10009)::double / 10009::double as lat,
   floor(greatest(c_acctbal, 0::double) * 10)::bigint as population from customer)""",
+    "geo_depot": """geo_depot as (select s_suppkey as id, 7.6::double + ((s_suppkey * 6007) % 10007)::double / 10007::double as lon, 46.3::double + 0.8::double * ((s_suppkey * 3517) % 10009)::double / 10009::double as lat from supplier)""",
+    "geo_region": """regions as (select region, west, south, west + 0.1::double + (k % 90)::double / 10 as east, south + 0.1::double + (k % 70)::double / 10 as north from (select c_custkey as k, c_custkey::varchar as region,
+  -180::double + ((c_custkey * 7919) % 3500)::double / 10 as west, -60::double + ((c_custkey * 104729) % 1100)::double / 10 as south from customer))""",
     "geo_vertex": """geo_vertex as (select reach, seq,
   ((reach * 977) % 70001 - 35000 + ((part * 131) % 2001 - 1000) + seq * 1500)::double as x,
   ((reach * 613) % 80001 - 40000 + ((supp * 151) % 2001 - 1000))::double as y, o_totalprice / 10000::double as discharge
