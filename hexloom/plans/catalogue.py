@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hexloom.plans import graph, places, records, terrain, water
+from hexloom.plans import graph, places, records, surface, terrain, water
 
-_PARTS = (places, terrain, records, water, graph)
+_PARTS = (places, terrain, records, water, graph, surface)
 
 
 def queries() -> dict:
