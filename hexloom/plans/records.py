@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hexloom.functions import display, geo
-from hexloom.operators import mesh, rasters, records
+from hexloom.operators import mesh, rasters, records, settlements
 from hexloom.plans import sqlgeo
-from hexloom.plans.places import _PLACES, ALPS, HELD, cells, held, placed
+from hexloom.plans.places import _PLACES, ALPS, CENTRE, HELD, cells, held, placed
 from hexloom.plans.terrain import CELLS, FIELD, RIVERS, cell_stats, river_cells
 from hexloom.session import cut_lineage
 from hexloom.sources import views
@@ -47,6 +47,45 @@ def content_digest(spark, sf_dir):
     return records.content_digest(s, F.col("id").cast("string"), F.col("name"), F.col("population").cast("string"))
 
 
+def settled_cells(spark, sf_dir):
+    """The cell of every settlement within the region; one outside of the grid fails the query."""
+    inside = settlements.within(views.settlements(spark, sf_dir), ALPS.region, ALPS.min_city_population)
+    known = cut_lineage(settlements.place(inside, ALPS).select("id", "q", "r"))
+    return settlements.require_inside(known, cells(spark, sf_dir)).select("id", "cell_id")
+
+
+def map_totals(spark, sf_dir):
+    """Cells, settlements and cells that have any."""
+    here = cut_lineage(placed(spark, sf_dir).select("q", "r")).groupBy("q", "r").agg(F.count("*").alias("cities"))
+    return records.totals(cells(spark, sf_dir).join(here, ["q", "r"], "left").withColumn("cities", F.coalesce("cities", F.lit(0))))
+
+
+def cell_lines(spark, sf_dir):
+    """A line about each cell, from its statistics over the raster windows."""
+    places = geo.unproject(cells(spark, sf_dir).select("cell_id", "x", "y"), "x", "y", CENTRE)
+    return records.inspected(places.join(cell_stats(spark, sf_dir), "cell_id"))
+
+
+def _parts(spark, sf_dir):
+    """The parts of a map, and the columns that make a row of each."""
+    text = lambda *names: [F.col(c).cast("string") for c in names]
+    thousandths = lambda c: F.round(F.col(c).cast("double") * 1000).cast("long").cast("string")
+    return {
+        "cells": (cell_stats(spark, sf_dir), text("cell_id", "landscape", "surface")), "field": (views.field(spark, sf_dir), [*text("ix", "iy"), thousandths("elevation"), *text("cover")]),
+        "paths": (views.vertices(spark, sf_dir), [*text("reach", "seq"), thousandths("x"), thousandths("y")]), "settlements": (views.settlements(spark, sf_dir), text("id", "name", "population")),
+    }
+
+
+def map_digest(spark, sf_dir):
+    """A digest for each part of a map, and whether rows dealt out in another way have the same one."""
+    out = None
+    for name, (rows, columns) in _parts(spark, sf_dir).items():
+        once, again = records.content_digest(rows, *columns), records.content_digest(rows.repartition(7, *columns[:1]), *columns)
+        row = once.join(again.withColumnRenamed("digest", "second"), F.col("digest") == F.col("second"), "left").select(F.lit(name).alias("part"), "digest", F.col("second").isNotNull().alias("same"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def cache_keys(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
     return d.select("doc_id", records.cache_key(F.lit("v2"), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("key"))
@@ -215,7 +254,7 @@ QUERIES = {
     for f in (
         cell_rivers, river_gaps, content_digest, cache_keys, first_parts, last_reaches, field_extent, raster_audit, raster_bilinear, source_credits, provenance_match, cell_lookup,
         city_containment, map_checks, vertex_keys, edge_parameters, edge_uses, world_positions, palette_colours, material_weights, placement_counts, forest_models, display_slopes,
-        messages, diagnostics, river_steps,
+        messages, diagnostics, river_steps, settled_cells, map_totals, cell_lines, map_digest,
     )
 }
 
@@ -242,7 +281,23 @@ def _colour(k: int, town: float, mud: float) -> str:
 
 _DISPLAY = lambda h: f"(sign({h}) * 1.4::double * (case when abs({h}) <= 1500 then abs({h}) else 1500::double * (1 + ln(abs({h}) / 1500)) end))"
 
+def _digest(own: str) -> str:
+    """One row: the digest of the rows whose texts are ``d`` of ``own``."""
+    return f"""(with own as (select sha256(d) as d from ({own})), part as (select k, sum(list_reduce(list_transform(range(13), lambda i: (strpos('0123456789abcdef', substr(d, 1 + 13 * k + i::int, 1)) - 1)::bigint), lambda a, b: a * 16 + b)::hugeint) as v from own, (select unnest(range(4))::int as k) group by k)
+select sha256((select count(*) from own)::varchar || '|' || string_agg(v::varchar, '|' order by k)) as digest from part)"""
+
+
+_ROWS = {
+    "cells": "select cell_id || '|' || landscape || '|' || surface as d from cls", "field": "select ix || '|' || iy || '|' || round(elevation::double * 1000)::bigint || '|' || cover as d from geo_field",
+    "paths": "select reach || '|' || seq || '|' || round(x * 1000)::bigint || '|' || round(y * 1000)::bigint as d from geo_vertex", "settlements": "select id || '|' || name || '|' || population as d from geo_settlement",
+}
+
 ORACLES = {
+    "settled_cells": f"with {_G}, {SQL['geo_settlement']}, {_PLACES} select id, cell_id from places join g on g.q = places.q and g.r = places.r where lon between 7.6::double and 8.6::double and lat between 46.3::double and 47.1::double and population >= 5000",
+    "map_totals": f"with {_G}, {SQL['geo_settlement']}, {_PLACES}, n as (select q, r, count(*) as n from places group by q, r) select count(*) as cells, coalesce(sum(n), 0)::bigint as cities, count(n) as settled from g left join n on n.q = g.q and n.r = g.r",
+    "cell_lines": f"""with {CELLS}, at as materialized ({sqlgeo.unproject('select cell_id, x, y from g', 8.1, 46.7, 'cell_id')}) select cell_id, printf('%.4f', lat) || ', ' || printf('%.4f', lon) || '; ' || printf('%.0f', mean) || ' m; relief ' || printf('%.0f', relief)
+ || ' m; forest ' || round(forest * 100)::int || '%; water ' || round(water * 100)::int || '%' as line from at join st using (cell_id)""".replace(" at as", " spots as").replace("from at join", "from spots join"),
+    "map_digest": f"with {CELLS}, {FIELD}, {SQL['geo_vertex']}, {SQL['geo_settlement']} " + " union all ".join(f"select '{n}' as part, digest, true as same from {_digest(rows)}" for n, rows in _ROWS.items()),
     "cell_rivers": f"""with {RIVERS}, ids as (select q, r, string_agg(reach::varchar, ',' order by reach) as ids from rc group by q, r)
 select g.q, g.r, case when cell_id % 9 = 0 then 'Water' when ids is not null then 'River' else 'Land' end as surface, coalesce(ids, '') as river_ids from g left join ids on g.q = ids.q and g.r = ids.r""",
     "river_gaps": f"""with recursive {RIVERS}, reached(reach, q, r, root) as (select reach, q, r, q * 100000 + r from rc union
