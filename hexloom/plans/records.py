@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from hexloom.functions import display, geo
 from hexloom.operators import mesh, rasters, records, settlements
+from hexloom.operators.versions import Versions
 from hexloom.plans import sqlgeo
 from hexloom.plans.places import _PLACES, ALPS, CENTRE, HELD, cells, held, placed
 from hexloom.plans.terrain import CELLS, FIELD, RIVERS, cell_stats, river_cells
-from hexloom.session import cut_lineage
+from hexloom.session import cut_lineage, scratch_folder
 from hexloom.sources import views
 from hexloom.sources.views import SQL
 
@@ -86,6 +87,20 @@ def map_digest(spark, sf_dir):
     return out
 
 
+def edit_history(spark, sf_dir):
+    """Settlements whose people are doubled, then those of the large ones again; the second edit is undone, redone and undone, and what stands after each is told."""
+    history = Versions(spark, scratch_folder(spark, "versions"))
+    s = views.settlements(spark, sf_dir).select("id", "population")
+    history.publish({"settlements": s})
+    history.publish({"settlements": history.load("settlements").withColumn("population", F.col("population") * 2)})
+    history.publish({"settlements": history.load("settlements").withColumn("population", F.when(F.col("population") >= CITY, F.col("population") * 2).otherwise(F.col("population")))})
+    out = history.load("settlements").withColumnRenamed("population", "edited")
+    history.undo()
+    out = out.join(history.load("settlements").withColumnRenamed("population", "undone"), "id")
+    history.redo()
+    return out.join(history.load("settlements").withColumnRenamed("population", "redone"), "id")
+
+
 def cache_keys(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
     return d.select("doc_id", records.cache_key(F.lit("v2"), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("key"))
@@ -254,7 +269,7 @@ QUERIES = {
     for f in (
         cell_rivers, river_gaps, content_digest, cache_keys, first_parts, last_reaches, field_extent, raster_audit, raster_bilinear, source_credits, provenance_match, cell_lookup,
         city_containment, map_checks, vertex_keys, edge_parameters, edge_uses, world_positions, palette_colours, material_weights, placement_counts, forest_models, display_slopes,
-        messages, diagnostics, river_steps, settled_cells, map_totals, cell_lines, map_digest,
+        messages, diagnostics, river_steps, settled_cells, map_totals, cell_lines, map_digest, edit_history,
     )
 }
 
@@ -297,6 +312,7 @@ ORACLES = {
     "map_totals": f"with {_G}, {SQL['geo_settlement']}, {_PLACES}, n as (select q, r, count(*) as n from places group by q, r) select count(*) as cells, coalesce(sum(n), 0)::bigint as cities, count(n) as settled from g left join n on n.q = g.q and n.r = g.r",
     "cell_lines": f"""with {CELLS}, at as materialized ({sqlgeo.unproject('select cell_id, x, y from g', 8.1, 46.7, 'cell_id')}) select cell_id, printf('%.4f', lat) || ', ' || printf('%.4f', lon) || '; ' || printf('%.0f', mean) || ' m; relief ' || printf('%.0f', relief)
  || ' m; forest ' || round(forest * 100)::int || '%; water ' || round(water * 100)::int || '%' as line from at join st using (cell_id)""".replace(" at as", " spots as").replace("from at join", "from spots join"),
+    "edit_history": f"with {SQL['geo_settlement']}, e as (select id, population * 2 as undone, case when population * 2 >= {CITY} then population * 4 else population * 2 end as edited from geo_settlement) select id, edited, undone, edited as redone from e",
     "map_digest": f"with {CELLS}, {FIELD}, {SQL['geo_vertex']}, {SQL['geo_settlement']} " + " union all ".join(f"select '{n}' as part, digest, true as same from {_digest(rows)}" for n, rows in _ROWS.items()),
     "cell_rivers": f"""with {RIVERS}, ids as (select q, r, string_agg(reach::varchar, ',' order by reach) as ids from rc group by q, r)
 select g.q, g.r, case when cell_id % 9 = 0 then 'Water' when ids is not null then 'River' else 'Land' end as surface, coalesce(ids, '') as river_ids from g left join ids on g.q = ids.q and g.r = ids.r""",

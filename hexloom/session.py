@@ -48,6 +48,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read from there.
 
