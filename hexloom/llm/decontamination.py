@@ -152,6 +152,32 @@ def banded_edits(pattern: str, text: str, most: int) -> tuple[int, int, int] | N
     return None
 
 
+def within(pattern: str, text: str, most: int) -> bool:
+    """Whether ``banded_edits`` finds a part: the least edits of the pattern up to each place of the text, a column of bits at a time (Myers, Hyyro)."""
+    m = len(pattern)
+    if m <= most:
+        return True
+    equal: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        equal[c] = equal.get(c, 0) | 1 << i
+    mask, last = (1 << m) - 1, 1 << (m - 1)
+    # rises and falls between the cells of a column, from the top down
+    rises, falls, score = mask, 0, m
+    for c in text:
+        eq = equal.get(c, 0)
+        across = (((eq & rises) + rises) ^ rises) | eq
+        up, down = falls | (mask & ~(across | rises)), rises & across
+        if up & last:
+            score += 1
+        elif down & last:
+            score -= 1
+            if score <= most:
+                return True
+        up, down, kept = up << 1, down << 1, eq | falls
+        rises, falls = (down | ~(kept | up)) & mask, up & kept & mask
+    return False
+
+
 def find_passages(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     """(item number, start, end, edits) of all passages in a text; places are those of the text itself."""
     return passages([text], index)[0]
@@ -234,7 +260,10 @@ def _verify(out: list, normals: list, index: Index, item: int, n: int, low: int,
     start = max(0, low - edits)
     window = text[start : max(0, high + len(pattern) + edits)]
     exact = window.find(pattern)
-    found = [(0, exact, exact + len(pattern))] if exact >= 0 else [banded_edits(pattern, window, edits)]
+    if exact >= 0:
+        found = [(0, exact, exact + len(pattern))]
+    else:  # most bands with enough hits have no alignment, which a pass over bits tells sooner
+        found = [banded_edits(pattern, window, edits)] if within(pattern, window, edits) else []
     while exact >= 0:
         exact = window.find(pattern, exact + len(pattern))
         if exact >= 0:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hexloom.llm import ball_kmeans, fill_in_middle, registry, sharding
+from hexloom.llm import ball_kmeans, decontamination, fill_in_middle, registry, sharding
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", "a", "Ab cd", "<P> stays", "<S", "P>", "é<M", "naïve Café", "\n\t x  y", "日本 語", "🙂🙂", "Ab cd", "x" * 5000, "l'été <" * 300, "A1b2C3", "<<S>", "word " * 40]
@@ -183,3 +183,22 @@ def test_ties_go_to_the_smaller_number_and_far_centroids_are_not_compared():
         best, distance, steps = ball_kmeans.nearest(points, ball, centroids)
         assert (best == every.argmin(axis=1)).all() and (distance == every.min(axis=1)).all()
     assert steps < 0.7 * every.size  # with the balls that fit
+
+
+# ------------------------------------------------------------------ 5
+
+
+def test_bits_tell_what_the_banded_alignment_finds():
+    r, hits = random.Random(9), 0
+    for _ in range(400):
+        pattern = "".join(r.choice("abc") for _ in range(r.randrange(1, 90)))
+        part = list(pattern)
+        for _ in range(r.randrange(8)):
+            k = r.randrange(len(part) + 1)
+            part[k : k + r.randrange(2)] = r.choice(["", "a", "x"])
+        text = "".join(r.choice("abc") for _ in range(r.randrange(40))) + "".join(part) + "".join(r.choice("abc") for _ in range(r.randrange(40)))
+        most = r.randrange(7)
+        found = decontamination.banded_edits(pattern, text, most) is not None
+        assert decontamination.within(pattern, text, most) == found
+        hits += found
+    assert 100 < hits < 390
