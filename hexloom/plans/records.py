@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hexloom.functions import display, geo
-from hexloom.operators import mesh, rasters, records, settlements
+from hexloom.operators import geometry, mesh, rasters, records, settlements
 from hexloom.operators.versions import Versions
 from hexloom.plans import sqlgeo
 from hexloom.plans.places import _PLACES, ALPS, CENTRE, HELD, cells, held, placed
@@ -101,6 +101,20 @@ def edit_history(spark, sf_dir):
     return out.join(history.load("settlements").withColumnRenamed("population", "redone"), "id")
 
 
+def geometry_scan(spark, sf_dir):
+    """The polylines written as GeoJSON of three kinds and read back: lines, rings of features, and lines deep in collections."""
+    vertex = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
+    # an order has a few lines
+    lines = views.vertices(spark, sf_dir).groupBy("reach").agg(F.transform(vertex, lambda v: F.array(v["x"], v["y"])).alias("c"))
+    text = lambda c: F.to_json(c)
+    line = F.concat(F.lit('{"type":"LineString","coordinates":'), text(F.col("c")), F.lit("}"))
+    feature = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Polygon","coordinates":['), text(F.col("c")), F.lit("]}}"))
+    deep = F.concat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":'), text(F.get("c", F.lit(0))), F.lit('},{"type":"GeometryCollection","geometries":['), line, F.lit("]}]}"))
+    kind = F.col("reach") % 3
+    written = lines.select(F.col("reach").alias("id"), F.when(kind == 0, line).when(kind == 1, feature).otherwise(deep).alias("geometry"))
+    return geometry.polylines(written)
+
+
 def cache_keys(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
     return d.select("doc_id", records.cache_key(F.lit("v2"), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("key"))
@@ -269,7 +283,7 @@ QUERIES = {
     for f in (
         cell_rivers, river_gaps, content_digest, cache_keys, first_parts, last_reaches, field_extent, raster_audit, raster_bilinear, source_credits, provenance_match, cell_lookup,
         city_containment, map_checks, vertex_keys, edge_parameters, edge_uses, world_positions, palette_colours, material_weights, placement_counts, forest_models, display_slopes,
-        messages, diagnostics, river_steps, settled_cells, map_totals, cell_lines, map_digest, edit_history,
+        messages, diagnostics, river_steps, settled_cells, map_totals, cell_lines, map_digest, edit_history, geometry_scan,
     )
 }
 
@@ -312,6 +326,7 @@ ORACLES = {
     "map_totals": f"with {_G}, {SQL['geo_settlement']}, {_PLACES}, n as (select q, r, count(*) as n from places group by q, r) select count(*) as cells, coalesce(sum(n), 0)::bigint as cities, count(n) as settled from g left join n on n.q = g.q and n.r = g.r",
     "cell_lines": f"""with {CELLS}, at as materialized ({sqlgeo.unproject('select cell_id, x, y from g', 8.1, 46.7, 'cell_id')}) select cell_id, printf('%.4f', lat) || ', ' || printf('%.4f', lon) || '; ' || printf('%.0f', mean) || ' m; relief ' || printf('%.0f', relief)
  || ' m; forest ' || round(forest * 100)::int || '%; water ' || round(water * 100)::int || '%' as line from at join st using (cell_id)""".replace(" at as", " spots as").replace("from at join", "from spots join"),
+    "geometry_scan": f"with {SQL['geo_vertex']} select reach as id, 0 as part, (seq - 1)::int as seq, x, y from (select *, count(*) over (partition by reach) as n from geo_vertex) where n > 1",
     "edit_history": f"with {SQL['geo_settlement']}, e as (select id, population * 2 as undone, case when population * 2 >= {CITY} then population * 4 else population * 2 end as edited from geo_settlement) select id, edited, undone, edited as redone from e",
     "map_digest": f"with {CELLS}, {FIELD}, {SQL['geo_vertex']}, {SQL['geo_settlement']} " + " union all ".join(f"select '{n}' as part, digest, true as same from {_digest(rows)}" for n, rows in _ROWS.items()),
     "cell_rivers": f"""with {RIVERS}, ids as (select q, r, string_agg(reach::varchar, ',' order by reach) as ids from rc group by q, r)
