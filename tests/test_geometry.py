@@ -38,4 +38,4 @@ def test_nested_geometries(spark):
                 for seq, p in enumerate(points):
                     wanted.setdefault(i, {}).setdefault((part, seq), []).append([float(x) for x in p])
     same = lambda d: {i: {k: sorted(v) for k, v in parts.items()} for i, parts in d.items()}
-    assert same(found) == same(wanted) and len(wanted) == 9
+    assert same(found) == same(wanted) and len(wanted) == 8
