@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hexloom.operators.components import connected_components
 
@@ -21,8 +22,14 @@ def lake_bodies(field: DataFrame, width: int) -> DataFrame:
 
 
 def lake_levels(bodies: DataFrame, reach: float = 15.0) -> DataFrame:
-    """body, n, level (upper median) and kept, the samples within ``reach`` of the level."""
-    levels = bodies.groupBy("body").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("elevation")).alias("h"))
-    levels = levels.select("body", "n", F.get("h", F.floor(F.col("n") / 2).cast("int")).alias("level"))
+    """body, n, level (upper median) and kept, the samples within ``reach`` of the level.
+
+    A body's heights are counted first and summed up in order, so that no row or task
+    holds all samples of a body.
+    """
+    body = Window.partitionBy("body")
+    counts = bodies.groupBy("body", "elevation").agg(F.count("*").alias("c"))
+    ranked = counts.select("body", "elevation", F.sum("c").over(body.orderBy("elevation")).alias("upto"), F.sum("c").over(body).alias("n"))
+    levels = ranked.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("body").agg(F.first("n").alias("n"), F.min("elevation").alias("level"))
     near = bodies.join(levels, "body").groupBy("body").agg(F.sum((F.abs(F.col("elevation") - F.col("level")) <= reach).cast("long")).alias("kept"))
     return levels.join(near, "body")

@@ -31,6 +31,7 @@ def local_session(cores: int = 8, **conf: str) -> SparkSession:
 
 
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_paths: set[str] = set()
 _local: list[str] = []
 
 
@@ -64,14 +65,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
+    _paths.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _paths.discard(path)
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes the tables of ``frames`` that ``cut_lineage`` returned, once nothing reads them any more."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written.pop(df))
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, _written.pop(df))
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes all tables that ``cut_lineage`` has written and ``release`` has not; call it once no result reads them any more. Their number."""
+    gone = sorted(_paths)
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
 
 
 #: Rows of an Arrow batch: texts of any length stand in one, and the executor and its Python worker both hold it.
