@@ -10,9 +10,10 @@ how much of an entity's information a term gives away, counting documents throug
 It is 1 when the term occurs in documents of the entity only. Terms from ``REMOVE``
 on are removed, those from ``GENERALISE`` on are generalised. Both need to stand with
 the entity in ``SUPPORT`` different texts, as copies of one text say nothing about a
-term, and n(e,t) PMI(t; e) must reach ``EVIDENCE`` bits, so that rare words that
-happen to stand beside personal data are left. All their places in the entity's
-documents are hidden; a removed term of a person's is hidden in all documents.
+term, and in a share of the entity's documents (``OF_PERSON`` or ``OF_KIND``), so that
+rare words that happen to stand beside personal data are left. Ratios alone decide, so
+that the size of the corpus does not. All places of a term in the entity's documents are
+hidden; a removed term of a person's is hidden in all documents.
 All of it is DataFrame operations.
 """
 
@@ -25,7 +26,9 @@ from hexloom.functions.arrays import let, running_sums
 from hexloom.operators.components import connected_components
 from hexloom.session import cut_lineage, release
 
-REMOVE, GENERALISE, SUPPORT, EVIDENCE = 0.95, 0.7, 3, 30.0
+REMOVE, GENERALISE, SUPPORT = 0.95, 0.7, 3
+#: Least share of a person's or a kind's documents that a term stands in.
+OF_PERSON, OF_KIND = 0.1, 0.5
 #: Most rows of a term table that are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 KINDS = ["email", "ip", "card", "phone"]
@@ -164,14 +167,14 @@ def disclosing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
     # one row for each text of a term first: copies are one text
     texts = held.select("entity", "h__", F.explode("terms").alias("term")).groupBy("entity", "term", "h__").agg(F.count("*").alias("n"))
     pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).select("entity", "term", "n_et")
-    possible = pairs.join(F.broadcast(entities) if entities.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else entities, "entity")
-    # a term is in as many documents as with the entity at least, which bounds both
-    possible = cut_lineage(possible.where(F.col("n_et") * F.log2(total / F.col("n_e")) >= EVIDENCE))
+    possible = pairs.join(_maybe_broadcast(entities), "entity")
+    share = F.when(F.col("entity").startswith("#"), OF_PERSON).otherwise(OF_KIND)
+    possible = cut_lineage(possible.where(F.col("n_et") >= share * F.col("n_e")))
     words = docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(_maybe_broadcast(cut_lineage(possible.select("term").distinct())), "term", "left_semi")
     known = possible.join(words.groupBy("term").agg(F.count("*").alias("n_t")), "term")
     gained = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t")))
     information = F.log2(total / F.col("n_e"))
-    measured = known.withColumn("disclosure", F.when(information > 0, gained / information).otherwise(0.0)).where((F.col("disclosure") >= GENERALISE) & (F.col("n_et") * gained >= EVIDENCE))
+    measured = known.withColumn("disclosure", F.when(information > 0, gained / information).otherwise(0.0)).where(F.col("disclosure") >= GENERALISE)
     return measured.select("entity", "term", "disclosure")
 
 
@@ -202,8 +205,10 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     release(holders, held, flagged, anywhere)
     base = F.transform("matches__", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     secrets = F.transform("secrets__", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    # documents with terms are few next to the texts, which then stay where they are; else both are shuffled
-    joined = _keyed(valued.withColumn("base", base).withColumn("secrets", secrets).drop("matches__", "secrets__")).join(_maybe_broadcast(told), ["d__", "h__"], "left")
+    # documents with terms are few next to the texts, which then stay where they are; else both are shuffled. Each is as long as its terms are many
+    listed = told.agg(F.coalesce(F.sum(F.size("removed__") + F.size("generalised__")), F.lit(0)).alias("n")).head()["n"]
+    beside = F.broadcast(told) if listed <= BROADCAST_ROWS else told
+    joined = _keyed(valued.withColumn("base", base).withColumn("secrets", secrets).drop("matches__", "secrets__")).join(beside, ["d__", "h__"], "left")
 
     def judged(m: Column) -> Column:
         term = F.lower(m["value"])

@@ -597,7 +597,8 @@ def brute_disclosure(texts):
             both = [i for i in docs if term in terms[i]]
             n_t, ic = sum(term in x for x in terms), math.log2(len(texts) / len(docs))
             pmi = math.log2(len(both) * len(texts) / (len(docs) * n_t))
-            if len({texts[i] for i in both}) >= pii_disclosure.SUPPORT and ic > 0 and pmi / ic >= pii_disclosure.GENERALISE and len(both) * pmi >= pii_disclosure.EVIDENCE:
+            share = pii_disclosure.OF_PERSON if isinstance(e, tuple) else pii_disclosure.OF_KIND
+            if len({texts[i] for i in both}) >= pii_disclosure.SUPPORT and ic > 0 and pmi / ic >= pii_disclosure.GENERALISE and len(both) >= share * len(docs):
                 remove = pmi / ic >= pii_disclosure.REMOVE
                 everywhere |= {term} if remove and isinstance(e, tuple) else set()
                 for i in docs:
@@ -626,6 +627,20 @@ def test_disclosing_terms_equal_brute_force(spark):
     assert {"Kowalczyk", "Bo", "apikey"} <= shown and "copied" not in shown and expected[-1][1]
 
 
+@pytest.mark.parametrize("others", [120, 1200])
+def test_planted_terms_are_found_at_every_size(spark, others):
+    """Twenty persons in three documents each, with one term of their own, in a small and a large corpus; of other words none is hidden."""
+    r = random.Random(others)
+    filler = lambda n: " ".join(f"common{chr(97 + r.randrange(26))}" for _ in range(n))
+    name = lambda k: f"Planted{chr(97 + k)}"
+    texts = [f"{filler(20)} {name(k)} {filler(9)} p{k}@home.org {filler(i)}" for k in range(20) for i in range(3)] + [filler(30) for _ in range(others)]
+    rows = {row.doc_id: row.terms for row in pii_disclosure.personal_spans(docs_of(spark, texts)).collect()}
+    hidden = {texts[i][t.start : t.end] for i, terms in rows.items() for t in terms}
+    planted = {name(k) for k in range(20)}
+    assert planted <= hidden and hidden - planted <= {"home"}
+    assert all(any(texts[i][t.start : t.end] == name(i // 3) for t in rows[i]) for i in range(60))
+
+
 # ------------------------------------------------------------------ 10
 
 
