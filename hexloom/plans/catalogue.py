@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hexloom.plans import graph, places, records, surface, terrain, water
+from hexloom.plans import graph, places, placing, records, surface, terrain, water
 
-_PARTS = (places, terrain, records, water, graph, surface)
+_PARTS = (places, terrain, records, water, graph, surface, placing)
 
 
 def queries() -> dict:
