@@ -1,18 +1,20 @@
-"""The query of models in the cells: covers and lakes of the samples laid over the region, heights of the mesh."""
+"""The map's height field, and the models in its cells: covers and lakes of the samples laid over the region, heights of the mesh."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hexloom.functions import geo
 from hexloom.functions.geo import lit
-from hexloom.operators import placements, rasters, shores, surface
+from hexloom.operators import heightfield, placements, rasters, shores, surface
 from hexloom.plans.graph import _BLEND, _blend, _lake
-from hexloom.plans.places import ALPS, cells, placed
+from hexloom.plans.places import ALPS, CENTRE, cells, placed
 from hexloom.plans.records import CITY, FORESTED, WOODED
 from hexloom.plans.surface import SPACING, _heights, _heights_sql, _triangles
-from hexloom.plans.terrain import FIELD, STEP, _height, cell_stats
+from hexloom.plans.terrain import FIELD, STEP, _GRID, _height, cell_stats
 from hexloom.session import cut_lineage
 from hexloom.sources import views
+from hexloom.sources.views import SQL
 
 #: Half the region's width and height in metres, from whose south-west corner the samples are laid over it.
 WEST, SOUTH = 38_000, 44_500
@@ -45,7 +47,17 @@ def model_placements(spark, sf_dir):
     return out.select("cell_id", "batch", F.col("n").cast("long").alias("n"), "kind", *[F.round(c, d).alias(c) for c, d in (("x", 3), ("y", 3), ("height", 4), ("scale", 9), ("yaw", 6))], "variant")
 
 
-QUERIES = {"model_placements": model_placements}
+def source_height_field(spark, sf_dir):
+    """Elevations and covers of the whole map, read from the raster windows."""
+    samples = cut_lineage(geo.unproject(heightfield.lattice(cells(spark, sf_dir), SPACING), "x", "y", CENTRE))
+    points, tiled = samples.select("id", "lon", "lat"), (views.windows(spark, sf_dir), views.TILE, views.TILE_WEST, views.TILE_SOUTH, views.NODATA)
+    smooth = rasters.sample_bilinear(points, *tiled).select("id", (F.col("value") * 1000).alias("elevation"))
+    codes = F.array(*[F.lit(c) for c in views.COVERS])
+    covers = rasters.sample_nearest(points, *tiled).select("id", F.get(codes, F.pmod(F.floor(F.col("value") * 10000), F.lit(11)).cast("int")).alias("cover"))
+    return heightfield.height_field(samples, smooth, covers).select("ix", "iy", F.round("elevation", 3).alias("elevation"), "cover")
+
+
+QUERIES = {f.__name__: f for f in (model_placements, source_height_field)}
 
 _COUNT = lambda e, salt: f"(floor({e}) + case when ((cell_id::hugeint * 11400714819323198485::hugeint + {salt}) % 18446744073709551616::hugeint // 2048)::double / 9007199254740992::double < {e} - floor({e}) then 1 else 0 end)::bigint"
 _TURNED = lambda a, b: f"x + 2000::double * ({a}::double + {b}::double * (seed % 100)::double / 100) * cos(yaw) as x, y + 2000::double * ({a}::double + {b}::double * (seed % 100)::double / 100) * sin(yaw) as y"
@@ -88,4 +100,25 @@ select cell_id, batch, n, kind, round(x, 3) as x, round(y, 3) as y, round(height
  else case when kind = 'Rock' then 0.095::double else 0.06::double end end, 9) as scale, round(yaw, 6) as yaw, seed as variant from kept join run using (cell_id, batch) where batch = 2 or before < 60000"""
 
 
-ORACLES = {"model_placements": _sql()}
+_WINDOWED = "join geo_window on lon >= w and lon < e and lat > s and lat <= n"
+_VALUE = "arg_min(values[(least(floor((n - lat) / (n - s) * 8), 7) * 8 + least(floor((lon - w) / (e - w) * 8), 7))::int + 1]::double, window_no)"
+
+
+def _field_sql() -> str:
+    from hexloom.plans import sqlgeo
+
+    low = lambda c: f"floor((min({c}) - 2000 / sqrt(3::double) - 500) / 500)::bigint"
+    size = lambda top, origin: f"ceil(({top} + 2000 / sqrt(3::double) + 500 - {origin} * 500) / 500)::bigint + 1"
+    return f"""with {_GRID}, {SQL['geo_window']}, box as (select {low('x')} as ox, {low('y')} as oy, max(x) as east, max(y) as north from g), dim as (select ox, oy, {size('east', 'ox')} as width, {size('north', 'oy')} as height from box),
+raw as (select iy * width + ix as id, ix, iy, ((ox + ix) * 500)::double as x, ((oy + iy) * 500)::double as y from (select *, unnest(range(width)) as ix from (select *, unnest(range(height)) as iy from dim))),
+spot as materialized ({sqlgeo.unproject('select * from raw', 8.1, 46.7, 'id, ix, iy')}),
+f as (select id, lon, lat, arg_min(struct_pack(w := w, s := s, e := e, n := n), window_no) as f from spot {_WINDOWED} group by id, lon, lat),
+a as (select id, f.w as w, f.s as s, (f.e - f.w) / 8 as dx, (f.n - f.s) / 8 as dy, (lon - f.w) / ((f.e - f.w) / 8) - 0.5::double as x, (lat - f.s) / ((f.n - f.s) / 8) - 0.5::double as y from f),
+t as (select id, a as ka, b as kb, w + (floor(x) + a + 0.5::double) * dx as lon, s + (floor(y) + b + 0.5::double) * dy as lat, (case when a = 1 then x - floor(x) else 1 - (x - floor(x)) end) * (case when b = 1 then y - floor(y) else 1 - (y - floor(y)) end) as weight from a, (values (0, 0), (0, 1), (1, 0), (1, 1)) k(a, b)),
+v as (select id, ka, kb, any_value(weight) as weight, {_VALUE} as value from t {_WINDOWED} group by id, ka, kb),
+high as (select id, sum(value * weight) / sum(weight) * 1000 as elevation from v where weight > 0 group by id),
+ground as (select id, {views.COVERS}[((floor({_VALUE} * 10000)::bigint % 11) + 11) % 11 + 1] as cover from spot {_WINDOWED} group by id)
+select ix, iy, round(coalesce(elevation, case when cover = 80 then 0::double end), 3) as elevation, cover from spot left join high using (id) left join ground using (id)"""
+
+
+ORACLES = {"model_placements": _sql(), "source_height_field": _field_sql()}
