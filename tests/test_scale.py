@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from hexloom.functions import geo
-from hexloom.operators import records, rivers
+from hexloom.operators import hydrology, records, rivers, watergraph
 
 SPACING = 2000.0
 
@@ -78,3 +78,37 @@ def test_parts_of_rivers_need_no_rounds_over_all_rivers(spark):
     found = records.gaps(spark.createDataFrame(list(rows), "reach long, q int, r int").union(spark.createDataFrame([(None, 1, 1)], "reach long, q int, r int")))
     assert "Join" not in plan_of(found)
     assert {r.reach: [r.cells, r.parts] for r in found.collect()} == want
+
+
+def test_joined_nodes_are_left_out_without_dealing_pairs_again(spark):
+    rng = random.Random(6)
+    nodes = [(i, rng.uniform(0, 2500), rng.uniform(0, 2500), i % 7, float(i), rng.choice([160.0, 300.0])) for i in range(200)]
+    joined = [(rng.randrange(200), rng.randrange(200)) for _ in range(300)]
+    known = {frozenset(p) for p in joined}
+    want = {}
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            d = math.hypot(a[1] - b[1], a[2] - b[2])
+            if d <= a[5] + b[5] + 125 and not (a[3] == b[3] and abs(a[4] - b[4]) <= d * watergraph.DETOUR) and frozenset((a[0], b[0])) not in known:
+                want[a[0], b[0]] = d
+    table = spark.createDataFrame(nodes, "id long, x double, y double, reach long, station double, half_width double")
+    found = watergraph.near_nodes(table, spark.createDataFrame(joined, "a long, b long"), 1000.0, 125.0)
+    assert "LeftAnti" not in plan_of(found)
+    got = {(r.a, r.b): r.distance for r in found.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], d) for k, d in want.items())
+
+
+def test_channels_near_points_without_a_row_for_each_pair(spark):
+    rng = random.Random(2)
+    points = [(i, rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)) for i in range(300)]
+    segments = []
+    for k in range(500):
+        x, y = rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)
+        segments.append((k // 4, k, x, y, x + rng.uniform(-3000, 3000), y + rng.uniform(-3000, 3000), 1.0))
+    p = spark.createDataFrame(points, "id long, x double, y double")
+    s = spark.createDataFrame(segments, "reach long, seq int, ax double, ay double, bx double, by double, discharge double")
+    want = {r.id: (r.channels, r.distance) for r in hydrology.nearest_channel(hydrology.near_segments(p, s, 600.0)).collect()}
+    found = hydrology.channels_near(p, s, 600.0)
+    assert "Join" not in plan_of(found)
+    got = {r.id: (r.channels, r.distance) for r in found.collect()}
+    assert want and got.keys() == want.keys() and all(got[k][0] == n and math.isclose(got[k][1], d, abs_tol=1e-6) for k, (n, d) in want.items())
