@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from hexloom.functions import geo
-from hexloom.operators import hydrology, records, rivers, watergraph
+from hexloom.operators import hydrology, levels, records, rivers, watergraph
 
 SPACING = 2000.0
 
@@ -98,6 +98,23 @@ def test_joined_nodes_are_left_out_without_dealing_pairs_again(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], d) for k, d in want.items())
 
 
+def test_levels_settle_over_near_nodes_without_a_row_for_each_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    nodes = [(i, rng.uniform(-9000, 9000), rng.uniform(-2000, 2000), i // 4, float(i % 4) * 400, rng.choice([160.0, 300.0])) for i in range(1200)]
+    table = spark.createDataFrame(nodes, "id long, x double, y double, reach long, station double, half_width double")
+    runs = spark.createDataFrame([(i, i + 1) for i in range(1200) if i % 4 < 3], "a long, b long")
+    source = spark.createDataFrame([(i, None if i % 50 == 0 else rng.randrange(1024 * 900) / 1024) for i in range(1200)] + [(10**18, 3.0)], "id long, level double")
+    links = spark.createDataFrame([(i, 10**18) for i in (5, 700)], "node long, body long")
+    near = watergraph.near_nodes(table, runs, 1000.0, 125.0).cache()
+    want = dict(levels.settle_levels(source, watergraph.level_graph(table, runs, near, links, 1 / 1024)).collect())
+    assert near.count() > 5000
+    monkeypatch.setattr(watergraph, "BLOCK_SIDE", 2)  # several blocks
+    offers = watergraph.near_offers(table, watergraph.level_graph(table, runs, None, None, 1 / 1024), links, 1000.0, 125.0, 1 / 1024)
+    first = offers(source.withColumn("fresh", F.col("level").isNotNull()))
+    assert first.count() <= len(nodes)
+    assert dict(levels.settle_levels(source, watergraph.level_graph(table, runs, None, links, 1 / 1024), offers_of=offers).collect()) == want
+
+
 def test_channels_near_points_without_a_row_for_each_pair(spark):
     rng = random.Random(2)
     points = [(i, rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)) for i in range(300)]
