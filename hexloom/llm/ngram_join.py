@@ -13,7 +13,8 @@ How it stays bounded:
 - A shingle that more than ``FREQUENT`` groups share has its list salted and, at first,
   each group meets only the ``NEAR`` groups next to it in the list. What these links
   leave apart is then met in full: rows of other labels than the list's most common
-  one meet the whole list, in parts, so that no link is lost.
+  one meet the whole list, in parts, so that no link is lost. There they are told apart
+  by places and sketches, and what is left by its sets; pairs are no rows of any table.
 - Sets are read once from the texts and move once more, to blocks of about ``BLOCK``
   classes of one candidate component; pairs across blocks are compared only while
   their components differ, the likeliest of each component first.
@@ -47,6 +48,9 @@ SALT_ROWS = 2048
 BLOCK = 256
 #: Rows of a part of a long list.
 PART = 1024
+#: Words of 64 bits of a set's sketch.
+SKETCH = 8
+_WORDS = [f"s{k}" for k in range(SKETCH)]
 #: Rows of sorted lists that are worked on at once, at least.
 RUN_ROWS = 1 << 15
 #: Most classes whose keys are broadcast (8 bytes each); more are joined by a shuffle.
@@ -473,56 +477,151 @@ def _within_blocks(edges: DataFrame, placed: DataFrame, sets: DataFrame) -> tupl
 # ---------------------------------------------------------------- long lists
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-    """Group pairs (a, b) of different labels that may link by their places, within each part of a list.
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class's ``SKETCH`` words of bits: a bit is the parity of the shingles that fall on it, so that two sets differ in at least as many shingles as their bits do."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), *(pa.array(np.ascontiguousarray(w)) for w in _signed(_sketched(batch.column("shingles"))).T)], ["cls", *_WORDS])
+
+
+def _sketched(shingles: pa.ListArray) -> np.ndarray:
+    bits = 64 * SKETCH
+    owner = np.repeat(np.arange(len(shingles)), shingles.value_lengths().to_numpy())
+    at = mix(shingles.flatten().to_numpy().view(np.uint64)) % np.uint64(bits)
+    odd = np.bincount(owner * bits + at.astype(np.int64), minlength=len(shingles) * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(-1, SKETCH)
+
+
+def sketches_fit(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes and sketches can reach the similarity."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= na + nb - 2 * least_overlap(na, nb)
+
 
-    Rows are (token, i, j, part, grp, label, place), sorted; a part has pairs between i
-    and j. ``first``: one pair at most for each pair of labels.
+def _close(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """What may link by places and sketches, of classes of different labels, within each part of a list.
+
+    Rows are (token, i, j, part, cls, label, place, sketch), sorted; a part has pairs
+    between i and j. ``first``: pairs (ca, cb, la, lb) that connect what may be connected,
+    one less than there are labels at most; else all rows (token, i, j, part, cls, label)
+    of which there is a pair, each once.
     """
-    for token, i, j, part, group, label, place in _runs(batches, 3):
+    for token, i, j, part, cls, label, place, *words in _runs(batches, 3):
+        sketch = np.stack(words, axis=1).view(np.uint64)
         new = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        marked, found = np.zeros(len(token), bool), []
         for s, e in zip(new, [*new[1:], len(token)], strict=True):
-            seen: set[tuple[int, int]] = set()
+            union = Union()
             ours, theirs = s + np.flatnonzero(part[s:e] == i[s]), s + np.flatnonzero(part[s:e] == j[s])
-            found: list[np.ndarray] = [[], []]
             for x in ours:
                 other = theirs[theirs > x] if i[s] == j[s] else theirs
-                other = other[(label[other] != label[x]) & (group[other] != group[x]) & may_link(place[x], place[other])]
-                if first and len(other):
-                    other = other[np.unique(label[other], return_index=True)[1]]
-                    new_pairs = [y for y in other if (min(label[x], label[y]), max(label[x], label[y])) not in seen]
-                    seen.update((min(label[x], label[y]), max(label[x], label[y])) for y in new_pairs)
-                    other = np.array(new_pairs, np.int64)
-                if len(other):
-                    found[0].append(np.minimum(group[x], group[other]))
-                    found[1].append(np.maximum(group[x], group[other]))
-            if found[0]:
-                a, b = (np.concatenate(f) for f in found)
-                for k in range(0, len(a), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 16)]), pa.array(b[k : k + (1 << 16)])], ["a", "b"])
-
-
-def _frequent_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, first: bool) -> DataFrame:
-    """Group pairs (a, b, score) with classes of different labels that share a frequent shingle and may link, from the whole lists.
+                other = other[(label[other] != label[x]) & may_link(place[x], place[other])]
+                other = other[sketches_fit(place[x] >> 31, place[other] >> 31, sketch[x], sketch[other])]
+                if not first:
+                    marked[other] = True
+                    marked[x] |= len(other) > 0
+                elif len(other):
+                    for y in other[np.unique(label[other], return_index=True)[1]]:
+                        if union.root(int(label[x])) != union.root(int(label[y])):
+                            union.join(int(label[x]), int(label[y]))
+                            found.append((x, y))
+        if found:
+            x, y = np.array(found).T
+            x, y = np.where(cls[x] < cls[y], x, y), np.where(cls[x] < cls[y], y, x)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cls[x], cls[y], label[x], label[y])], ["ca", "cb", "la", "lb"])
+        elif marked.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[marked]) for c in (token, i, j, part, cls, label)], ["token", "i", "j", "part", "cls", "label"])
+
+
+def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (la, lb) between labels, of rows (token, i, j, part, cls, label, shingles) as ``_close`` marks them, sorted: one less than a part has labels at most."""
+
+    def done() -> Iterator[pa.RecordBatch]:
+        _, i, j = block
+        union, links = Union(), []
+        sets = [np.array(h[2].values) for h in held]
+        sketch = _sketched(pa.array([s for s in sets], pa.list_(pa.int64())))
+        part, size = np.array([h[0] for h in held]), np.array([len(s) for s in sets])
+        theirs = np.flatnonzero(part == j)
+        for x in np.flatnonzero(part == i):
+            other = theirs[theirs > x] if i == j else theirs
+            for y in other[sketches_fit(size[x], size[other], sketch[x], sketch[other])]:
+                la, lb = held[x][1], held[y][1]
+                if union.root(la) != union.root(lb) and linked(sets[x], sets[y]):
+                    union.join(la, lb)
+                    links.append((la, lb))
+        if links:
+            yield _batch(list(zip(*links, strict=True)), [pa.int64(), pa.int64()], ["la", "lb"])
+
+    block, held = None, []
+    for batch in batches:
+        shingles = batch.column("shingles")
+        for k, (token, i, j, part, label) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("token", "i", "j", "part", "label")), strict=True)):
+            if (token, i, j) != block:
+                if held:
+                    yield from done()
+                block, held = (token, i, j), []
+            held.append((part, label, shingles[k]))
+    if held:
+        yield from done()
+
+
+def _list_parts(lists: DataFrame, members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of long lists that have classes of different labels, in parts, as ``_close`` takes them.
 
     The rows of a list's most common label need not meet each other: each is dealt once
     to a part, which all rows of other labels meet.
     """
-    named = members.join(labels, "cls", "left").select("grp", F.coalesce("label", "cls").alias("label")).distinct()
-    rows = cut_lineage(lists.join(named, "grp").select("token", "grp", "label", "place"))
+    named = members.join(labels, "cls", "left").select("grp", "cls", F.coalesce("label", "cls").alias("label"))
+    rows = cut_lineage(lists.join(named, "grp").select("token", "cls", "label", "place"))
     by_label = rows.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("rows"))
     mixed = by_label.where("main.n < rows").select("token", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / PART).cast("long").alias("main_parts"), F.ceil((F.col("rows") - F.col("main.n")) / PART).cast("long").alias("parts"))
-    own, hashed = F.col("label") == F.col("main"), F.xxhash64("grp")
-    dealt = rows.join(mixed, "token").withColumn("part", F.when(own, F.col("parts") + F.pmod(hashed, F.col("main_parts"))).otherwise(F.pmod(hashed, F.col("parts"))))
+    own, hashed = F.col("label") == F.col("main"), F.xxhash64("cls")
+    dealt = rows.join(mixed, "token").withColumn("part", F.when(own, F.col("parts") + F.pmod(hashed, F.col("main_parts"))).otherwise(F.pmod(hashed, F.col("parts")))).join(sketches, "cls")
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(own, F.col("parts")).otherwise(F.col("parts") + F.col("main_parts")) - 1)))
-    spread = spread.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "grp", "label", "place")
-    found = spread.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(partial(_cross_pairs, first=first), "a long, b long")
-    return found.groupBy("a", "b").agg(F.count("*").cast("double").alias("score"))
+    spread = spread.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "label", "place", *_WORDS)
+    return spread.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
+def _merge_lists(lists: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Labels (cls, label) joined by all links within long lists; no pair that does not link is a row, but those that may connect labels, at first.
+
+    First the pairs that would connect most are compared. Then the sets of what still may
+    link, by places and sketches, go to the parts of its lists and are compared there.
+    """
+    sketches = cut_lineage(sets.mapInArrow(_sketches, f"cls long, {', '.join(f'{w} long' for w in _WORDS)}"))
+    likely = cut_lineage(_list_parts(lists, members, labels, sketches).mapInArrow(partial(_close, first=True), "ca long, cb long, la long, lb long").distinct())
+    if likely.limit(1).count():
+        labels = _joined(labels, _links(likely, sets))
+        left = _list_parts(lists, members, labels, sketches).mapInArrow(partial(_close, first=False), "token long, i long, j long, part long, cls long, label long")
+        rows = left.join(sets, "cls").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        labels = _joined(labels, cut_lineage(rows.mapInArrow(_compare_parts, "la long, lb long").distinct()))
+    release(sketches, likely)
+    return labels
 
 
 # ---------------------------------------------------------------- the operator
 
 
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The labels (la, lb) of ``pairs`` (ca, cb, la, lb) of classes whose sets reach the similarity."""
+    wanted = cut_lineage(pairs.select(F.col("ca").alias("cls")).union(pairs.select("cb")).distinct())
+    some = sets.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, "cls", "left_semi")
+    both = pairs.join(some.select(F.col("cls").alias("ca"), F.col("shingles").alias("xa")), "ca").join(some.select(F.col("cls").alias("cb"), F.col("shingles").alias("xb")), "cb")
+    shared = F.size(F.array_intersect("xa", "xb")).cast("long")
+    links = cut_lineage(both.where(shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.size("xa") + F.size("xb"))).select("la", "lb"))
+    release(wanted)
+    return links
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (cls, label) with those that ``links`` (la, lb) connect made one; a class without a label is its own."""
+    if not links.limit(1).count():
+        return labels
+    merged = connected_components(links, "la", "lb")
+    every = labels.union(links.select(F.col("la").alias("cls"), F.col("la").alias("label"))).union(links.select(F.col("lb").alias("cls"), F.col("lb").alias("label")))
+    old = every.groupBy("cls").agg(F.min("label").alias("label"))
+    return cut_lineage(old.join(merged, F.col("label") == F.col("node"), "left").select("cls", F.coalesce("component", "label").alias("label")))
+
+
 def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, rounds: int, whole: bool, placed: DataFrame | None = None) -> DataFrame:
     """Labels (cls, label) joined by the links among group ``pairs`` (a, b, score) across them.
 
@@ -560,17 +659,11 @@ def _merge(pairs: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFr
                 break
             k = rounds
             continue
-        wanted = cut_lineage(now.select(F.col("ca").alias("cls")).union(now.select("cb")).distinct())
-        some = sets.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, "cls", "left_semi")
-        both = now.join(some.select(F.col("cls").alias("ca"), F.col("shingles").alias("xa")), "ca").join(some.select(F.col("cls").alias("cb"), F.col("shingles").alias("xb")), "cb")
-        shared = F.size(F.array_intersect("xa", "xb")).cast("long")
-        links = cut_lineage(both.where(shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.size("xa") + F.size("xb"))).select("la", "lb"))
+        links = _links(now, sets)
         linking = links.limit(1).count()
         if linking:
-            merged = connected_components(links, "la", "lb")
-            old = labels.union(now.select("ca", "la")).union(now.select("cb", "lb")).groupBy("cls").agg(F.min("label").alias("label"))
-            labels = cut_lineage(old.join(merged, F.col("label") == F.col("node"), "left").select("cls", F.coalesce("component", "label").alias("label")))
-        release(links, wanted)
+            labels = _joined(labels.union(now.select("ca", "la")).union(now.select("cb", "lb")), links)
+        release(links)
         if full:
             break
         tried = now if tried is None else tried.union(now)
@@ -620,8 +713,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     split = placed.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("grp").alias("a"), F.col("grp").alias("b"), F.lit(1.0).alias("score"))
     labels = _merge(between.union(split), members, labels, sets, 1, True, placed)
     if lists.limit(1).count():
-        labels = _merge(_frequent_pairs(lists, members, labels, True), members, labels, sets, 1, False)
-        labels = _merge(_frequent_pairs(lists, members, labels, False), members, labels, sets, 0, True)
+        labels = _merge_lists(lists, members, labels, sets)
     release(sets, placed, found, edges)
 
     named = labels.join(classes, "cls")
