@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from hexloom.functions import geo
 from hexloom.functions.arrays import let
 from hexloom.functions.geo import lit
+from hexloom.session import spread
 
 #: How far outside a vertex may lie and still count as inside (a fixed value of the clip).
 SLACK = 1e-7
+#: From which distance a place is well inside or beyond a side, as a part of the spacing (twice an area, by its square): far more than rounding.
+WELL = 1e-6
 
 
 def clip(polygon: Column, planes: Column) -> Column:
@@ -57,14 +60,32 @@ def assign(polygons: DataFrame, cells: DataFrame, spacing: float) -> DataFrame:
     """``polygons`` (polygon and other columns) with cell_id, q, r and ``clipped`` for each hexagon of ``cells`` of which they cover a part.
 
     A polygon goes to the hexagons that its extent touches, and meets the grid on (q, r);
-    what the clip leaves less than three vertices of is left out.
+    what the clip leaves less than three vertices of is left out. One whose extent lies
+    well inside of a hexagon is whole there and not clipped, and one whose extent lies
+    beyond one of its sides is not there.
     """
-    row = spacing * geo.SQRT3 / 2
+    row, reach = spacing * geo.SQRT3 / 2, spacing / geo.SQRT3
+    slack = spacing * 1e-6
     of = lambda pick, c: pick(F.transform("polygon", lambda v: v[c]))
-    boxed = polygons.where(F.size("polygon") > 0).withColumns({f"{c}{k}__": of(pick, c) for c in "xy" for k, pick in enumerate((F.array_min, F.array_max))})
-    down = F.sequence(F.floor(F.col("y0__") / lit(row)).cast("int") - 1, F.ceil(F.col("y1__") / lit(row)).cast("int") + 1)
-    rows = boxed.withColumn("r", F.explode(down))
-    column = lambda c: F.col(c) / lit(spacing) - F.col("r") / lit(2)
-    spread = rows.withColumn("q", F.explode(F.sequence(F.floor(column("x0__")).cast("int") - 1, F.ceil(column("x1__")).cast("int") + 1)))
-    met = spread.drop("x0__", "x1__", "y0__", "y1__").join(cells.select("q", "r", "cell_id"), ["q", "r"])
-    return met.withColumn("clipped", clip(F.col("polygon"), outline(F.col("q"), F.col("r"), spacing))).where(F.size("clipped") >= 3)
+    # work, not bytes, is what is dealt
+    boxed = spread(polygons.where(F.size("polygon") > 0).withColumns({f"{c}{k}__": of(pick, c) for c in "xy" for k, pick in enumerate((F.array_min, F.array_max))}))
+    rows = boxed.withColumn("r", F.explode(F.sequence(F.ceil((F.col("y0__") - lit(reach + slack)) / lit(row)).cast("int"), F.floor((F.col("y1__") + lit(reach + slack)) / lit(row)).cast("int"))))
+    column = lambda c, side: (F.col(c) + lit(side * (spacing / 2 + slack))) / lit(spacing) - F.col("r") / lit(2)
+    spots = rows.withColumn("q", F.explode(F.sequence(F.ceil(column("x0__", -1)).cast("int"), F.floor(column("x1__", 1)).cast("int"))))
+    met = spots.join(F.broadcast(cells.select("q", "r", "cell_id")), ["q", "r"])
+    corners = [geo.key_point(kx, ky, spacing) for kx, ky in geo.corner_keys(F.col("q"), F.col("r"))]
+    met = met.withColumns({f"{axis}{k}_": c for k, xy in enumerate(corners) for axis, c in zip("xy", xy, strict=True)})
+    within, beyond = F.lit(True), F.lit(False)
+    for k in range(6):
+        m = (k + 1) % 6
+        dx, dy = F.col(f"x{m}_") - F.col(f"x{k}_"), F.col(f"y{m}_") - F.col(f"y{k}_")
+        # the extent's corner that is the farthest to either hand of the side
+        low = dx * (F.when(dx >= 0, F.col("y0__")).otherwise(F.col("y1__")) - F.col(f"y{k}_")) - dy * (F.when(dy >= 0, F.col("x1__")).otherwise(F.col("x0__")) - F.col(f"x{k}_"))
+        high = dx * (F.when(dx >= 0, F.col("y1__")).otherwise(F.col("y0__")) - F.col(f"y{k}_")) - dy * (F.when(dy >= 0, F.col("x0__")).otherwise(F.col("x1__")) - F.col(f"x{k}_"))
+        within, beyond = within & (low >= WELL * spacing * spacing), beyond | (high <= -WELL * spacing * spacing)
+    # arrays of one element, beneath which the optimizer writes no filter's columns out again
+    met = met.select("*", F.inline(F.array(F.struct(within.alias("within__"), beyond.alias("beyond__"))))).where("not beyond__")
+    sides = F.array(*[F.struct(F.col(f"x{k}_").alias("ax"), F.col(f"y{k}_").alias("ay"), F.col(f"x{(k + 1) % 6}_").alias("bx"), F.col(f"y{(k + 1) % 6}_").alias("by")) for k in range(6)])
+    whole = F.when(F.col("within__"), F.col("polygon")).otherwise(clip(F.col("polygon"), sides))
+    gone = [*(f"{c}{k}__" for c in "xy" for k in (0, 1)), *(f"{c}{k}_" for c in "xy" for k in range(6)), "within__", "beyond__"]
+    return met.select("*", F.explode(F.array(whole)).alias("clipped")).where(F.size("clipped") >= 3).drop(*gone)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hexloom.functions import geo
 from hexloom.operators import clipping, mesh, surface
-from hexloom.plans.graph import _BLEND, _clipped, _contour, _contoured
+from hexloom.plans.graph import _BLEND, _clipped, _contoured, _lake_polygons
 from hexloom.plans.places import _PLACES, ALPS, HELD, cells, held, placed
 from hexloom.plans.terrain import CELLS, FIELD, _GRID, cell_stats
 from hexloom.session import cut_lineage
@@ -22,9 +22,7 @@ def base_triangles(spark, sf_dir):
 
 def _shore_points(spark, sf_dir, grid):
     """cell, kx, ky: the shores' corners in each cell, those near a side moved onto it."""
-    vertex = F.array_sort(F.collect_list(F.struct("k", "x", "y", "level", "edge")))
-    polygons = _contour(spark, sf_dir).groupBy("ix", "iy", "part", "tri").agg(F.transform(vertex, lambda v: F.struct(*[v[c].alias(c) for c in ("x", "y", "level", "edge")])).alias("polygon"))
-    clipped = clipping.assign(cut_lineage(polygons), grid, SPACING).select("cell_id", "q", "r", F.explode("clipped").alias("v"))
+    clipped = clipping.assign(_lake_polygons(spark, sf_dir, grid), grid, SPACING).select("cell_id", "q", "r", F.explode("clipped").alias("v"))
     kx, ky = mesh.vertex_key(F.col("v.x"), F.col("v.y"), SPACING)
     return surface.snap(clipped.select("cell_id", "q", "r", kx.alias("kx"), ky.alias("ky")), SPACING).select(F.col("cell_id").alias("cell"), "kx", "ky")
 
