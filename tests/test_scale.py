@@ -129,3 +129,19 @@ def test_channels_near_points_without_a_row_for_each_pair(spark):
     assert "Join" not in plan_of(found)
     got = {r.id: (r.channels, r.distance) for r in found.collect()}
     assert want and got.keys() == want.keys() and all(got[k][0] == n and math.isclose(got[k][1], d, abs_tol=1e-6) for k, (n, d) in want.items())
+
+
+def test_levels_of_trees_that_lead_to_a_circle_settle_without_rounds_over_all_shortcuts(spark, monkeypatch):
+    rng = random.Random(14)
+    after = {i: i + 1 if i % 7 else 0 for i in range(1, 2101)} | {0: 2}
+    level = {i: float(rng.randrange(400)) for i in after}
+    want = dict(level)
+    for _ in range(30):
+        for a, b in after.items():
+            want[b] = min(want[b], want[a] + 0.5)
+    table = spark.createDataFrame([(a, b, 0.5) for a, b in after.items()], "src long, dst long, cost double")
+    assert len(levels.shortcuts(table)) <= 6
+    kept, written = levels.cut_lineage, []
+    monkeypatch.setattr(levels, "cut_lineage", lambda df: written.append(df.columns) or kept(df))
+    assert dict(levels.settle_levels(spark.createDataFrame(list(level.items()), "id long, level double"), table).collect()) == want
+    assert written.count(["src", "dst", "cost"]) == 1
