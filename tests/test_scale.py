@@ -145,3 +145,25 @@ def test_levels_of_trees_that_lead_to_a_circle_settle_without_rounds_over_all_sh
     monkeypatch.setattr(levels, "cut_lineage", lambda df: written.append(df.columns) or kept(df))
     assert dict(levels.settle_levels(spark.createDataFrame(list(level.items()), "id long, level double"), table).collect()) == want
     assert written.count(["src", "dst", "cost"]) == 1
+
+
+def test_segments_beside_the_box_are_told_by_their_extent_before_they_are_clipped(spark):
+    rng = random.Random(16)
+    box = (0.0, -10.0, 30.0, 20.0)
+    rows = [(i, *(float(rng.randrange(-60, 60)) for _ in range(4))) for i in range(600)] + [(600, -5.0, 3.0, 0.0, 3.0), (601, 30.0, 20.0, 40.0, 50.0), (602, 5.0, 21.0, 9.0, 21.0), (603, 0.0, 0.0, 0.0, 0.0), (604, -1.0, 0.0, -1e-12, 0.0)]
+    want = {}
+    for i, ax, ay, bx, by in rows:
+        low, high, inside = 0.0, 1.0, True
+        for p, q in ((ax - bx, ax - box[0]), (bx - ax, box[2] - ax), (ay - by, ay - box[1]), (by - ay, box[3] - ay)):
+            if abs(p) < 1e-10:
+                inside = inside and q >= 0
+            elif p < 0:
+                low = max(low, q / p)
+            else:
+                high = min(high, q / p)
+        if inside and low <= high:
+            want[i] = tuple(o + d * t for t in (low, high) for o, d in ((ax, bx - ax), (ay, by - ay)))
+    found = rivers.clip_segments(spark.createDataFrame(rows, "reach long, ax double, ay double, bx double, by double"), box)
+    assert "greatest(ax#" in plan_of(found)
+    got = {r.reach: tuple(r)[1:] for r in found.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(a, b, abs_tol=1e-9) for i in want for a, b in zip(got[i], want[i], strict=True))
