@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hexloom.session import cut_lineage
 
@@ -15,13 +16,19 @@ def _kind(v: Column) -> Column:
     return F.try_variant_get(v, "$.type", "string")
 
 
-def _lines(v: Column) -> Column:
+def _lines(v: Column, kind: Column) -> Column:
     """The point lists of a geometry that holds no other: its line, lines or rings, as arrays of coordinates."""
     at = lambda depth: F.try_variant_get(v, "$.coordinates", "array<" * depth + "double" + ">" * depth)
-    kind = _kind(v)
     return F.when(kind.isin("LineString", "MultiPoint"), F.array(at(2))).when(kind.isin("Polygon", "MultiLineString"), at(3)).when(kind == "MultiPolygon", F.flatten(at(4)))
 
 
+def _taken(level: DataFrame) -> DataFrame:
+    """``level`` (id, at, v) written with its ``kind``, and either ``lines`` or, of what holds others, ``v``."""
+    known = level.withColumn("kind", _kind(F.col("v")))
+    kind = F.col("kind")
+    return cut_lineage(known.select("id", "at", "kind", F.when(kind.isin("Feature", *NESTED), F.col("v")).alias("v"), _lines(F.col("v"), kind).alias("lines")))
+
+
 def polylines(rows: DataFrame) -> DataFrame:
     """id, part, seq, x, y: the points of every polyline in ``rows`` (id, geometry), where ``geometry`` is GeoJSON text.
 
@@ -34,22 +41,22 @@ def polylines(rows: DataFrame) -> DataFrame:
     their rows.
     """
     parsed = rows.select("id", F.array(F.monotonically_increasing_id()).alias("at"), F.try_parse_json("geometry").alias("v"))
-    plain = None
-    level = cut_lineage(parsed.select("id", "at", F.to_json("v").alias("text")))
+    # texts are parsed once; outer generators, as for plain ones the optimizer would work their arrays out a second time in a filter
+    level = _taken(parsed)
+    plain, kind = None, F.col("kind")
     while True:
-        known = level.select("id", "at", F.try_parse_json("text").alias("v"))
-        own = known.where(~F.coalesce(_kind(F.col("v")).isin("Feature", *NESTED), F.lit(False))).select("id", "at", _lines(F.col("v")).alias("lines"))
+        own = level.where("lines is not null").select("id", "at", "lines")
         plain = own if plain is None else plain.unionByName(own)
-        inner = F.when(_kind(F.col("v")) == "Feature", F.array(F.try_variant_get("v", "$.geometry", "variant")))
-        for kind, key in NESTED.items():
-            inner = inner.when(_kind(F.col("v")) == kind, F.try_variant_get("v", f"$.{key}", "array<variant>"))
-        opened = known.where(_kind(F.col("v")).isin("Feature", *NESTED)).select("id", "at", F.posexplode(inner).alias("k", "w"))
-        level = cut_lineage(opened.select("id", F.concat("at", F.array(F.col("k").cast("long"))).alias("at"), F.to_json("w").alias("text")))
+        inner = F.when(kind == "Feature", F.array(F.try_variant_get("v", "$.geometry", "variant")))
+        for name, key in NESTED.items():
+            inner = inner.when(kind == name, F.try_variant_get("v", f"$.{key}", "array<variant>"))
+        opened = level.where(kind.isin("Feature", *NESTED)).select("id", "at", F.posexplode_outer(inner).alias("k", "v")).where("k is not null")
+        level = _taken(opened.select("id", F.concat("at", F.array(F.col("k").cast("long"))).alias("at"), "v"))
         if level.isEmpty():
             break
-    lines = plain.select("id", "at", F.posexplode("lines").alias("k", "line")).where((F.size("line") > 1) & ~F.exists("line", lambda p: F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull()))
+    lines = plain.select("id", "at", F.posexplode_outer("lines").alias("k", "line")).where((F.size("line") > 1) & ~F.exists("line", lambda p: F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull()))
     # parts of a row in the order of the text; a row's parts came from one text
     keyed = lines.select("id", F.get("at", F.lit(0)).alias("row"), F.struct("at", "k").alias("place"), "line")
-    order = keyed.groupBy("id", "row").agg(F.array_sort(F.collect_list("place")).alias("places")).select("id", "row", F.posexplode("places").alias("part", "place"))
-    points = keyed.join(order.select("row", "place", "part"), ["row", "place"]).select("id", "part", F.posexplode("line").alias("seq", "p"))
+    part = F.row_number().over(Window.partitionBy("row").orderBy("place")) - 1
+    points = keyed.select("id", part.alias("part"), "line").select("id", "part", F.posexplode_outer("line").alias("seq", "p"))
     return points.select("id", "part", "seq", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))

@@ -39,3 +39,11 @@ def test_nested_geometries(spark):
                     wanted.setdefault(i, {}).setdefault((part, seq), []).append([float(x) for x in p])
     same = lambda d: {i: {k: sorted(v) for k, v in parts.items()} for i, parts in d.items()}
     assert same(found) == same(wanted) and len(wanted) == 8
+
+
+def test_texts_are_parsed_once_and_parts_need_no_join(spark):
+    rows = [(i, json.dumps({"type": "GeometryCollection", "geometries": [{"type": "LineString", "coordinates": LINE}, {"type": "Polygon", "coordinates": [RING, HOLE]}]})) for i in range(5)]
+    found = geometry.polylines(spark.createDataFrame(rows, "id int, geometry string"))
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "parse" not in plan.lower().replace("== parsed logical plan ==", "")
+    assert {(r.id, r.part) for r in found.collect()} == {(i, k) for i in range(5) for k in range(3)}
