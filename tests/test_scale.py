@@ -167,3 +167,13 @@ def test_segments_beside_the_box_are_told_by_their_extent_before_they_are_clippe
     assert "greatest(ax#" in plan_of(found)
     got = {r.reach: tuple(r)[1:] for r in found.collect()}
     assert got.keys() == want.keys() and all(math.isclose(a, b, abs_tol=1e-9) for i in want for a, b in zip(got[i], want[i], strict=True))
+
+
+def test_smoothed_paths_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    from hexloom.plans import terrain
+
+    want = sorted(map(tuple, terrain.path_smoothing(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(terrain, "TASK_ROWS", 200)
+    found = terrain.path_smoothing(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, found.collect())) == want
+    assert found.rdd.getNumPartitions() >= 25
