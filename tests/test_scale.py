@@ -177,3 +177,27 @@ def test_smoothed_paths_are_dealt_over_tasks_by_their_number(spark, monkeypatch)
     found = terrain.path_smoothing(spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, found.collect())) == want
     assert found.rdd.getNumPartitions() >= 25
+
+
+def test_near_nodes_are_found_within_blocks_and_no_pair_is_joined_or_sorted(spark, monkeypatch):
+    rng = random.Random(21)
+    nodes = [(i, rng.uniform(-3000, 3000), rng.uniform(-1500, 1500), i % 40, float(i // 40) * 90, rng.choice([160.0, 300.0, 360.0])) for i in range(900)]
+    nodes += [(900, -2000.0, 0.0, 1, 0.0, 160.0), (901, -2000.0, 445.0, 2, 0.0, 160.0), (902, -1555.0, 0.0, 3, 0.0, 160.0), (903, 2000.0, 0.0, 1, 0.0, 160.0), (904, 2000.0, 1e-9, 2, 0.0, 160.0)]
+    joined = [(rng.randrange(900), rng.randrange(900)) for _ in range(3000)]
+    known = {frozenset(p) for p in joined}
+    want = {}
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            d = math.sqrt((a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]))
+            if d <= a[5] + b[5] + 125 and not (a[3] == b[3] and abs(a[4] - b[4]) <= d * watergraph.DETOUR) and frozenset((a[0], b[0])) not in known:
+                want[a[0], b[0]] = d
+    table = spark.createDataFrame(nodes, "id long, x double, y double, reach long, station double, half_width double")
+    for nodes_of_square in (64, 2):
+        monkeypatch.setattr(watergraph, "PAIR_NODES", nodes_of_square)
+        monkeypatch.setattr(watergraph, "PAIRS_AT_ONCE", 500)
+        found = watergraph.near_nodes(table, spark.createDataFrame(joined, "a long, b long"), 1000.0, 125.0)
+        rows = found.collect()
+        assert {(r.a, r.b): r.distance for r in rows} == want and len(rows) == len(want)
+    assert "(bx#" not in plan_of(found) and "MapInArrow" in plan_of(found)
+    rounded = watergraph.near_nodes(table, spark.createDataFrame(joined, "a long, b long"), 1000.0, 125.0, 3).collect()
+    assert all(math.isclose(r.distance, want[r.a, r.b], abs_tol=0.000501) and round(r.distance, 3) == r.distance for r in rounded)
