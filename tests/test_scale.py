@@ -201,3 +201,35 @@ def test_near_nodes_are_found_within_blocks_and_no_pair_is_joined_or_sorted(spar
     assert "(bx#" not in plan_of(found) and "MapInArrow" in plan_of(found)
     rounded = watergraph.near_nodes(table, spark.createDataFrame(joined, "a long, b long"), 1000.0, 125.0, 3).collect()
     assert all(math.isclose(r.distance, want[r.a, r.b], abs_tol=0.000501) and round(r.distance, 3) == r.distance for r in rounded)
+
+
+def test_levels_that_blocks_carry_need_no_shortcuts(spark, monkeypatch):
+    rng = random.Random(22)
+    nodes = [(i, rng.uniform(-6000, 6000), rng.uniform(-1500, 1500), i // 4, float(i % 4) * 400, rng.choice([160.0, 300.0])) for i in range(500)]
+    nodes = [n if i % 4 == 0 else (i, nodes[i - i % 4][1] + 300.0 * (i % 4), *nodes[i - i % 4][2:3], *n[3:]) for i, n in enumerate(nodes)]
+    runs = [(i, i + 1) for i in range(500) if i % 4 < 3]
+    links = [(i, 10**18 + i % 2) for i in range(0, 500, 60)]
+    level = {i: rng.randrange(1024 * 900) / 1024 for i in range(500)} | {10**18: 3.0, 10**18 + 1: 500.0}
+    whole = lambda c: math.floor(c * 1024) / 1024
+    edges = [(a, b, 0.0) for a, b in runs] + [(b, a, whole(30.0)) for a, b in runs] + [(e, f, 0.0) for a, b in links for e, f in ((a, b), (b, a))]
+    joined = {frozenset(r) for r in runs}
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            d = math.sqrt((a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]))
+            if d <= a[5] + b[5] + 125 and not (a[3] == b[3] and abs(a[4] - b[4]) <= d * watergraph.DETOUR) and frozenset((a[0], b[0])) not in joined:
+                edges += [(a[0], b[0], whole(d * 0.025)), (b[0], a[0], whole(d * 0.025))]
+    want, falls = dict(level), True
+    while falls:
+        falls = False
+        for a, b, cost in edges:
+            if want[a] + cost < want[b]:
+                want[b], falls = want[a] + cost, True
+    table = spark.createDataFrame(nodes, "id long, x double, y double, reach long, station double, half_width double")
+    along, bodies = spark.createDataFrame(runs, "a long, b long"), spark.createDataFrame(links, "node long, body long")
+    monkeypatch.setattr(watergraph, "BLOCK_SIDE", 2)
+    monkeypatch.setattr(watergraph, "SQUARE_NODES", 4)
+    monkeypatch.setattr(watergraph, "AT_ONCE", 3)
+    monkeypatch.setattr(levels, "shortcuts", None)
+    offers = watergraph.near_offers(table, watergraph.level_graph(table, along, None, None, 1 / 1024), bodies, 1000.0, 125.0, 1 / 1024)
+    source = spark.createDataFrame(list(level.items()), "id long, level double")
+    assert dict(levels.settle_levels(source, watergraph.level_graph(table, None, None, bodies, 1 / 1024), offers_of=offers).collect()) == want
