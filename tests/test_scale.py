@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hexloom.functions import geo
@@ -233,3 +234,25 @@ def test_levels_that_blocks_carry_need_no_shortcuts(spark, monkeypatch):
     offers = watergraph.near_offers(table, watergraph.level_graph(table, along, None, None, 1 / 1024), bodies, 1000.0, 125.0, 1 / 1024)
     source = spark.createDataFrame(list(level.items()), "id long, level double")
     assert dict(levels.settle_levels(source, watergraph.level_graph(table, None, None, bodies, 1 / 1024), offers_of=offers).collect()) == want
+
+
+def test_reaches_near_all_points_of_a_square_are_counted_without_measuring_each(monkeypatch):
+    rng = np.random.default_rng(23)
+    points = rng.uniform(-1500, 1500, (2, 800))
+    points[:, :40] = points[:, :1]
+    start = rng.uniform(-2500, 2500, (2, 600))
+    ends = np.concatenate((start, start + rng.uniform(-900, 900, (2, 600))))
+    ends[2:, :5] = ends[:2, :5]
+    reach = np.arange(600) // 3
+    t = [np.clip(((points[0][:, None] - a) * (c - a) + (points[1][:, None] - b) * (d - b)) / np.maximum((c - a) ** 2 + (d - b) ** 2, 1e-300), 0, 1) for a, b, c, d in [ends]][0]
+    away = np.hypot(points[0][:, None] - ends[0] - (ends[2] - ends[0]) * t, points[1][:, None] - ends[1] - (ends[3] - ends[1]) * t)
+    of_reach = away.reshape(800, 200, 3).min(2)
+    measured, clip = [], np.clip
+    monkeypatch.setattr(np, "clip", lambda v, *bounds: measured.append(v.size) or clip(v, *bounds))
+    channels, least = np.zeros(800, np.int64), np.full(800, np.inf)
+    for cut in (slice(0, 300), slice(300, 600)):  # whole reaches at a time
+        hydrology._measure(points, ends[:, cut], reach[cut], 600.0, channels, least)
+    assert (channels == (of_reach <= 600.0).sum(1)).all() and channels.min() < channels.max()
+    near = channels > 0
+    assert np.allclose(least[near], away.min(1)[near], atol=1e-6)
+    assert sum(measured) < 800 * 600 / 9, sum(measured)
